@@ -94,7 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _NORMAL = """list_aggregate(list_sort(list_filter(list_transform(
-    regexp_split_to_array(description_unmasked, '~~|\\||;'), p -> lower(regexp_replace(p, '[^\\pL\\pN]', '', 'g'))), p -> p <> '')), 'string_agg', '~')"""
+    regexp_split_to_array(description_unmasked, '~~|\\||;'), lambda p: lower(regexp_replace(p, '[^\\pL\\pN]', '', 'g'))), lambda p: p <> '')), 'string_agg', '~')"""
 
 _COPIES = f"""WITH t AS (SELECT transaction_id AS r, unique_mem_id AS m, amount AS a, transaction_date AS dt, ledger_entry AS l, {_NORMAL} AS f
     FROM labeled_transactions WHERE unique_mem_id IS NOT NULL AND regexp_matches(description_unmasked, '[\\pL\\pN]')),
