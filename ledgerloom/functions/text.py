@@ -108,7 +108,7 @@ def split_label(label: Column, ledger: Column, container: Column) -> tuple[Colum
 
 
 def coordinate(value: Column) -> Column:
-    return F.format_string("%.6f", value.cast("double"))
+    return F.when(value.isNotNull(), F.format_string("%.6f", value.cast("double")))
 
 
 def container_of(path: Column) -> Column:
