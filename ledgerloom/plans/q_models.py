@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import models, prep, tune
-from ..session import table
+from ..session import shared_folder, table
 from ..streaming import classify
 from . import q_search
 from .registry import registry
@@ -63,7 +63,7 @@ def event_windows(s, d):
 def stream_windows(s, d):
     """The same windows from a stream that reads the table's file to its end."""
     source = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"w{abs(hash(tempfile.mktemp()))}"
-    run = classify.rolling_counts(source, "ts", "event_type").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
+    name = f"windows_{uuid.uuid4().hex}"
+    run = classify.rolling_counts(source, "ts", "event_type").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(s)}/streams/{name}").trigger(availableNow=True).start()
     run.awaitTermination()
     return s.table(name)

@@ -33,15 +33,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it in spark.checkpoint.dir; only where
+    that is unset (tests) one is made."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return named or os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows go to storage that all executors share, so that the loss of an
-    executor costs no recomputation of the whole lineage. The folder is the one the cluster names in
-    spark.checkpoint.dir; only where that is unset (tests) a folder is made."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    executor costs no recomputation of the whole lineage."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A value no file holds: keeps empty cells apart from missing ones.
-_NEVER = ""
+_NEVER = "\ue001"
 
 
 class SourceError(ValueError):

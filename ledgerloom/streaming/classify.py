@@ -32,6 +32,7 @@ def classify_stream(requests: DataFrame, merchants: DataFrame, cities: DataFrame
 
 def rolling_counts(events: DataFrame, time: str, kind: str, lateness: str = "1 hour", window: str = "1 day") -> DataFrame:
     """Events per window and kind with a bound on lateness; the same plan on a table or a stream."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     return events.withWatermark(time, lateness).groupBy(F.window(time, window).alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
