@@ -26,7 +26,7 @@ def fit(df: DataFrame, text: str, label: str, features: int = 1 << 14, rounds: i
         RegexTokenizer(inputCol="_text", outputCol="_chars", pattern=".", gaps=False),
         NGram(n=3, inputCol="_chars", outputCol="_grams"),
         HashingTF(inputCol="_grams", outputCol="_f", numFeatures=features, binary=True),
-        StringIndexer(inputCol="_label", outputCol="_y", handleInvalid="keep", stringOrderType="alphabetAsc"),
+        StringIndexer(inputCol="_label", outputCol="_y", handleInvalid="error", stringOrderType="alphabetAsc"),
         LogisticRegression(featuresCol="_f", labelCol="_y", maxIter=rounds, regParam=0.01, **({"weightCol": "_w"} if weight else {})),
     ]
     return Pipeline(stages=steps).fit(rows)

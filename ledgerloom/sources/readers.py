@@ -32,14 +32,12 @@ def header_of(spark: SparkSession, path: str, delimiter: str, quote: str = "") -
 
 def piped(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, delimiter: str = "|") -> DataFrame:
     """Delimited text without quoting, all strings: empty and missing cells are '', records with too many
-    fields are dropped, short ones padded. Only the columns asked for are kept."""
+    fields and blank lines are dropped, short records padded. Only the columns asked for are kept. Lines
+    that repeat the header are taken for the headers of further files."""
     names = header_of(spark, path if isinstance(path, str) else path[0], delimiter)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_bad", T.StringType())])
-    reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad")
-    df = reader.csv(path, sep=delimiter, header=True, quote="", escape="", nullValue=_NEVER, mode="PERMISSIVE", enforceSchema=True)
-    fields = F.size(F.split(F.col("_bad"), re.escape(delimiter), -1))
-    kept = df.filter(F.col("_bad").isNull() | (fields <= len(names)))
-    return kept.select([F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in (columns or names)])
+    lines = spark.read.text(path).filter((F.col("value") != delimiter.join(names)) & (F.col("value") != ""))
+    cells = lines.select(F.split("value", f"[{delimiter}]", -1).alias("c")).filter(F.size("c") <= len(names))
+    return cells.select([F.coalesce(F.get("c", names.index(n)), F.lit("")).alias(n) for n in (columns or names)])
 
 
 def quoted(spark: SparkSession, path: str | list[str], rename: dict[str, str] | None = None) -> DataFrame:
