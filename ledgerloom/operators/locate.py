@@ -26,7 +26,7 @@ NOT_STATES = (
     "CARD", "CAR", "MDEBIT", "MINEDEBIT", "CTDI", "RIVER", "WILD", "WINGS", "MONTHLY", "MONTH", "MOUNTAIN", "INN", "PAR", "PARDEBIT",
     "PARK", "PACIFIC", "PAYMENT", "PAY", "MAIL", "IAS", "DEBIT", "COMPANY", "COUNTY",
 )
-LEAST_CITY, LEAST_CUT, MOST_CUT, LONGEST = 3, 8, 4, 40
+LEAST_CITY, LEAST_CUT, MOST_CUT = 3, 8, 4
 
 
 def gazetteer_keys(cities: DataFrame, city: str, state: str) -> DataFrame:
@@ -40,9 +40,11 @@ def gazetteer_keys(cities: DataFrame, city: str, state: str) -> DataFrame:
     return whole.unionByName(cut).groupBy("key", "kind").agg(F.min_by(F.struct("city", "st"), F.struct("n", "form", "city")).alias("v")).select("key", "kind", "v.city", F.col("v.st").alias("state"))
 
 
-def candidates(df: DataFrame, text: str) -> DataFrame:
+def candidates(df: DataFrame, text: str, longest: int) -> DataFrame:
     """(text, i, j, key, free, closed, begins) for every state position i and start j of a town."""
-    base = df.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct()
+    # a fixed number of partitions: what is exploded below is far more than what adaptive execution sees
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = df.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).repartition(n, "text").distinct()
     plain = F.regexp_replace("text", "(?i) co id:", "")
     base = base.select("text", bare_upper(plain).alias("t"), token_starts(plain).alias("b"))
     at = F.filter(F.sequence(F.lit(0), F.greatest(F.length("t") - 2, F.lit(0))), lambda i: F.substr("t", i + 1, F.lit(2)).isin(*STATES))
@@ -51,16 +53,17 @@ def candidates(df: DataFrame, text: str) -> DataFrame:
     word = F.expr("substring(t, i + 1, nxt - i)")
     rows = rows.withColumn("nxt", following).withColumn("free", ~F.array_contains("b", F.col("i") + 1) & ~F.coalesce(word.isin(*NOT_STATES), F.lit(False)))
     rows = rows.withColumn("closed", (F.col("i") == F.length("t") - 2) | F.array_contains("b", F.col("i") + 2)).filter((F.col("free") | F.col("closed")) & (F.col("i") >= LEAST_CITY))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.greatest(F.lit(0), F.col("i") - LONGEST), F.col("i") - LEAST_CITY)))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.greatest(F.lit(0), F.col("i") - F.coalesce(longest, F.lit(0))), F.col("i") - LEAST_CITY)))
     return rows.select("text", "i", "j", F.expr("concat(substring(t, i + 1, 2), substring(t, j + 1, i - j))").alias("key"), "free", "closed", F.array_contains("b", F.col("j")).alias("begins"))
 
 
 def locate(df: DataFrame, text: str, cities: DataFrame, city: str = "canonical_city", state: str = "state") -> DataFrame:
     """(text, city, state), one row per distinct text that names a town. NULL and short texts name none."""
     keys = gazetteer_keys(cities, city, state)
+    longest = keys.agg(F.max(F.length("key") - 2)).scalar()
     keys = sized_broadcast(keys)
     exact = keys.filter("kind = 1").select(F.col("key").alias("alt"), F.struct("city", "state").alias("alt_place"))
-    hits = candidates(df, text).join(keys, "key").filter(((F.col("kind") == 1) & F.col("free")) | ((F.col("kind") == 2) & F.col("closed") & (F.length("key") >= LEAST_CUT + 2)))
+    hits = candidates(df, text, longest).join(keys, "key").filter(((F.col("kind") == 1) & F.col("free")) | ((F.col("kind") == 2) & F.col("closed") & (F.length("key") >= LEAST_CUT + 2)))
     # a first letter that is a direction but no word of its own may belong to the word before
     stray = F.substring("key", 3, 1).isin("E", "W", "S", "N") & ~F.col("begins") & (F.col("kind") == 1)
     hits = hits.withColumn("alt", F.when(stray, F.concat(F.substring("key", 1, 2), F.substr("key", F.lit(4)))))

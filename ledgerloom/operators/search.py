@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 MAX_SHARE = 0.2
+#: Parts that the documents of a common term are spread over.
+SALTS = 4
 
 
 def terms(text: Column) -> Column:
@@ -45,10 +47,21 @@ def clause(queries: DataFrame, key: str, text: str, boosts: dict[str, float]) ->
     return queries.select(F.col(key).alias("query"), F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).withColumn("c", F.explode(table)).select("query", "term", "c.field", "c.boost")
 
 
+def meet(clauses: DataFrame, weights: DataFrame, on: tuple[str, ...] = ("term", "field")) -> DataFrame:
+    """Joins clauses with weights by term. Common terms are salted: documents fall into SALTS parts, and
+    the clauses, of which there are far fewer, go to each. Both sides get a fixed number of partitions,
+    since the sizes that adaptive execution would coalesce by say nothing of the rows that come out."""
+    n = int(clauses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*on, "_salt"]
+    right = weights.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).repartition(n, *keys)
+    left = clauses.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(n, *keys)
+    return left.join(right, keys).drop("_salt")
+
+
 def score(clauses: DataFrame, weights: DataFrame) -> DataFrame:
     """(query, doc, score) of all documents that meet at least one clause."""
     merged = clauses.groupBy("query", "term", "field").agg(F.sum("boost").alias("boost"))
-    return merged.join(weights, ["term", "field"]).groupBy("query", "doc").agg(F.round(F.sum(F.col("boost") * F.col("w")), 6).alias("score"))
+    return meet(merged, weights).groupBy("query", "doc").agg(F.round(F.sum(F.col("boost") * F.col("w")), 6).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, start: int = 0) -> DataFrame:
@@ -88,13 +101,13 @@ def routed(clauses: DataFrame, weights: DataFrame, doc_region: DataFrame, query_
     directory partitioned by it is read in part."""
     w = weights.join(doc_region.select("doc", "region"), "doc")
     c = clauses.join(query_region.select("query", "region"), "query").groupBy("query", "term", "field", "region").agg(F.sum("boost").alias("boost"))
-    return c.join(w, ["term", "field", "region"]).groupBy("query", "doc").agg(F.round(F.sum(F.col("boost") * F.col("w")), 6).alias("score"))
+    return meet(c, w, ("term", "field", "region")).groupBy("query", "doc").agg(F.round(F.sum(F.col("boost") * F.col("w")), 6).alias("score"))
 
 
 def trial_scores(clauses: DataFrame, weights: DataFrame, trials: DataFrame) -> DataFrame:
     """(trial, query, doc, score) for many boost settings (trial, field, factor) at once: partial scores
     per field are summed first, the few trials are multiplied in afterwards."""
-    partial = clauses.select("query", "term", "field").distinct().join(weights, ["term", "field"]).groupBy("query", "doc", "field").agg(F.sum("w").alias("w"))
+    partial = meet(clauses.select("query", "term", "field").distinct(), weights).groupBy("query", "doc", "field").agg(F.sum("w").alias("w"))
     return partial.join(F.broadcast(trials), "field").groupBy("trial", "query", "doc").agg(F.round(F.sum(F.col("w") * F.col("factor")), 6).alias("score"))
 
 
