@@ -48,6 +48,7 @@ def jump(hooks: DataFrame) -> DataFrame:
 def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, root) for every node of edges (a, b) and of the known (node, root) table, root being the
     smallest node of the component. Self ties and repeated ties do no harm."""
+    edges = cut(edges)  # used several times below; without this the records would be read each time
     label = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().withColumn("root", F.col("node"))
     if known is not None:
         old = known.select("node", "root")
