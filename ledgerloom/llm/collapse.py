@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 PARTS = r"~~|\||;"
 _NOISE = r"[^\p{L}\p{N}]"
 
@@ -48,7 +50,8 @@ def classes(rows: DataFrame, record: str, text: str, equal: list[str], required:
         base = base.filter(F.col(names[equal.index(c)]).isNotNull())
     base = base.filter(F.col("_r").isNotNull() & F.col("_t").rlike(r"[\p{L}\p{N}]"))
     first = base.withColumn("_k1", F.xxhash64(*names, F.length(stripped(F.col("_t")))))
-    kept = first.join(_several(first, ["_k1"], "_r"), "_k1", "left_semi")
+    # few rows are left after the first division: cut, so that the later ones do not read the records again
+    kept = cut(first.join(_several(first, ["_k1"], "_r"), "_k1", "left_semi"))
     second = kept.withColumn("_k2", F.xxhash64("_k1", histogram(stripped(F.col("_t")))))
     kept = second.join(_several(second, ["_k2"], "_r"), "_k2", "left_semi")
     return kept.select("_r", *names, normal_form(F.col("_t")).alias("_form"))
@@ -67,7 +70,7 @@ def copies(rows: DataFrame, record: str = "transaction_id", text: str = "descrip
     """
     kept = classes(rows, record, text, list(equal), list(required))
     keys = [c for c in kept.columns if c != "_r"]
-    counted = kept.groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("n_rows"))
+    counted = cut(kept.groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("n_rows")))
     groups = counted.groupBy(*keys).agg(F.min("_r").alias("_first"), F.max("_r").alias("_last")).filter("_first < _last").drop("_last")
     on = None
     for c in keys:
