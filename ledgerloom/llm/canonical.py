@@ -214,7 +214,7 @@ class Towns:
         while len(ws) > 1 and ws[-1].isdigit():
             ws = ws[:-1]
         state = ""
-        if len(ws) > 1 and ws[-1] in self.states:
+        while len(ws) > 1 and ws[-1] in self.states:
             state, ws = ws[-1], ws[:-1]
         while len(ws) > 1 and ws[-1].isdigit():
             ws = ws[:-1]

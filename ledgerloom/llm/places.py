@@ -154,6 +154,8 @@ def read_place(address: str | None, city: str | None, state: str | None, postcod
             tail += seg
             continue
         at = next((j for j in range(1, len(seg)) if street_type(seg[j]) and any(w not in DIRECTIONS and not w.isdigit() for w in seg[:j])), None)
+        if at is not None and seg[at] in towns.states and all(w.isdigit() for w in seg[at + 1 :]) and any("".join(seg[at - n : at]) in towns.by_form for n in range(1, min(4, at))):
+            at = None  # the state after a town, not a street type
         body = seg[:at] if at is not None else seg
         while len(body) > 1 and body[0] in DIRECTIONS:
             direction, body = direction or DIRECTIONS[body[0]], body[1:]
@@ -167,6 +169,8 @@ def read_place(address: str | None, city: str | None, state: str | None, postcod
                 if len(body) > len(end) and "".join(w for w in end if w not in towns.states) in towns.by_form:
                     tail, body = end + tail, body[: -len(end)]
                     break
+            if len(body) > 1 and body[-1] in DIRECTIONS:
+                direction, body = direction or DIRECTIONS[body[-1]], body[:-1]
             street = body
             continue
         kind = street_type(seg[at])

@@ -26,6 +26,7 @@ TOWNS = Towns([Entry(*c) for c in CITIES])
         (("12 Gallow St", "Port Halvern", "OR", ""), ("13 Gallow St", "Port Halvern", "OR", ""), False),
         (("12 Gallow St", "Tellby", "OR", ""), ("12 Gallow St", "Tellby", "ME", ""), False),
         (("12 Gallow St", "Port Halvern", "OR", ""), ("12 Brunswick St", "Port Halvern", "OR", ""), False),
+        (("12 Gallow North Port Halvern OR 97001", None, "OR", None), ("12 N Gallow St", "P0rt Halvern OR, OR", "OR", ""), True),
         (("", "Port Halvern", "OR", ""), ("", "Port Halvern", "OR", ""), False),
     ],
 )
