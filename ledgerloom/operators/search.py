@@ -3,8 +3,7 @@
 score(query, document) = sum over clauses of clause boost x sum over fields of field boost x BM25 of the
 clause's terms in that field (k1 1.2, b 0.75). The sum is linear in the boosts, so that many boost
 settings can be scored in one job. Ranks go by the score rounded to six digits, then by document id.
-Terms that more than max_share of all documents hold in a field carry next to nothing and are left out,
-which also keeps the join free of the heaviest keys.
+All terms count, however common; the join spreads the documents of a common term over parts.
 """
 
 from __future__ import annotations
@@ -13,9 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-MAX_SHARE = 0.2
-#: Parts that the documents of a common term are spread over.
-SALTS = 4
+#: Most documents of one term that a part of the join holds.
+PART_DOCS = 1_000
 
 
 def terms(text: Column) -> Column:
@@ -29,12 +27,15 @@ def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return flat.groupBy("field", "term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def weighted(post: DataFrame, docs: DataFrame, key: str, fields: list[str], max_share: float = MAX_SHARE) -> DataFrame:
-    """(field, term, doc, w): what a term adds to the score of a document."""
+def weighted(post: DataFrame, docs: DataFrame, key: str, fields: list[str], max_share: float | None = None) -> DataFrame:
+    """(field, term, doc, w): what a term adds to the score of a document. Only where max_share is given
+    are terms left out, namely those that more than this share of a field's documents hold."""
     sizes = docs.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(terms(F.col(f).cast("string"))).alias("dl")) for f in fields])).alias("c")).select("c.*").filter("dl > 0")
     per_field = sizes.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     frequency = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    known = frequency.join(F.broadcast(per_field), "field").filter(F.col("df") <= F.col("n") * max_share)
+    known = frequency.join(F.broadcast(per_field), "field")
+    if max_share is not None:
+        known = known.filter(F.col("df") <= F.col("n") * max_share)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return post.join(known, ["field", "term"]).select("field", "term", "doc", w.alias("w"))
@@ -48,14 +49,17 @@ def clause(queries: DataFrame, key: str, text: str, boosts: dict[str, float]) ->
 
 
 def meet(clauses: DataFrame, weights: DataFrame, on: tuple[str, ...] = ("term", "field")) -> DataFrame:
-    """Joins clauses with weights by term. Common terms are salted: documents fall into SALTS parts, and
-    the clauses, of which there are far fewer, go to each. Both sides get a fixed number of partitions,
-    since the sizes that adaptive execution would coalesce by say nothing of the rows that come out."""
+    """Joins clauses with weights by term. The documents of a common term are spread over as many parts
+    as hold PART_DOCS each, and its clauses, of which there are far fewer, go to each part. Both sides
+    get a fixed number of partitions, since the sizes that adaptive execution would coalesce by say
+    nothing of the rows that come out."""
     n = int(clauses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*on, "_salt"]
-    right = weights.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).repartition(n, *keys)
-    left = clauses.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(n, *keys)
-    return left.join(right, keys).drop("_salt")
+    on = list(on)
+    common = weights.groupBy(*on).agg(F.count(F.lit(1)).alias("_df")).filter(F.col("_df") > PART_DOCS).select(*on, F.ceil(F.col("_df") / PART_DOCS).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    right = weights.join(common, on, "left").withColumn("_part", F.pmod(F.xxhash64("doc"), parts).cast("int")).drop("_parts").repartition(n, *on, "_part")
+    left = clauses.join(common, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts").repartition(n, *on, "_part")
+    return left.join(right, [*on, "_part"]).drop("_part")
 
 
 def score(clauses: DataFrame, weights: DataFrame) -> DataFrame:

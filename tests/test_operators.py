@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +92,39 @@ def test_search_and_trials(spark):
     assert tune.split_parameters({"raw_score_threshold": 1, "es_result_size": 5}) == ({"raw_score_threshold": 1}, {"es_result_size": 5})
 
 
+def test_common_terms_are_scored(spark, monkeypatch):
+    """A chain that holds more than a third of the directory is found by its own name."""
+    docs = spark.createDataFrame([(f"d{i}", "bigmart" if i < 4 else f"shop{i}", "north" if i < 9 else "south") for i in range(10)], "id string, name string, town string")
+    w = search.weighted(search.postings(docs, "id", ["name", "town"]), docs, "id", ["name", "town"])
+    q = spark.createDataFrame([(1, "bigmart"), (2, "shop5 north")], "k int, t string")
+    scored = lambda: {(r.query, r.doc): r.score for r in search.score(search.clause(q, "k", "t", {"name": 2.0, "town": 1.0}), w).collect()}
+    got = scored()
+    idf = lambda df: math.log(1 + (10 - df + 0.5) / (df + 0.5))
+    assert {d for k, d in got if k == 1} == {"d0", "d1", "d2", "d3"} and {d for k, d in got if k == 2} == {f"d{i}" for i in range(9)}
+    assert got[1, "d0"] == pytest.approx(2 * idf(4), abs=1e-6) and got[2, "d5"] == pytest.approx(2 * idf(1) + idf(9), abs=1e-6) and got[2, "d0"] == pytest.approx(idf(9), abs=1e-6)
+    monkeypatch.setattr(search, "PART_DOCS", 2)
+    assert scored() == got
+
+
+@pytest.mark.parametrize("name", ["bm25_fields", "bm25_topk", "bm25_routed", "trial_scores"])
+def test_search_against_sql_of_all_terms(spark, sf, name):
+    """The registered SQL leaves out the terms of more than a fifth of the documents; without that condition it gives
+    the rows of the query."""
+    import duckdb
+
+    from ledgerloom.plans import q_search
+
+    text = q_search.SQL[name]
+    assert text.count(" WHERE df <= n * 0.2") == 1
+    con = duckdb.connect()
+    for t in ("merchants", "labeled_transactions"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = q_search.QUERIES[name](spark, sf)
+    cols = sorted(df.columns)
+    rows = lambda found: sorted(repr(tuple(round(v, 5) if isinstance(v, float) else v for v in r)) for r in found)
+    assert rows(df.select(cols).collect()) == rows(con.execute(f"SELECT {', '.join(cols)} FROM ({text.replace(' WHERE df <= n * 0.2', '')})").fetchall())
+
+
 def brute_locate(text, towns):
     import re
 
