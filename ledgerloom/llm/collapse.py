@@ -36,14 +36,17 @@ def normal_form(text: Column, parts: str = PARTS) -> Column:
     return F.array_join(F.array_sort(F.filter(F.transform(F.split(text, parts), stripped), lambda p: p != "")), "~")
 
 
-def _several(rows: DataFrame, keys: list[str], record: str) -> DataFrame:
-    """The keys that more than one record has."""
+def _several(rows: DataFrame, keys: list[str], record: str, repeats: bool = False) -> DataFrame:
+    """The keys that more than one record has, or with repeats more than one row."""
+    if repeats:
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys)
     return rows.groupBy(*keys).agg(F.min(record).alias("_lo"), F.max(record).alias("_hi")).filter("_lo < _hi").select(*keys)
 
 
-def classes(rows: DataFrame, record: str, text: str, equal: list[str], required: list[str]) -> DataFrame:
+def classes(rows: DataFrame, record: str, text: str, equal: list[str], required: list[str], repeats: bool = False) -> DataFrame:
     """(record, _form, _e0...) of the rows that survive the refinement: those that may have a partner,
-    with the normal form of their text and the columns that must be equal."""
+    with the normal form of their text and the columns that must be equal. With repeats another row of
+    the same record is a partner too."""
     names = [f"_e{i}" for i in range(len(equal))]
     base = rows.select(F.col(record).alias("_r"), F.col(text).cast("string").alias("_t"), *[(F.col(c) + F.lit(0.0) if t in ("double", "float") else F.col(c)).alias(n) for c, n, t in zip(equal, names, [dict(rows.dtypes)[c] for c in equal])])
     for c in required:
@@ -51,9 +54,9 @@ def classes(rows: DataFrame, record: str, text: str, equal: list[str], required:
     base = base.filter(F.col("_r").isNotNull() & F.col("_t").rlike(r"[\p{L}\p{N}]"))
     first = base.withColumn("_k1", F.xxhash64(*names, F.length(stripped(F.col("_t")))))
     # few rows are left after the first division: cut, so that the later ones do not read the records again
-    kept = cut(first.join(_several(first, ["_k1"], "_r"), "_k1", "left_semi"))
+    kept = cut(first.join(_several(first, ["_k1"], "_r", repeats), "_k1", "left_semi"))
     second = kept.withColumn("_k2", F.xxhash64("_k1", histogram(stripped(F.col("_t")))))
-    kept = second.join(_several(second, ["_k2"], "_r"), "_k2", "left_semi")
+    kept = second.join(_several(second, ["_k2"], "_r", repeats), "_k2", "left_semi")
     return kept.select("_r", *names, normal_form(F.col("_t")).alias("_form"))
 
 
@@ -84,7 +87,13 @@ def copy_pairs(rows: DataFrame, record: str = "transaction_id", **how) -> DataFr
     return copies(rows, record, **how).filter(F.col("first") < F.col(record)).select(F.col("first").alias(f"first_{record}"), record).distinct()
 
 
-def collapsed(rows: DataFrame, record: str = "transaction_id", **how) -> DataFrame:
-    """One row per group of copies: (record, n_records, n_rows), record being the smallest. Records
-    without copies are not listed."""
-    return copies(rows, record, **how).groupBy(F.col("first").alias(record)).agg(F.count_distinct(record).alias("n_records"), F.sum("n_rows").alias("n_rows"))
+def collapsed(rows: DataFrame, record: str = "transaction_id", text: str = "description_unmasked", equal: tuple[str, ...] = ("unique_mem_id", "amount", "transaction_date", "ledger_entry"), required: tuple[str, ...] = ("unique_mem_id",)) -> DataFrame:
+    """(record, n_records, n_rows) of each group of two or more rows, as copies() groups them: its smallest
+    record, how many records it has and how many rows carry them. Rows of one record that was delivered
+    again are copies as well. Groups with the same smallest record are added up. Rows without copies are
+    not listed."""
+    kept = classes(rows, record, text, list(equal), list(required), repeats=True)
+    keys = [c for c in kept.columns if c != "_r"]
+    counted = kept.groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("_n"))
+    groups = counted.groupBy(*keys).agg(F.min("_r").alias(record), F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_n")).filter("_n > 1")
+    return groups.groupBy(record).agg(F.sum("_k").alias("n_records"), F.sum("_n").alias("n_rows"))
