@@ -31,8 +31,8 @@ def match_stores(stores: DataFrame, merchants: DataFrame, key: str = "store_row"
 
 def update_directory(merchants: DataFrame, matches: DataFrame, stores: DataFrame, key: str = "store_row", merchant_key: str = "factual_id", number: str = "aggdata_store_number") -> DataFrame:
     """A new snapshot of the directory with store numbers filled in; of several stores matched to one
-    merchant the last one counts."""
-    numbers = matches.filter("matched").join(stores.select(key, F.col(number).alias("_number")), key)
+    merchant the last one that has a number counts."""
+    numbers = matches.filter("matched").join(stores.select(key, F.col(number).alias("_number")).filter("_number is not null"), key)
     newest = numbers.groupBy(merchant_key).agg(F.max_by("_number", key).alias("_number"))
     return merchants.join(newest, merchant_key, "left").withColumn("internal_store_number", F.coalesce("_number", F.lit(""))).drop("_number")
 

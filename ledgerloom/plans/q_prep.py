@@ -84,8 +84,7 @@ def rename_fields(s, d):
 
 @query("SELECT row_number() OVER (ORDER BY transaction_id, unique_mem_id, loaded_at) AS request_pos, transaction_id, description AS text, 'credit' AS ledger_entry FROM labeled_transactions WHERE transaction_id % 50 = 0")
 def request_adapter(s, d):
-    t = table(s, d, LT).filter("transaction_id % 50 = 0")
-    out = prep.row_numbers(t, ["transaction_id", "unique_mem_id", "loaded_at"], buckets=8)
+    out = prep.row_numbers(table(s, d, LT), ["transaction_id", "unique_mem_id", "loaded_at"], buckets=8)
     return out.select((F.col("row_no") + 1).alias("request_pos"), "transaction_id", F.col("description").alias("text"), F.lit("credit").alias("ledger_entry"))
 
 

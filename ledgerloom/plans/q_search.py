@@ -1,5 +1,6 @@
 """Queries of search, enrichment, relinking and store merging. Search queries take every transaction
-whose id is divisible by 50 (every store row likewise) against the whole directory."""
+whose id is divisible by 50 (store_match every store row likewise) against the whole directory; merging
+takes all store rows."""
 
 from __future__ import annotations
 
@@ -270,12 +271,8 @@ def blank_columns(s, d):
 
 # ---- stores
 
-def _store_rows(s, d):
-    return table(s, d, "store_numbers").filter("store_row % 50 = 0")
-
-
 def _matches(s, d):
-    return stores.match_stores(_store_rows(s, d), _directory(s, d))
+    return stores.match_stores(table(s, d, "store_numbers"), _directory(s, d))
 
 
 _SCELLS = " UNION ALL ".join(f"SELECT factual_id AS doc, '{f}' AS field, regexp_extract_all(lower({f}), '[a-z0-9]+') AS ts FROM dirx" for f in stores.FIELDS.values())
@@ -292,7 +289,7 @@ _STORE = f"""WITH dirx AS {_DIR}, cells AS ({_SCELLS}),
 
 @query(_STORE + "SELECT store_row, keywords, n_hits, gap, CASE WHEN matched THEN doc END AS factual_id, matched FROM m")
 def store_match(s, d):
-    return _matches(s, d)
+    return stores.match_stores(table(s, d, "store_numbers").filter("store_row % 50 = 0"), _directory(s, d))
 
 
 @query(_STORE + "SELECT factual_id, coalesce(number, '') AS internal_store_number FROM dirx LEFT JOIN (SELECT doc, max_by(aggdata_store_number, m.store_row) AS number FROM m JOIN store_numbers n ON n.store_row = m.store_row WHERE matched GROUP BY 1) ON doc = factual_id")

@@ -125,6 +125,28 @@ def test_search_against_sql_of_all_terms(spark, sf, name):
     assert rows(df.select(cols).collect()) == rows(con.execute(f"SELECT {', '.join(cols)} FROM ({text.replace(' WHERE df <= n * 0.2', '')})").fetchall())
 
 
+@pytest.mark.parametrize("name", ["store_update", "percent_merged", "request_adapter"])
+def test_all_rows_against_sql(spark, sf, name):
+    """The registered SQL takes one row in fifty; without that and the condition on common terms it gives the rows of
+    the query."""
+    import re
+
+    import duckdb
+
+    from ledgerloom.plans import q_prep, q_search
+
+    sql = {**q_search.SQL, **q_prep.SQL}[name]
+    text = re.sub(r" WHERE (s\.)?(store_row|transaction_id) % 50 = 0", "", sql).replace(" WHERE df <= n * 0.2", "")
+    assert "% 50" in sql and "% 50" not in text
+    con = duckdb.connect()
+    for t in ("merchants", "labeled_transactions", "store_numbers"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = {**q_search.QUERIES, **q_prep.QUERIES}[name](spark, sf)
+    cols = sorted(df.columns)
+    rows = lambda found: sorted(map(repr, map(tuple, found)))
+    assert rows(df.select(cols).collect()) == rows(con.execute(f"SELECT {', '.join(cols)} FROM ({text})").fetchall())
+
+
 def brute_locate(text, towns):
     import re
 
