@@ -56,11 +56,14 @@ def label_onehot(s, d):
 
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-,;.!?:'\"/\\|_@#$%^&*~`+=<>()[]{}"  # fixed value
+#: Characters of a description that the classifiers read.
+DOC_LENGTH = 123
 
 
 @query("SELECT city_id, array_to_string(list_reverse(list_transform(string_split(lower(substr(canonical_city, 1, 12)), ''), lambda c: strpos('" + ALPHABET.replace("'", "''") + "', c))), ',') AS indices FROM city_ref")
 def char_onehot(s, d):
-    return table(s, d, "city_ref").select("city_id", F.array_join(ar.char_indices(F.col("canonical_city"), ALPHABET, 12).cast("array<string>"), ",").alias("indices"))
+    indices = ar.char_indices(F.col("description_unmasked"), ALPHABET, DOC_LENGTH)
+    return table(s, d, "labeled_transactions").select("transaction_id", F.array_join(indices.cast("array<string>"), ",").alias("indices"))
 
 
 @query("""SELECT word, row_number() OVER (ORDER BY place) AS word_index FROM (SELECT word, min(merchant_id * 100 + pos) AS place FROM (SELECT merchant_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM (SELECT merchant_id, string_split(lower(canonical_name), ' ') AS ws FROM merchant_ref)) GROUP BY word)""")

@@ -78,3 +78,19 @@ def test_geo(spark):
     inside = lambda x, y: value(spark, geo.in_polygon(F.lit(float(x)), F.lit(float(y)), [square, hole]))
     assert inside(1, 1) and inside(9, 5) and not inside(5, 5) and not inside(11, 5)
     assert value(spark, geo.in_multipolygon(F.lit(21.0), F.lit(1.0), [[square], [[(20, 0), (25, 0), (22, 9)]]]))
+
+
+def test_char_onehot_reads_whole_descriptions(spark, sf, tmp_path):
+    from ledgerloom.plans import q_arrays
+
+    def indices(text):
+        return None if text is None else ",".join(str(q_arrays.ALPHABET.find(c) + 1) for c in reversed(text.lower()[:123]))
+
+    rows = spark.read.parquet(f"{sf}/labeled_transactions.parquet").select("transaction_id", "description_unmasked").collect()
+    key = lambda r: (r[0], r[1] or "", r[1] is None)
+    got = q_arrays.char_onehot(spark, sf).collect()
+    assert any(len(t or "") > 12 for _, t in rows) and sorted(map(tuple, got), key=key) == sorted(((i, indices(t)) for i, t in rows), key=key)
+    long = [(1, "Ab-9 é" * 40), (2, ""), (3, None)]
+    spark.createDataFrame(long, "transaction_id long, description_unmasked string").write.parquet(f"{tmp_path}/labeled_transactions.parquet")
+    got = {r.transaction_id: r.indices for r in q_arrays.char_onehot(spark, str(tmp_path)).collect()}
+    assert got == {i: indices(t) for i, t in long} and got[1].count(",") == 122
