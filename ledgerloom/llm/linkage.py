@@ -194,7 +194,9 @@ def link(
     Of several deliveries of one merchant the latest counts. Records without number, street or town,
     and records without a name, are no candidates. NULLs in other columns make functions abstain. A
     model is fitted to whatever candidates there are; without any there are no rows. After the model an
-    exact check keeps only pairs whose parts of the address do not contradict each other. Repeated
+    exact check keeps only pairs whose parts of the address do not contradict each other and whose names
+    differ neither in the telling word nor in the trade: another business at the same address agrees in
+    all other votes, so that its posterior may be high. Repeated
     store rows are matched alike; other columns are not read.
     """
     entries = gazetteer(cities)

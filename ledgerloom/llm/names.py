@@ -15,6 +15,7 @@ def name_words(name: str) -> tuple[str, ...]:
     text = re.sub(r"^\s*(https?://)?(www\.)?", "", fold(name))
     text = re.sub(r"^\s*(?:[\w-]{1,8}\s*\*|z-pay\b)", " ", re.sub(r"#\s*\w+", " ", text))
     ws = words(re.sub(r"'s?\b", " ", text))
+    ws = [w for i, w in enumerate(ws) if i == 0 or w != "s"]  # a possessive whose apostrophe is lost
     while len(ws) > 1 and ws[0] in PAYMENT_MARKS:
         ws = ws[1:]
     while len(ws) > 1 and (ws[-1] in LEGAL_FORMS or ws[-1].isdigit()):

@@ -86,3 +86,11 @@ def test_names():
     assert compare("Brandlow Lodge", "BRANDLOW LDG")[0] == 1 and compare("Brandlow Lodge", "brandlowlodge.example")[0] == 1
     assert compare("Brandlow Lodge", "Brandlow Daycare") == (1, -1) and compare("Brandlow Lodge", "Kestrel Diner")[0] == -1
     assert compare("Brandlow Hdwe", "Brandlow Hardwr", ("hardware",)) == (1, 1) and compare("", "x") == (0, 0)
+
+
+def test_a_parted_possessive_is_no_word_of_the_name():
+    from ledgerloom.llm.names import compare
+
+    assert compare("Heanebith's Garden", "heanebith s gdn") == (1, 1)
+    assert compare("Paizprid's Cinemas", "paizprid s") == (1, 0)
+    assert compare("Mabouvib Market", "palfib s market")[1] == -1
