@@ -339,7 +339,8 @@ def map_to_list(df: DataFrame, key: str, fields: list[tuple[Field, DataFrame]],
     if all(len(blocks) == 1 for _, blocks in lists):
         exact = F.broadcast(exact)
     inexact = values.join(exact, ["field_name", "value"], "left_anti")
-    towns = [e for f, blocks in lists if f.kind == "town" for e in blocks[0]]
+    # of all blocks, so that what is stripped from behind a name does not depend on the block size
+    towns = [e for f, blocks in lists if f.kind == "town" for entries in blocks for e in entries]
     schema = ", ".join(f"`{n}` {t}" for n, t in inexact.dtypes) + ", ref_id bigint, cost double, seen bigint"
     steps = max(len(blocks) for _, blocks in lists)
     out = None

@@ -63,3 +63,13 @@ def test_queries_on_awkward_tables(spark):
     assert {r.ref_id for r in found(df, "transaction_id", [(MERCHANT, shops.limit(0)), (CITY, towns.limit(0))]).collect()} == {0}
     blocks = map_to_list(df, "transaction_id", fields, block=2)
     assert {(r.transaction_id, r.field_name): r.ref_id for r in blocks.collect()} == got
+
+
+def test_towns_of_all_blocks_are_stripped_from_names(spark):
+    shops = spark.createDataFrame([(e.ref_id, e.name, e.extra) for e in SHOPS], "merchant_id long, canonical_name string, trade string")
+    names = ["Ashvale", "Birchmoor", "Cedarholm", "Dunwick", "Elmstead", "Foxbury", "Gorsley", "Hartwell"]
+    towns = spark.createDataFrame([(i, n, "OR") for i, n in enumerate(names, 1)], "city_id long, canonical_city string, state string")
+    df = spark.createDataFrame([(i, f"{SHOPS[0].name} of {n}", None, "OR") for i, n in enumerate(names, 1)], "transaction_id long, merchant_name string, city string, state string")
+    fields = [(MERCHANT, shops), (CITY, towns)]
+    got = lambda **how: {r.transaction_id: r.ref_id for r in map_to_list(df, "transaction_id", fields, **how).collect()}
+    assert got(block=2) == got() == {i: SHOPS[0].ref_id for i in range(1, 9)}
