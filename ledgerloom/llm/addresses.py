@@ -92,13 +92,18 @@ def verified(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def location_links(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
     """(a, b) of locations that denote the same place; within one set a < b, between two sets every
-    pair including equal readings. Band collisions are between different readings only, so that
-    copies of a reading cost nothing here."""
-    x = banded(left).select("band_key", F.col("loc").alias("a"))
-    y = banded(left if right is None else right).select("band_key", F.col("loc").alias("b"))
-    pairs = x.join(y, "band_key")
+    pair including equal readings. All readings of one town and number are compared, so that no pair is
+    lost, but for those of which parts differ that both give, or streets that differ in length by more
+    than the edits allow. Copies of a reading cost nothing here."""
+    part = lambda i: F.split("loc", "[|]")[i]
+    side = lambda x, loc: x.select("town", "number", F.col("loc").alias(loc), *[part(i).alias(f"{loc}{i}") for i in (2, 3, 4, 5)])
+    pairs = side(left, "a").join(side(left if right is None else right, "b"), ["town", "number"])
     if right is None:
         pairs = pairs.filter("a < b")
+    for i in (2, 4, 5):  # direction, street type, unit
+        pairs = pairs.filter((F.col(f"a{i}") == "") | (F.col(f"b{i}") == "") | (F.col(f"a{i}") == F.col(f"b{i}")))
+    # an edit that changes the length costs 0.6 at least, and 2 is the most that is allowed
+    pairs = pairs.filter(F.abs(F.length("a3") - F.length("b3")) * 0.6 <= 2.0)
     return pairs.select("a", "b").distinct().filter(verified("a", "b"))
 
 

@@ -94,3 +94,14 @@ def test_a_parted_possessive_is_no_word_of_the_name():
     assert compare("Heanebith's Garden", "heanebith s gdn") == (1, 1)
     assert compare("Paizprid's Cinemas", "paizprid s") == (1, 0)
     assert compare("Mabouvib Market", "palfib s market")[1] == -1
+
+
+def test_pairs_of_streets_without_a_common_band(spark):
+    from ledgerloom.llm.places import street_bands
+
+    spelt = [("bicagi", "bucago"), ("nipeba", "nimeda"), ("rocade", "racada"), ("patoco", "paloko")]
+    assert all(x != y for a, b in spelt for x, y in zip(street_bands(a), street_bands(b)))
+    rows = [(10 * i + j, f"{i} {name} St", "Port Halvern", "OR", "97001") for i, pair in enumerate(spelt, 1) for j, name in enumerate(pair)]
+    stores = spark.createDataFrame(rows, "store_row long, address string, city string, state string, zip_code string")
+    got = {tuple(r) for r in same_address_pairs(stores, _tables(spark)[1]).collect()}
+    assert got == {(10 * i, 10 * i + 1) for i in range(1, 5)}
