@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut
 from . import search
 from .locate import locate
 from .prep import needs_search
@@ -46,10 +47,9 @@ def find_merchants(transactions: DataFrame, key: str, description: str, merchant
     attributes. Rows that are too short to search, or have fewer than two hits, or whose best hit is
     a town, come out without a result."""
     places = locate(transactions, description, cities) if known_places is None else known_places
-    rows = transactions.join(places.withColumnRenamed("city", "_city").withColumnRenamed("state", "_state"), description, "left")
+    rows = cut(transactions.join(places.withColumnRenamed("city", "_city").withColumnRenamed("state", "_state"), description, "left"))
     fields = list(BOOSTS)
-    weights = search.weighted(search.postings(merchants, merchant_key, fields), merchants, merchant_key, fields)
-    hits = search.top_k(search.score(clauses(rows, key, description, "_city", "_state"), weights), RESULT_SIZE)
+    hits = cut(search.top_hits(clauses(rows, key, description, "_city", "_state"), search.index(merchants, merchant_key, fields), RESULT_SIZE))
     facts = search.gaps(hits)
     two = search.top_two(hits, merchants, merchant_key, ["place_name", "locality", "region"])
     top = hits.filter("rank = 1").select("query", F.col("doc").alias(merchant_key)).join(merchants.select(merchant_key, *[f for f in OUTPUT], "longitude", "latitude"), merchant_key)

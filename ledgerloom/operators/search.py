@@ -3,17 +3,22 @@
 score(query, document) = sum over clauses of clause boost x sum over fields of field boost x BM25 of the
 clause's terms in that field (k1 1.2, b 0.75). The sum is linear in the boosts, so that many boost
 settings can be scored in one job. Ranks go by the score rounded to six digits, then by document id.
-All terms count, however common; the join spreads the documents of a common term over parts.
+All terms count, however common. score() scores every document that shares a term with a query;
+top_hits() finds the best ones without doing so.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, sized_broadcast
+
 K1, B = 1.2, 0.75
-#: Most documents of one term that a part of the join holds.
-PART_DOCS = 1_000
+#: Most documents and most clauses of one term that a part of the join holds.
+PART_DOCS, PART_CLAUSES = 1_000, 10_000
 
 
 def terms(text: Column) -> Column:
@@ -27,18 +32,19 @@ def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return flat.groupBy("field", "term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def weighted(post: DataFrame, docs: DataFrame, key: str, fields: list[str], max_share: float | None = None) -> DataFrame:
-    """(field, term, doc, w): what a term adds to the score of a document. Only where max_share is given
-    are terms left out, namely those that more than this share of a field's documents hold."""
+def _weight() -> Column:
+    """BM25 of a term from df, n, tf, dl and avgdl."""
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def weighted(post: DataFrame, docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(field, term, doc, w): what a term adds to the score of a document. No term is left out."""
     sizes = docs.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(terms(F.col(f).cast("string"))).alias("dl")) for f in fields])).alias("c")).select("c.*").filter("dl > 0")
     per_field = sizes.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     frequency = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     known = frequency.join(F.broadcast(per_field), "field")
-    if max_share is not None:
-        known = known.filter(F.col("df") <= F.col("n") * max_share)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return post.join(known, ["field", "term"]).select("field", "term", "doc", w.alias("w"))
+    return post.join(known, ["field", "term"]).select("field", "term", "doc", _weight().alias("w"))
 
 
 def clause(queries: DataFrame, key: str, text: str, boosts: dict[str, float]) -> DataFrame:
@@ -48,18 +54,22 @@ def clause(queries: DataFrame, key: str, text: str, boosts: dict[str, float]) ->
     return queries.select(F.col(key).alias("query"), F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).withColumn("c", F.explode(table)).select("query", "term", "c.field", "c.boost")
 
 
-def meet(clauses: DataFrame, weights: DataFrame, on: tuple[str, ...] = ("term", "field")) -> DataFrame:
+def meet(clauses: DataFrame, weights: DataFrame, on: tuple[str, ...] = ("term", "field"), doc: str = "doc") -> DataFrame:
     """Joins clauses with weights by term. The documents of a common term are spread over as many parts
-    as hold PART_DOCS each, and its clauses, of which there are far fewer, go to each part. Both sides
-    get a fixed number of partitions, since the sizes that adaptive execution would coalesce by say
-    nothing of the rows that come out."""
+    as hold PART_DOCS each and the clauses of a term that many queries hold over parts of PART_CLAUSES;
+    every part of the one meets every part of the other once. Both sides get a fixed number of
+    partitions, since the sizes that adaptive execution would coalesce by say nothing of the rows
+    that come out."""
     n = int(clauses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     on = list(on)
-    common = weights.groupBy(*on).agg(F.count(F.lit(1)).alias("_df")).filter(F.col("_df") > PART_DOCS).select(*on, F.ceil(F.col("_df") / PART_DOCS).cast("int").alias("_parts"))
-    parts = F.coalesce("_parts", F.lit(1))
-    right = weights.join(common, on, "left").withColumn("_part", F.pmod(F.xxhash64("doc"), parts).cast("int")).drop("_parts").repartition(n, *on, "_part")
-    left = clauses.join(common, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts").repartition(n, *on, "_part")
-    return left.join(right, [*on, "_part"]).drop("_part")
+    many = lambda df, most, out: df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(*on, F.ceil(F.col("_n") / most).cast("int").alias(out))
+    common, popular = many(weights, PART_DOCS, "_dp"), many(clauses, PART_CLAUSES, "_cp")
+    parted = lambda df: df.join(common, on, "left").join(popular, on, "left").withColumns({"_dp": F.coalesce("_dp", F.lit(1)), "_cp": F.coalesce("_cp", F.lit(1))})
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    own = lambda key, parts: F.pmod(F.xxhash64(key), F.col(parts)).cast("int")
+    right = parted(weights).withColumn("_d", own(doc, "_dp")).withColumn("_c", every("_cp")).drop("_dp", "_cp").repartition(n, *on, "_d", "_c")
+    left = parted(clauses).withColumn("_c", own("query", "_cp")).withColumn("_d", every("_dp")).drop("_dp", "_cp").repartition(n, *on, "_d", "_c")
+    return left.join(right, [*on, "_d", "_c"]).drop("_d", "_c")
 
 
 def score(clauses: DataFrame, weights: DataFrame) -> DataFrame:
@@ -75,6 +85,92 @@ def top_k(scored: DataFrame, k: int, start: int = 0) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") > start) & (F.col("rank") <= start + k))
 
 
+@dataclass(frozen=True)
+class Index:
+    """What is kept of a directory for search.
+
+    docs: (id, doc, terms), terms being a map from tag to weight; postings: (tag, id, w); lists: (tag, df,
+    top), the number of documents of a tag and its largest weight. A tag is a term of a field, of a route
+    where the index is routed.
+    """
+
+    docs: DataFrame
+    postings: DataFrame
+    lists: DataFrame
+    routed: bool = False
+
+
+def tag(routed: bool = False) -> Column:
+    return F.concat_ws("\x1f", *(["route"] if routed else []), "field", "term")
+
+
+def index(docs: DataFrame, key: str, fields: list[str], route: str | None = None, routes: DataFrame | None = None) -> Index:
+    """Indexes every document. Weights are those of weighted(), over the whole directory. With a route
+    column documents are kept apart by it, and only those whose route is among `routes` (route) are
+    indexed. NULL routes have no documents."""
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), terms(F.col(f).cast("string")).alias("ts")) for f in fields])
+    numbered = cut(docs.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("doc"), (F.col(route) if route else F.lit("")).cast("string").alias("route"), cells.alias("cells")))
+    flat = numbered.select("id", "route", F.explode("cells").alias("c")).filter(F.size("c.ts") > 0).select("id", "route", "c.field", F.size("c.ts").alias("dl"), F.explode("c.ts").alias("term"))
+    post = flat.groupBy("field", "term", "id", "dl", "route").agg(F.count(F.lit(1)).alias("tf"))
+    per_field = numbered.select(F.explode("cells").alias("c")).select("c.field", F.size("c.ts").alias("dl")).filter("dl > 0").groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    known = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(per_field), "field")  # one row a field
+    if route:
+        post = post.filter("route is not null")
+    if routes is not None:
+        post = post.join(sized_broadcast(routes.select(F.col("route").cast("string")).distinct()), "route", "left_semi")
+    postings = cut(post.join(known, ["field", "term"]).select(tag(bool(route)).alias("tag"), "id", _weight().alias("w")))
+    lists = postings.groupBy("tag").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top"))
+    vectors = postings.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "w"))).alias("terms"))  # as long as the document itself
+    return Index(cut(numbered.select("id", "doc").join(vectors, "id")), postings, cut(lists), bool(route))
+
+
+#: What rounding may add to a score: bounds are kept this far apart.
+SLACK = 1e-5
+
+
+def top_hits(clauses: DataFrame, idx: Index, k: int, start: int = 0) -> DataFrame:
+    """(query, doc, score, rank), ranks start + 1 to start + k: exactly what top_k(score(...)) gives, without
+    scoring every document that shares a common term with a query.
+
+    The documents in which a query's strongest terms weigh most are scored in full; the k-th best of
+    these scores bounds the k-th hit from below. The terms that bring the most documents for the
+    least weight are then set aside as long as all of them together stay below the bound: a document
+    that holds nothing else cannot be a hit. The documents of the other terms are gathered, those
+    that cannot reach the bound with all the terms set aside are dropped, and the rest is scored in
+    full. Queries for which the bound sets nothing aside are scored over all their documents.
+    """
+    last = start + k
+    labelled = clauses if idx.routed else clauses.withColumn("route", F.lit(""))
+    asked = labelled.select("query", tag(idx.routed).alias("tag"), "boost").groupBy("query", "tag").agg(F.sum("boost").alias("boost")).filter("boost > 0")
+    asked = cut(asked.join(idx.lists, "tag").select("query", "tag", "boost", "df", (F.col("boost") * F.col("top")).alias("most")))
+    by_weight = Window.partitionBy("query").orderBy(F.col("most").desc(), "tag").rowsBetween(Window.unboundedPreceding, -1)
+    strongest = asked.withColumn("_seen", F.coalesce(F.sum(F.least("df", F.lit(last))).over(by_weight), F.lit(0))).filter(F.col("_seen") < 3 * last).select("query", "tag")
+    best = Window.partitionBy("tag").orderBy(F.col("w").desc(), "id")
+    heads = idx.postings.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= last).select("tag", "id")
+    seeds = strongest.join(heads, "tag").select("query", "id").distinct()
+    everything = asked.groupBy("query").agg(F.collect_list(F.struct("tag", "boost")).alias("rest"))
+    ranked = Window.partitionBy("query").orderBy(F.col("score").desc())
+    bounds = _looked_up(seeds.withColumn("part", F.lit(0.0)), everything, idx).withColumn("_n", F.row_number().over(ranked)).filter(F.col("_n") == last).select("query", F.col("score").alias("bound"))
+    by_cost = Window.partitionBy("query").orderBy((F.col("df") / F.col("most")).desc(), "tag")
+    planned = asked.join(bounds, "query", "left").withColumn("_aside", F.sum("most").over(by_cost.rowsBetween(Window.unboundedPreceding, 0)))
+    planned = cut(planned.withColumn("aside", F.coalesce(F.col("_aside") < F.col("bound") - SLACK, F.lit(False))))
+    per_query = planned.groupBy("query").agg(
+        F.coalesce(F.max("bound") - F.sum(F.when(F.col("aside"), F.col("most")).otherwise(0.0)), F.lit(0.0)).alias("need"),
+        F.collect_list(F.when(F.col("aside"), F.struct("tag", "boost"))).alias("rest"),
+    )
+    per_query = cut(per_query.select("query", (F.col("need") - SLACK).alias("need"), "rest"))
+    sought = planned.filter(~F.col("aside")).select("query", "tag", "boost").join(per_query.select("query", "need"), "query")
+    parts = meet(sought, idx.postings, ("tag",), "id").groupBy("query", "id").agg(F.sum(F.col("boost") * F.col("w")).alias("part"), F.max("need").alias("need")).filter("part >= need").drop("need")
+    return top_k(_looked_up(parts, per_query, idx), k, start)
+
+
+def _looked_up(pairs: DataFrame, rest: DataFrame, idx: Index) -> DataFrame:
+    """(query, doc, score) of (query, id, part): part and what the rest of the query's terms add to it."""
+    joined = pairs.join(rest.select("query", "rest"), "query").join(idx.docs, "id")
+    add = lambda total, c: total + c["boost"] * F.coalesce(F.try_element_at("terms", c["tag"]), F.lit(0.0))
+    return joined.select("query", "doc", F.round(F.aggregate("rest", F.col("part"), add), 6).alias("score"))
+
+
 def gaps(hits: DataFrame) -> DataFrame:
     """(query, n_hits, top_score, gap): the difference of the first two population z-scores to three
     digits; NULL for one hit or equal scores."""
@@ -100,19 +196,12 @@ def top_two(hits: DataFrame, docs: DataFrame, key: str, columns: list[str]) -> D
     return two.groupBy("query").agg(*[F.max(F.when(F.col("rank") == i, F.col(c))).alias(f"{c}_{i}") for c in columns for i in (1, 2)])
 
 
-def routed(clauses: DataFrame, weights: DataFrame, doc_region: DataFrame, query_region: DataFrame) -> DataFrame:
-    """Scores only documents of the query's region: the region is part of the join key, so that a
-    directory partitioned by it is read in part."""
-    w = weights.join(doc_region.select("doc", "region"), "doc")
-    c = clauses.join(query_region.select("query", "region"), "query").groupBy("query", "term", "field", "region").agg(F.sum("boost").alias("boost"))
-    return meet(c, w, ("term", "field", "region")).groupBy("query", "doc").agg(F.round(F.sum(F.col("boost") * F.col("w")), 6).alias("score"))
-
-
-def trial_scores(clauses: DataFrame, weights: DataFrame, trials: DataFrame) -> DataFrame:
-    """(trial, query, doc, score) for many boost settings (trial, field, factor) at once: partial scores
-    per field are summed first, the few trials are multiplied in afterwards."""
-    partial = meet(clauses.select("query", "term", "field").distinct(), weights).groupBy("query", "doc", "field").agg(F.sum("w").alias("w"))
-    return partial.join(F.broadcast(trials), "field").groupBy("trial", "query", "doc").agg(F.round(F.sum(F.col("w") * F.col("factor")), 6).alias("score"))
+def trial_hits(clauses: DataFrame, idx: Index, trials: DataFrame, k: int) -> DataFrame:
+    """(trial, query, doc, score, rank) for many boost settings (trial, field, factor) in one job: every
+    query is asked once per trial, with the trial's factors as boosts. There are few trials."""
+    each = clauses.select("query", "term", "field").distinct().join(sized_broadcast(trials), "field")
+    hits = top_hits(each.select(F.struct("trial", "query").alias("query"), "term", "field", F.col("factor").alias("boost")), idx, k)
+    return hits.select("query.trial", "query.query", "doc", "score", "rank")
 
 
 def directory(docs: DataFrame, key: str, updated: str) -> DataFrame:

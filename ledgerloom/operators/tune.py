@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .search import trial_scores
+from .search import Index, trial_hits
 
 # Parameters of a setting that are no boosts.
 NOT_BOOSTS = ("es_result_size", "z_score_threshold", "good_description")
@@ -33,11 +33,9 @@ def trial_table(spark: SparkSession, settings: list[dict[str, float]]) -> DataFr
     return spark.createDataFrame(rows, "trial int, field string, factor double")
 
 
-def evaluate(clauses: DataFrame, weights: DataFrame, trials: DataFrame, truth: DataFrame, least_gap: float = 0.0) -> DataFrame:
+def evaluate(clauses: DataFrame, idx: Index, trials: DataFrame, truth: DataFrame, least_gap: float = 0.0) -> DataFrame:
     """(trial, n, accuracy, percent_labelled) of every trial against truth (query, doc), in one job."""
-    scored = trial_scores(clauses, weights, trials)
-    w = Window.partitionBy("trial", "query").orderBy(F.col("score").desc(), "doc")
-    top = scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 45")
+    top = trial_hits(clauses, idx, trials, 45)
     facts = top.groupBy("trial", "query").agg(F.max(F.when(F.col("rank") == 1, F.col("doc"))).alias("doc"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("s2"), F.stddev_pop("score").alias("sd"))
     gap = F.try_divide(F.col("s1") - F.col("s2"), F.when(F.col("sd") > 1e-9, F.col("sd")))
     labelled = F.coalesce(gap > least_gap, F.lit(False))

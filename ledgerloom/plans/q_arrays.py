@@ -60,7 +60,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-,;.!?:'\"/\\|_@#$%^&*~`+=<>()[]
 DOC_LENGTH = 123
 
 
-@query("SELECT city_id, array_to_string(list_reverse(list_transform(string_split(lower(substr(canonical_city, 1, 12)), ''), lambda c: strpos('" + ALPHABET.replace("'", "''") + "', c))), ',') AS indices FROM city_ref")
+@query(f"""SELECT transaction_id, array_to_string(list_reverse(list_transform(range(1, length(t) + 1), lambda i: strpos('{ALPHABET.replace("'", "''")}', substr(t, i, 1)))), ',') AS indices
+    FROM (SELECT transaction_id, substr(lower(description_unmasked), 1, {DOC_LENGTH}) AS t FROM labeled_transactions)""")
 def char_onehot(s, d):
     indices = ar.char_indices(F.col("description_unmasked"), ALPHABET, DOC_LENGTH)
     return table(s, d, "labeled_transactions").select("transaction_id", F.array_join(indices.cast("array<string>"), ",").alias("indices"))

@@ -51,7 +51,7 @@ def trial_accuracy(s, d):
     """Accuracy of several boost settings against the ids the transactions carry."""
     asked = table(s, d, LT).filter("transaction_id % 50 = 0 and factual_id not in ('', 'NULL')").groupBy(F.col("transaction_id").alias("query")).agg(F.min("factual_id").alias("doc"))
     settings = [dict(q_search.FIELDS), {"place_name": 2.0, "locality": 3.0, "region": 1.0}, {"place_name": 1.0}]
-    return tune.evaluate(q_search._clauses(s, d), q_search._weights(s, d), tune.trial_table(s, settings), asked)
+    return tune.evaluate(q_search._clauses(s, d), q_search._index(s, d), tune.trial_table(s, settings), asked)
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -82,7 +82,7 @@ def rename_fields(s, d):
     return prep.with_fields(table(s, d, "merchants"), {"place_name": "name", "address": "street", "locality": "city"})
 
 
-@query("SELECT row_number() OVER (ORDER BY transaction_id, unique_mem_id, loaded_at) AS request_pos, transaction_id, description AS text, 'credit' AS ledger_entry FROM labeled_transactions WHERE transaction_id % 50 = 0")
+@query("SELECT row_number() OVER (ORDER BY transaction_id, unique_mem_id, loaded_at) AS request_pos, transaction_id, description AS text, 'credit' AS ledger_entry FROM labeled_transactions")
 def request_adapter(s, d):
     out = prep.row_numbers(table(s, d, LT), ["transaction_id", "unique_mem_id", "loaded_at"], buckets=8)
     return out.select((F.col("row_no") + 1).alias("request_pos"), "transaction_id", F.col("description").alias("text"), F.lit("credit").alias("ledger_entry"))

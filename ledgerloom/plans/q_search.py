@@ -10,7 +10,7 @@ from ..functions import arrays
 from ..functions import text as tx
 from ..operators import enrich, relink, search, stores
 from ..operators.locate import locate as locate_op
-from ..session import table
+from ..session import cut, table
 from .registry import registry
 
 QUERIES, SQL, query = registry()
@@ -34,12 +34,16 @@ def _weights(s, d, fields=None):
     return search.weighted(search.postings(docs, "factual_id", names), docs, "factual_id", names)
 
 
+def _index(s, d, **how):
+    return search.index(_directory(s, d), "factual_id", list(FIELDS), **how)
+
+
 def _clauses(s, d):
     return search.clause(_asked(s, d).withColumn("q", enrich.search_text(F.col("text"))).filter("q is not null"), "transaction_id", "q", FIELDS)
 
 
 def _hits(s, d, k=45):
-    return search.top_k(search.score(_clauses(s, d), _weights(s, d)), k)
+    return search.top_hits(_clauses(s, d), _index(s, d), k)
 
 
 _W = tx.SPACE
@@ -54,7 +58,7 @@ _BASE = f"""WITH dirx AS (SELECT m.* FROM merchants m JOIN (SELECT factual_id, m
   post AS (SELECT field, term, doc, dl, count(*) AS tf FROM (SELECT field, doc, len(ts) AS dl, unnest(ts) AS term FROM cells WHERE len(ts) > 0) GROUP BY ALL),
   st AS (SELECT field, count(*) AS n, avg(len(ts)) AS avgdl FROM cells WHERE len(ts) > 0 GROUP BY 1),
   fr AS (SELECT field, term, count(*) AS df FROM post GROUP BY 1, 2),
-  w AS (SELECT p.field, p.term, p.doc, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS w FROM post p JOIN fr USING (field, term) JOIN st USING (field) WHERE df <= n * 0.2),
+  w AS (SELECT p.field, p.term, p.doc, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS w FROM post p JOIN fr USING (field, term) JOIN st USING (field)),
   asked AS (SELECT transaction_id, min(description_unmasked) AS text, min(state) AS state FROM {LT} WHERE transaction_id % 50 = 0 GROUP BY 1),
   q AS (SELECT transaction_id, state, {_SYN} AS q FROM asked WHERE NOT (length({_CLEAN}) <= 2 AND regexp_matches({_CLEAN}, '^[a-zA-Z0-9_]+$'))),
   c AS (SELECT DISTINCT transaction_id AS query, state AS region, unnest(regexp_extract_all(q, '[a-z0-9]+')) AS term FROM q),
@@ -71,7 +75,7 @@ def bm25_topk(s, d):
 
 @query(_BASE + "SELECT query, doc, score, rank FROM h WHERE rank > 10 AND rank <= 20")
 def bm25_page(s, d):
-    return search.top_k(search.score(_clauses(s, d), _weights(s, d)), 10, 10)
+    return search.top_hits(_clauses(s, d), _index(s, d), 10, 10)
 
 
 @query(_BASE + "SELECT field, term, count(*) AS n_docs, round(max(w), 6) AS most FROM w GROUP BY 1, 2")
@@ -82,9 +86,8 @@ def bm25_fields(s, d):
 @query(_BASE + """, r AS (SELECT query, doc, round(sum(boost * w), 6) AS score FROM c JOIN w USING (term) JOIN b USING (field) JOIN dirx ON doc = factual_id AND dirx.region = c.region GROUP BY 1, 2)
     SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM r QUALIFY rank <= 10""")
 def bm25_routed(s, d):
-    regions = _directory(s, d).select(F.col("factual_id").alias("doc"), "region")
-    asked = _asked(s, d).select(F.col("transaction_id").alias("query"), F.col("state").alias("region"))
-    return search.top_k(search.routed(_clauses(s, d), _weights(s, d), regions, asked), 10)
+    asked = _asked(s, d).select(F.col("transaction_id").alias("query"), F.col("state").alias("route"))
+    return search.top_hits(_clauses(s, d).join(asked, "query"), _index(s, d, route="region", routes=asked), 10)
 
 
 @query(_BASE + "SELECT * FROM g")
@@ -99,7 +102,7 @@ def accept_rule(s, d):
 
 @query(_BASE + "SELECT h.query, doc, score, rank, gap FROM h JOIN g ON h.query = g.query WHERE rank = 3")
 def nth_hit(s, d):
-    hits = _hits(s, d)
+    hits = cut(_hits(s, d))
     return search.nth_hit(hits, search.gaps(hits), 2)
 
 
@@ -114,12 +117,8 @@ _TRIALS = ((1, "place_name", 2.781), (1, "locality", 1.367), (1, "region", 1.685
 
 @query(_BASE + f", t(trial, field, factor) AS (VALUES {', '.join(str(x) for x in _TRIALS)}) SELECT trial, query, doc, round(sum(factor * w), 6) AS score FROM c JOIN w USING (term) JOIN t USING (field) GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY trial, query ORDER BY score DESC, doc) = 1")
 def trial_scores(s, d):
-    from pyspark.sql import Window
-
     trials = s.createDataFrame(list(_TRIALS), "trial int, field string, factor double")
-    scored = search.trial_scores(_clauses(s, d), _weights(s, d), trials)
-    w = Window.partitionBy("trial", "query").orderBy(F.col("score").desc(), "doc")
-    return scored.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return search.trial_hits(_clauses(s, d), _index(s, d), trials, 1).drop("rank")
 
 
 @query()
@@ -276,18 +275,18 @@ def _matches(s, d):
 
 
 _SCELLS = " UNION ALL ".join(f"SELECT factual_id AS doc, '{f}' AS field, regexp_extract_all(lower({f}), '[a-z0-9]+') AS ts FROM dirx" for f in stores.FIELDS.values())
-_SCLAUSES = " UNION ".join(f"SELECT store_row AS query, '{f}' AS field, unnest(regexp_extract_all(lower({'substr(zip_code, 1, 5)' if c == 'zip5' else c}), '[a-z0-9]+')) AS term FROM store_numbers WHERE store_row % 50 = 0" for c, f in stores.FIELDS.items())
+_SCLAUSES = " UNION ".join(f"SELECT store_row AS query, '{f}' AS field, unnest(regexp_extract_all(lower({'substr(zip_code, 1, 5)' if c == 'zip5' else c}), '[a-z0-9]+')) AS term FROM store_numbers" for c, f in stores.FIELDS.items())
 _STORE = f"""WITH dirx AS {_DIR}, cells AS ({_SCELLS}),
   post AS (SELECT field, term, doc, dl, count(*) AS tf FROM (SELECT field, doc, len(ts) AS dl, unnest(ts) AS term FROM cells WHERE len(ts) > 0) GROUP BY ALL),
   st AS (SELECT field, count(*) AS n, avg(len(ts)) AS avgdl FROM cells WHERE len(ts) > 0 GROUP BY 1), fr AS (SELECT field, term, count(*) AS df FROM post GROUP BY 1, 2),
-  w AS (SELECT p.field, p.term, p.doc, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS w FROM post p JOIN fr USING (field, term) JOIN st USING (field) WHERE df <= n * 0.2),
+  w AS (SELECT p.field, p.term, p.doc, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS w FROM post p JOIN fr USING (field, term) JOIN st USING (field)),
   c AS ({_SCLAUSES}), sc AS (SELECT query, doc, round(sum(w), 6) AS score FROM c JOIN w USING (field, term) GROUP BY 1, 2),
   h AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sc QUALIFY rank <= 45),
   g AS (SELECT query, count(*) AS n_hits, round((max(score) FILTER (WHERE rank = 1) - max(score) FILTER (WHERE rank = 2)) / CASE WHEN stddev_pop(score) > 1e-9 THEN stddev_pop(score) END, 3) AS gap FROM h GROUP BY 1),
-  m AS (SELECT s.store_row, s.keywords, coalesce(n_hits, 0) AS n_hits, gap, doc, coalesce(contains(lower(place_name), lower(s.keywords)) AND gap > 0.95, false) AS matched FROM store_numbers s LEFT JOIN g ON g.query = s.store_row LEFT JOIN h ON h.query = s.store_row AND rank = 1 LEFT JOIN dirx ON doc = factual_id WHERE s.store_row % 50 = 0) """
+  m AS (SELECT s.store_row, s.keywords, coalesce(n_hits, 0) AS n_hits, gap, doc, coalesce(contains(lower(place_name), lower(s.keywords)) AND gap > 0.95, false) AS matched FROM store_numbers s LEFT JOIN g ON g.query = s.store_row LEFT JOIN h ON h.query = s.store_row AND rank = 1 LEFT JOIN dirx ON doc = factual_id) """
 
 
-@query(_STORE + "SELECT store_row, keywords, n_hits, gap, CASE WHEN matched THEN doc END AS factual_id, matched FROM m")
+@query(_STORE + "SELECT store_row, keywords, n_hits, gap, CASE WHEN matched THEN doc END AS factual_id, matched FROM m WHERE store_row % 50 = 0")
 def store_match(s, d):
     return stores.match_stores(table(s, d, "store_numbers").filter("store_row % 50 = 0"), _directory(s, d))
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,15 +82,17 @@ def test_acceptance(spark):
 
 def test_search_and_trials(spark):
     docs = spark.createDataFrame([("d1", "blue lodge", "north"), ("d2", "blue diner", "south"), ("d3", "red diner", None), ("d4", None, "east"), ("d5", "x", "x"), ("d6", "y", "y")], "id string, name string, town string")
-    w = search.weighted(search.postings(docs, "id", ["name", "town"]), docs, "id", ["name", "town"], max_share=0.5)
+    idx = search.index(docs, "id", ["name", "town"])
     q = spark.createDataFrame([(1, "Blue DINER"), (2, "nothing"), (3, None)], "k int, t string")
-    hits = search.top_k(search.score(search.clause(q, "k", "t", {"name": 2.0, "town": 0.0}), w), 2)
+    hits = search.top_hits(search.clause(q, "k", "t", {"name": 2.0, "town": 0.0}), idx, 2)
     assert [(r.query, r.doc) for r in hits.orderBy("query", "rank").collect()] == [(1, "d2"), (1, "d1")]
     trials = tune.trial_table(spark, [{"name": 1.0}, {"name": 4.0, "z_score_threshold": 2.0}])
-    t = search.trial_scores(search.clause(q, "k", "t", {"name": 1.0}), w, trials)
+    t = search.trial_hits(search.clause(q, "k", "t", {"name": 1.0}), idx, trials, 9)
     one, four = ({r.doc: r.score for r in t.filter(F.col("trial") == i).collect()} for i in (0, 1))
-    assert all(abs(four[d] - 4 * one[d]) < 1e-5 for d in one)
+    assert len(one) == 3 and all(abs(four[d] - 4 * one[d]) < 1e-5 for d in one)
     assert tune.split_parameters({"raw_score_threshold": 1, "es_result_size": 5}) == ({"raw_score_threshold": 1}, {"es_result_size": 5})
+    assert search.top_hits(search.clause(q.limit(0), "k", "t", {"name": 2.0}), idx, 2).count() == 0
+    assert search.top_hits(search.clause(q, "k", "t", {"name": 2.0}), search.index(docs.limit(0), "id", ["name"]), 2).count() == 0
 
 
 def test_common_terms_are_scored(spark, monkeypatch):
@@ -103,48 +106,42 @@ def test_common_terms_are_scored(spark, monkeypatch):
     assert {d for k, d in got if k == 1} == {"d0", "d1", "d2", "d3"} and {d for k, d in got if k == 2} == {f"d{i}" for i in range(9)}
     assert got[1, "d0"] == pytest.approx(2 * idf(4), abs=1e-6) and got[2, "d5"] == pytest.approx(2 * idf(1) + idf(9), abs=1e-6) and got[2, "d0"] == pytest.approx(idf(9), abs=1e-6)
     monkeypatch.setattr(search, "PART_DOCS", 2)
+    monkeypatch.setattr(search, "PART_CLAUSES", 1)
     assert scored() == got
 
 
-@pytest.mark.parametrize("name", ["bm25_fields", "bm25_topk", "bm25_routed", "trial_scores"])
-def test_search_against_sql_of_all_terms(spark, sf, name):
-    """The registered SQL leaves out the terms of more than a fifth of the documents; without that condition it gives
-    the rows of the query."""
+@pytest.mark.parametrize("k, start", [(1, 0), (3, 0), (2, 3), (60, 0)])
+def test_top_hits_equal_those_of_all_scores(spark, k, start):
+    """Setting common terms aside changes nothing: many ties, common and rare terms, queries of common terms only."""
+    rng = random.Random(5)
+    word = lambda: rng.choices(["st", "ave", "north", "shop", *(f"w{i}" for i in range(40))], [30, 20, 15, 15, *[1] * 40])[0]
+    docs = spark.createDataFrame([(f"d{i:03}", " ".join(word() for _ in range(rng.randint(1, 6))), word() if i % 7 else None, rng.choice(["a", "b", None])) for i in range(400)], "id string, name string, town string, region string")
+    q = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randint(1, 4)))) for i in range(40)] + [(90, "st"), (91, "st ave"), (92, "")], "k int, t string")
+    fields = ["name", "town"]
+    clauses = search.clause(q, "k", "t", {"name": 2.0, "town": 0.5})
+    w = search.weighted(search.postings(docs, "id", fields), docs, "id", fields)
+    rows = lambda df: sorted((r.query, r.doc, round(r.score, 5), r["rank"]) for r in df.collect())
+    assert rows(search.top_hits(clauses, search.index(docs, "id", fields), k, start)) == rows(search.top_k(search.score(clauses, w), k, start))
+    routes = q.select(F.col("k").alias("query"), F.when(F.col("k") % 2 == 0, "a").otherwise("none").alias("route"))
+    routed = search.top_hits(clauses.join(routes, "query"), search.index(docs, "id", fields, "region", routes), k, start)
+    near = docs.filter("region = 'a'").select(F.col("id").alias("doc"))
+    assert rows(routed) == rows(search.top_k(search.score(clauses.filter("query % 2 = 0"), w.join(near, "doc")), k, start))
+
+
+@pytest.mark.parametrize("name", ["bm25_fields", "bm25_routed", "trial_scores", "store_match", "store_update", "percent_merged", "request_adapter", "char_onehot"])
+def test_against_registered_sql(spark, sf, name):
     import duckdb
 
-    from ledgerloom.plans import q_search
+    from ledgerloom.plans import catalogue
 
-    text = q_search.SQL[name]
-    assert text.count(" WHERE df <= n * 0.2") == 1
-    con = duckdb.connect()
-    for t in ("merchants", "labeled_transactions"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    df = q_search.QUERIES[name](spark, sf)
-    cols = sorted(df.columns)
-    rows = lambda found: sorted(repr(tuple(round(v, 5) if isinstance(v, float) else v for v in r)) for r in found)
-    assert rows(df.select(cols).collect()) == rows(con.execute(f"SELECT {', '.join(cols)} FROM ({text.replace(' WHERE df <= n * 0.2', '')})").fetchall())
-
-
-@pytest.mark.parametrize("name", ["store_update", "percent_merged", "request_adapter"])
-def test_all_rows_against_sql(spark, sf, name):
-    """The registered SQL takes one row in fifty; without that and the condition on common terms it gives the rows of
-    the query."""
-    import re
-
-    import duckdb
-
-    from ledgerloom.plans import q_prep, q_search
-
-    sql = {**q_search.SQL, **q_prep.SQL}[name]
-    text = re.sub(r" WHERE (s\.)?(store_row|transaction_id) % 50 = 0", "", sql).replace(" WHERE df <= n * 0.2", "")
-    assert "% 50" in sql and "% 50" not in text
     con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
     for t in ("merchants", "labeled_transactions", "store_numbers"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    df = {**q_search.QUERIES, **q_prep.QUERIES}[name](spark, sf)
+    df = catalogue.queries()[name](spark, sf)
     cols = sorted(df.columns)
-    rows = lambda found: sorted(map(repr, map(tuple, found)))
-    assert rows(df.select(cols).collect()) == rows(con.execute(f"SELECT {', '.join(cols)} FROM ({text})").fetchall())
+    rows = lambda found: sorted(repr(tuple(round(v, 5) if isinstance(v, float) else v for v in r)) for r in found)
+    assert rows(df.select(cols).collect()) == rows(con.execute(f"SELECT {', '.join(cols)} FROM ({catalogue.oracle_sql()[name]})").fetchall())
 
 
 def brute_locate(text, towns):
