@@ -89,9 +89,9 @@ def top_k(scored: DataFrame, k: int, start: int = 0) -> DataFrame:
 class Index:
     """What is kept of a directory for search.
 
-    docs: (id, doc, terms), terms being a map from tag to weight; postings: (tag, id, w); lists: (tag, df,
-    top), the number of documents of a tag and its largest weight. A tag is a term of a field, of a route
-    where the index is routed.
+    docs: (id, doc, vec), vec being the (t, w) of the document's tags; postings: (t, id, w); lists: (tag, t,
+    df, top), the number of documents of a tag and its largest weight. A tag is a term of a field, of
+    a route where the index is routed; t numbers the tags, id the documents.
     """
 
     docs: DataFrame
@@ -118,57 +118,59 @@ def index(docs: DataFrame, key: str, fields: list[str], route: str | None = None
         post = post.filter("route is not null")
     if routes is not None:
         post = post.join(sized_broadcast(routes.select(F.col("route").cast("string")).distinct()), "route", "left_semi")
-    postings = cut(post.join(known, ["field", "term"]).select(tag(bool(route)).alias("tag"), "id", _weight().alias("w")))
-    lists = postings.groupBy("tag").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top"))
-    vectors = postings.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "w"))).alias("terms"))  # as long as the document itself
-    return Index(cut(numbered.select("id", "doc").join(vectors, "id")), postings, cut(lists), bool(route))
+    tagged = cut(post.join(known, ["field", "term"]).select(tag(bool(route)).alias("tag"), "id", _weight().alias("w")))
+    lists = cut(tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top")).withColumn("t", F.monotonically_increasing_id()))
+    postings = cut(tagged.join(lists.select("tag", "t"), "tag").select("t", "id", "w"))
+    vectors = postings.groupBy("id").agg(F.collect_list(F.struct("t", "w")).alias("vec"))  # as long as the document itself
+    return Index(cut(numbered.select("id", "doc").join(vectors, "id")), postings, lists, bool(route))
 
 
 #: What rounding may add to a score: bounds are kept this far apart.
 SLACK = 1e-5
+#: Documents of a query's strongest tags that are scored to find its bound; k of them at least.
+SEEDS = 256
 
 
 def top_hits(clauses: DataFrame, idx: Index, k: int, start: int = 0) -> DataFrame:
     """(query, doc, score, rank), ranks start + 1 to start + k: exactly what top_k(score(...)) gives, without
     scoring every document that shares a common term with a query.
 
-    The documents in which a query's strongest terms weigh most are scored in full; the k-th best of
-    these scores bounds the k-th hit from below. The terms that bring the most documents for the
-    least weight are then set aside as long as all of them together stay below the bound: a document
-    that holds nothing else cannot be a hit. The documents of the other terms are gathered, those
-    that cannot reach the bound with all the terms set aside are dropped, and the rest is scored in
-    full. Queries for which the bound sets nothing aside are scored over all their documents.
+    Queries that seek the same are one. The documents in which a query's strongest tags weigh most are
+    scored; the k-th best of these scores bounds the k-th hit from below. The tags that bring the most
+    documents for the least weight are then set aside as long as all of them together stay below the
+    bound: a document that holds nothing else cannot be a hit. The documents of the other tags are
+    scored where they are met, since every posting brings the document's vector and every clause its
+    query's boosts; only those that reach the bound are shuffled on. Queries of which the bound
+    sets nothing aside are scored over all their documents.
     """
     last = start + k
     labelled = clauses if idx.routed else clauses.withColumn("route", F.lit(""))
     asked = labelled.select("query", tag(idx.routed).alias("tag"), "boost").groupBy("query", "tag").agg(F.sum("boost").alias("boost")).filter("boost > 0")
-    asked = cut(asked.join(idx.lists, "tag").select("query", "tag", "boost", "df", (F.col("boost") * F.col("top")).alias("most")))
-    by_weight = Window.partitionBy("query").orderBy(F.col("most").desc(), "tag").rowsBetween(Window.unboundedPreceding, -1)
-    strongest = asked.withColumn("_seen", F.coalesce(F.sum(F.least("df", F.lit(last))).over(by_weight), F.lit(0))).filter(F.col("_seen") < 3 * last).select("query", "tag")
-    best = Window.partitionBy("tag").orderBy(F.col("w").desc(), "id")
-    heads = idx.postings.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= last).select("tag", "id")
-    seeds = strongest.join(heads, "tag").select("query", "id").distinct()
-    everything = asked.groupBy("query").agg(F.collect_list(F.struct("tag", "boost")).alias("rest"))
-    ranked = Window.partitionBy("query").orderBy(F.col("score").desc())
-    bounds = _looked_up(seeds.withColumn("part", F.lit(0.0)), everything, idx).withColumn("_n", F.row_number().over(ranked)).filter(F.col("_n") == last).select("query", F.col("score").alias("bound"))
-    by_cost = Window.partitionBy("query").orderBy((F.col("df") / F.col("most")).desc(), "tag")
-    planned = asked.join(bounds, "query", "left").withColumn("_aside", F.sum("most").over(by_cost.rowsBetween(Window.unboundedPreceding, 0)))
-    planned = cut(planned.withColumn("aside", F.coalesce(F.col("_aside") < F.col("bound") - SLACK, F.lit(False))))
-    per_query = planned.groupBy("query").agg(
-        F.coalesce(F.max("bound") - F.sum(F.when(F.col("aside"), F.col("most")).otherwise(0.0)), F.lit(0.0)).alias("need"),
-        F.collect_list(F.when(F.col("aside"), F.struct("tag", "boost"))).alias("rest"),
-    )
-    per_query = cut(per_query.select("query", (F.col("need") - SLACK).alias("need"), "rest"))
-    sought = planned.filter(~F.col("aside")).select("query", "tag", "boost").join(per_query.select("query", "need"), "query")
-    parts = meet(sought, idx.postings, ("tag",), "id").groupBy("query", "id").agg(F.sum(F.col("boost") * F.col("w")).alias("part"), F.max("need").alias("need")).filter("part >= need").drop("need")
-    return top_k(_looked_up(parts, per_query, idx), k, start)
-
-
-def _looked_up(pairs: DataFrame, rest: DataFrame, idx: Index) -> DataFrame:
-    """(query, doc, score) of (query, id, part): part and what the rest of the query's terms add to it."""
-    joined = pairs.join(rest.select("query", "rest"), "query").join(idx.docs, "id")
-    add = lambda total, c: total + c["boost"] * F.coalesce(F.try_element_at("terms", c["tag"]), F.lit(0.0))
-    return joined.select("query", "doc", F.round(F.aggregate("rest", F.col("part"), add), 6).alias("score"))
+    asked = asked.join(idx.lists, "tag").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("t", "boost", "df", (F.col("boost") * F.col("top")).alias("most")))).alias("terms"))
+    asked = cut(asked)
+    wants = cut(asked.select("terms").distinct().withColumn("q", F.monotonically_increasing_id()).withColumn("boosts", F.map_from_entries(F.transform("terms", lambda c: F.struct(c["t"], c["boost"])))))
+    each = wants.select("q", F.explode("terms").alias("c")).select("q", "c.*")
+    by_weight = Window.partitionBy("q").orderBy(F.col("most").desc(), "t").rowsBetween(Window.unboundedPreceding, -1)
+    strongest = each.withColumn("_seen", F.coalesce(F.sum(F.least("df", F.lit(SEEDS + last))).over(by_weight), F.lit(0))).filter(F.col("_seen") < SEEDS + last).select("q", "t")
+    best = Window.partitionBy("t").orderBy(F.col("w").desc(), "id")
+    heads = idx.postings.join(strongest.select("t").distinct(), "t", "left_semi").withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= SEEDS + last).select("t", "id")
+    ranked = Window.partitionBy("q").orderBy(F.col("score").desc())
+    seen = _scored(strongest.join(wants.select("q", "boosts"), "q").withColumn("need", F.lit(0.0)), heads, idx).select("q", "id", "score").distinct()
+    bounds = seen.withColumn("_n", F.row_number().over(ranked)).filter(F.col("_n") == last).select("q", F.col("score").alias("bound"))
+    by_cost = Window.partitionBy("q").orderBy((F.col("df") / F.col("most")).desc(), "t").rowsBetween(Window.unboundedPreceding, 0)
+    sought = each.join(bounds, "q", "left").withColumn("need", F.coalesce("bound", F.lit(0.0)) - SLACK).withColumn("_aside", F.sum("most").over(by_cost))
+    sought = cut(sought.filter(F.col("_aside") >= F.col("need")).select("q", "t", "need"))
+    found = _scored(sought.join(wants.select("q", "boosts"), "q"), idx.postings.join(sought.select("t").distinct(), "t", "left_semi"), idx)
+    hits = top_k(found.select(F.col("q").alias("query"), "doc", "score").distinct(), k, start).withColumnRenamed("query", "q")
+    own = asked.join(wants.select("terms", "q"), "terms").select("query", "q")
+    return meet(own, hits, ("q",)).select("query", "doc", "score", "rank")
+
+
+def _scored(clauses: DataFrame, postings: DataFrame, idx: Index) -> DataFrame:
+    """(q, id, doc, score) of the documents that clauses (q, t, need, boosts) meet, if they reach `need`."""
+    met = meet(clauses.withColumnRenamed("q", "query"), postings.select("t", "id").join(idx.docs, "id"), ("t",), "id")
+    add = lambda total, c: total + c["w"] * F.coalesce(F.try_element_at("boosts", c["t"]), F.lit(0.0))
+    return met.select(F.col("query").alias("q"), "id", "doc", "need", F.round(F.aggregate("vec", F.lit(0.0), add), 6).alias("score")).filter("score >= need").drop("need")
 
 
 def gaps(hits: DataFrame) -> DataFrame:
