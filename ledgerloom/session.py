@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,17 +28,34 @@ def build_session(app: str = "ledgerloom", cores: int | str = "*", **conf: str)
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in (base | conf).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers of the session, once, so that it need not be installed
+    on them."""
+    context = spark.sparkContext
+    if not getattr(context, "_ledgerloom_shipped", False):
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="ledgerloom-")) / "ledgerloom_package.zip"  # on the driver, which serves it
+        with zipfile.ZipFile(archive, "w") as out:
+            for module in sorted(root.rglob("*.py")):
+                out.write(module, str(module.relative_to(root.parent)))
+        context.addPyFile(str(archive))
+        context._ledgerloom_shipped = True
+    return spark
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return ship(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it in spark.checkpoint.dir; only where
-    that is unset (tests) one is made."""
+    """The folder that all executors share, as the cluster names it in spark.checkpoint.dir. Only a session
+    on one machine may leave that unset; it gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named or os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints")
 
 
