@@ -17,6 +17,7 @@ import re
 from collections import OrderedDict, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -204,6 +205,7 @@ class Towns:
         self.states = frozenset((e.extra or "").lower() for e in entries) - {""}
         self.long_before = {s: k for k, v in BEFORE.items() for s in (k, *v)}
         self.long_after = {s: k for k, v in AFTER.items() for s in (k, *v)}
+        self.search = lru_cache(maxsize=MEMORY)(self._search)  # the same towns are typed over and over
 
     def names(self) -> frozenset[str]:
         return frozenset(self.by_form)
@@ -223,7 +225,7 @@ class Towns:
                 ws = ws[len(lead) :]
         return ws, state
 
-    def search(self, value: str, hint: str | None = None) -> list[tuple[float, Entry]]:
+    def _search(self, value: str, hint: str | None = None) -> list[tuple[float, Entry]]:
         """Every entry that the value may stand for, nearest first."""
         ws, typed = self.clean(value)
         state = (hint or "").strip().lower() or typed

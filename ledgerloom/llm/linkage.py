@@ -1,16 +1,18 @@
 """Matching entities across sources without keys (problem 4) by a label model.
 
-Candidates are pairs of records whose locations share a MinHash band (see addresses) and whose names
-share one. Many heuristic matching functions each vote match, no match or nothing on every
-candidate. The votes of all candidates are counted by pattern; a generative model with one latent
-class is fitted to the counts by expectation maximisation: it learns how accurate each function is
-and, by a tree of the strongest dependences among them (Chow and Liu), which of them say the
-same thing twice. The posterior of the pattern is the confidence of the pair. The number of patterns
-is bounded by the functions, not by the data, so that the fit sees all candidates at any size.
+Candidates are pairs of records of one town and number whose streets share a MinHash band (see
+addresses) and whose names share one. Many heuristic matching functions each vote match, no match or
+nothing on every candidate. The votes of all candidates are counted by pattern; a generative model with
+one latent class is fitted to the counts by expectation maximisation: it learns how accurate each
+function is and, by a tree of the strongest dependences among them (Chow and Liu), which of them say
+the same thing twice. The posterior of the pattern is the confidence of the pair and alone decides. The
+number of patterns is bounded by the functions, not by the data, so that the fit sees all candidates at
+any size.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,15 +24,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import bounded_rows, cut
-from .addresses import _place, banded, gazetteer, read_places, reading, with_towns, zip_towns
-from .names import compare, name_words
-from .places import same_location
-from .textkit import allowed, distance, fold, words
-
-VOTES = ("core", "trade", "spelling", "chain", "website", "street", "direction", "kind", "unit", "postcode")
+from .addresses import _place, gazetteer, location_candidates, read_places, reading, with_towns, zip_towns
+from .names import compare, letters, name_words, trades_agree
+from .places import APART, SAME, Place, address_cost, swap
+from .textkit import distance, fold, words
+
+VOTES = ("core", "trade", "spelling", "letters", "chain", "website", "category", "address", "street", "direction", "kind", "unit", "postcode")
+#: What the functions vote on: the same business, the same location.
+FACETS = (tuple(range(7)), tuple(range(7, 13)))
 #: Most vote patterns: three values for each function.
-PATTERNS = 3 ** len(VOTES)
-NAME_BANDS = 14
+PATTERNS = 3 ** len(VOTES)  # 1.6 million; some thousands occur
+NAME_BANDS = 28
 _RNG = np.random.default_rng(20_140_507)
 _A = _RNG.integers(1, 2**31 - 1, NAME_BANDS, dtype=np.int64) | 1
 _B = _RNG.integers(0, 2**31 - 1, NAME_BANDS, dtype=np.int64)
@@ -49,67 +53,110 @@ def _agree(a: str, b: str) -> int:
     return 0 if not a or not b else 1 if a == b else -1
 
 
-def vote(loc_a: str, name_a: str, zip_a: str, loc_b: str, name_b: str, zip_b: str, chain: str, site: str, trades: tuple[str, ...] = ()) -> tuple[int, ...]:
-    """The votes of all functions on one candidate."""
-    p, q = _place(loc_a), _place(loc_b)
+def _part(role: str, a: str, b: str) -> int:
+    return 0 if not a or not b else 1 if swap(role, a, b) < APART else -1
+
+
+@lru_cache(maxsize=200_000)
+def address_votes(p: Place, q: Place) -> tuple[int, ...]:
+    """address, street, direction, kind, unit."""
+    cost = address_cost(p, q)
+    street = swap("street", p.street.replace(" ", ""), q.street.replace(" ", ""))
+    return 1 if cost <= SAME else -1, 1 if street == 0 else 0 if street <= SAME else -1, _part("direction", p.direction, q.direction), _part("kind", p.kind, q.kind), _part("unit", p.unit, q.unit)
+
+
+@lru_cache(maxsize=200_000)
+def name_votes(name_a: str, name_b: str, trades: tuple[str, ...]) -> tuple[int, ...]:
+    """core, trade, spelling, letters."""
     core, trade = compare(name_a, name_b, trades)
     sa, sb = "".join(name_words(name_a)), "".join(name_words(name_b))
     wide = max(len(sa), len(sb), 1)
     apart = distance(sa, sb, wide * 0.6) / wide
-    most = min(allowed(len(p.street)), allowed(len(q.street)))
+    shared = letters(sa, sb)
+    return core, trade, 1 if apart <= 0.2 else -1 if apart > 0.5 else 0, 1 if shared >= 0.75 else -1 if shared < 0.5 else 0
+
+
+def vote(loc_a: str, name_a: str, zip_a: str, loc_b: str, name_b: str, zip_b: str, chain: str, site: str, category: str, trades: tuple[str, ...] = ()) -> tuple[int, ...]:
+    """The votes of all functions on one candidate."""
     host = "".join(words(fold(site).split("//")[-1].removeprefix("www."))) if site else ""
-    head = (name_words(name_a) or ("",))[0]
+    ws = name_words(name_a)
+    label = "".join(words(fold(category))) if category else ""
+    rest = "".join(ws[1:])
     return (
-        core,
-        trade,
-        1 if apart <= 0.2 else -1 if apart > 0.5 else 0,
+        *name_votes(name_a, name_b, trades),
         compare(name_a, chain, trades)[0] if chain else 0,
-        0 if not host or not head else 1 if head[:5] in host else -1,
-        1 if p.street == q.street else 1 if distance(p.street, q.street, most) <= most else -1,
-        _agree(p.direction, q.direction),
-        _agree(p.kind, q.kind),
-        _agree(p.unit, q.unit),
+        0 if not host or not ws else 1 if ws[0][:5] in host else -1,
+        0 if label not in trades or not rest else 1 if trades_agree(rest, label, trades) else -1,
+        *address_votes(_place(loc_a), _place(loc_b)),
         _agree(zip_a, zip_b),
     )
 
 
 class LabelModel:
-    """Two classes; each vote depends on the class and on one other vote, its parent in a tree."""
+    """A pair is a match if it is one in every facet (the same business; at the same location). Each facet is
+    a latent class of its own that the votes of its functions depend on; each vote depends besides on one
+    other vote of the facet, its parent in a tree. How often the facets hold together is learned as
+    well. Before any vote is seen functions are taken to be right more often than wrong, the first one of a
+    facet above all; that weighs as much as one candidate does."""
+
+    #: Counts of votes -1, 0 and 1 that every function starts with, where the facet does not hold and where it does.
+    BELIEVED = np.array([[0.8, 0.5, 0.2], [0.2, 0.5, 0.8]])
+    BELIEVED_FIRST = np.array([[1.0, 0.3, 0.2], [0.02, 0.3, 1.2]])
 
-    def __init__(self, rounds: int = 60, smooth: float = 0.5):
-        self.rounds, self.smooth = rounds, smooth
+    def __init__(self, facets: tuple[tuple[int, ...], ...] | None = None, rounds: int = 60, smooth: float = 0.5):
+        self.facets, self.rounds, self.smooth = facets, rounds, smooth
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
+        self.facets = self.facets or (tuple(range(patterns.shape[1])),)
         x = patterns + 1  # 0, 1, 2
-        n, k = x.shape
         w = counts.astype(float)
-        score = patterns.sum(axis=1) / k
-        match = 1 / (1 + np.exp(-8 * (score - 0.1)))
-        self.parent = [-1] * k
+        held = [1 / (1 + np.exp(-(2 * patterns[:, f[0]] + 4 * (patterns[:, list(f)].mean(axis=1) - 0.1)))) for f in self.facets]
+        states = self._states()
+        belief = np.prod([[h if s else 1 - h for s in col] for h, col in zip(held, zip(*states))], axis=0)
+        self.parents = [[-1] * len(f) for f in self.facets]
         for step in range(self.rounds):
             if step == self.rounds // 3:
-                self.parent = self._tree(x, w, match)
-            self._maximise(x, w, match)
-            match = self.posterior(patterns)
+                self.parents = [self._tree(x[:, list(f)], w, self._held(belief, k)) for k, f in enumerate(self.facets)]
+            self._maximise(x, w, belief)
+            belief = self._belief(x)
         return self
 
-    def _maximise(self, x: np.ndarray, w: np.ndarray, match: np.ndarray) -> None:
-        self.prior = float(np.clip((w * match).sum() / max(w.sum(), 1e-9), 1e-3, 1 - 1e-3))
+    def _states(self) -> list[tuple[int, ...]]:
+        return list(itertools.product((0, 1), repeat=len(self.facets)))
+
+    def _held(self, belief: np.ndarray, k: int) -> np.ndarray:
+        """How likely facet k holds, whatever the others."""
+        return sum(b for s, b in zip(self._states(), belief) if s[k])
+
+    @property
+    def parent(self) -> list[int]:
+        """For each function the one that it leans on, or -1."""
+        out = [-1] * sum(map(len, self.facets))
+        for f, parents in zip(self.facets, self.parents):
+            for i, p in zip(f, parents):
+                out[i] = f[p] if p >= 0 else -1
+        return out
+
+    def _maximise(self, x: np.ndarray, w: np.ndarray, belief: np.ndarray) -> None:
+        total = np.array([(w * b).sum() for b in belief]) + self.smooth
+        self.prior = total / total.sum()
         self.tables = []
-        for j, parent in enumerate(self.parent):
-            up = x[:, parent] if parent >= 0 else np.zeros(len(x), dtype=int)
-            table = np.full((2, 3, 3), self.smooth)
-            for c, weight in ((1, w * match), (0, w * (1 - match))):
-                np.add.at(table[c], (up, x[:, j]), weight)
-            self.tables.append(table / table.sum(axis=2, keepdims=True))
-
-    def _tree(self, x: np.ndarray, w: np.ndarray, match: np.ndarray) -> list[int]:
+        for k, f in enumerate(self.facets):
+            held, own = self._held(belief, k), x[:, list(f)]
+            for j, parent in enumerate(self.parents[k]):
+                up = own[:, parent] if parent >= 0 else np.zeros(len(x), dtype=int)
+                table = np.repeat((self.BELIEVED if j else self.BELIEVED_FIRST)[:, None, :], 3, axis=1)
+                for c, weight in ((1, w * held), (0, w * (1 - held))):
+                    np.add.at(table[c], (up, own[:, j]), weight)
+                self.tables.append(table / table.sum(axis=2, keepdims=True))
+
+    def _tree(self, x: np.ndarray, w: np.ndarray, held: np.ndarray) -> list[int]:
         """Parents by a maximum spanning tree over conditional mutual information given the class."""
         k = x.shape[1]
         info = np.zeros((k, k))
         for i in range(k):
             for j in range(i):
-                for weight in (w * match, w * (1 - match)):
+                for weight in (w * held, w * (1 - held)):
                     joint = np.full((3, 3), 1e-6)
                     np.add.at(joint, (x[:, i], x[:, j]), weight)
                     share = joint.sum() / max(w.sum(), 1e-9)
@@ -125,25 +172,41 @@ class LabelModel:
             inside.add(j)
         return parent
 
+    def _belief(self, x: np.ndarray) -> np.ndarray:
+        """The posterior of every state of the facets."""
+        log = np.log(self.prior)[:, None] + np.zeros((len(self.prior), len(x)))
+        tables = iter(self.tables)
+        for k, f in enumerate(self.facets):
+            own = x[:, list(f)]
+            each = np.zeros((2, len(x)))
+            for j, parent in enumerate(self.parents[k]):
+                up = own[:, parent] if parent >= 0 else np.zeros(len(x), dtype=int)
+                table = next(tables)
+                for c in (0, 1):
+                    each[c] += np.log(table[c, up, own[:, j]])
+            for n, s in enumerate(self._states()):
+                log[n] += each[s[k]]
+        log -= log.max(axis=0)
+        return np.exp(log) / np.exp(log).sum(axis=0)
+
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        x = patterns + 1
-        log = np.log(np.array([[1 - self.prior], [self.prior]])) + np.zeros((2, len(x)))
-        for j, parent in enumerate(self.parent):
-            up = x[:, parent] if parent >= 0 else np.zeros(len(x), dtype=int)
-            for c in (0, 1):
-                log[c] += np.log(self.tables[j][c, up, x[:, j]])
-        return 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
+        """How likely all facets hold."""
+        return self._belief(patterns + 1)[-1]
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(_ka, _kb, ...) of records (k, loc, name, zip5, ...) whose locations and names share a band.
-    Records of one location and name are one class until the candidates are known."""
-    la, lb = (banded(x.select("loc", F.split("loc", "[|]")[0].alias("town"), F.split("loc", "[|]")[1].alias("number"), F.split("loc", "[|]")[3].alias("street")).distinct()) for x in (left, right))
-    links = la.withColumnRenamed("loc", "la").join(lb.withColumnRenamed("loc", "lb"), "band_key").select("la", "lb").distinct()
+    """(la, na, lb, nb) of records (loc, name) whose locations and names share a band. Records of one
+    location and name are one class until the candidates are known; only names at locations that have
+    a partner are banded."""
+    sides = left.select("loc", F.lit(0).alias("side")).union(right.select("loc", F.lit(1).alias("side"))).distinct()
+    near = cut(location_candidates(sides))
+    classes = lambda x, loc, name, ident: cut(x.select(F.col("loc").alias(loc), F.col("name").alias(name)).distinct().join(near.select(loc).distinct(), loc, "left_semi").withColumn(ident, F.monotonically_increasing_id()))
+    a, b = classes(left, "la", "na", "i"), classes(right, "lb", "nb", "j")
     bands = F.pandas_udf(lambda s: pd.Series([list(name_bands(x)) for x in s]), "array<bigint>")
-    spread = lambda x, loc, name: x.select(F.col("loc").alias(loc), F.col("name").alias(name)).distinct().select(loc, name, F.posexplode(bands(name)).alias("_i", "_h"))
-    a, b = spread(left, "la", "na"), spread(right, "lb", "nb")
-    return a.join(links, "la").join(b, ["lb", "_i", "_h"]).select("la", "na", "lb", "nb").distinct()
+    spread = lambda x, name, *cols: x.withColumn("_bands", bands(name)).select(*cols, F.posexplode("_bands").alias("_n", "_h"))
+    asked = spread(a.join(near, "la"), "na", "i", "lb").select("i", F.xxhash64("lb", "_n", "_h").alias("band_key"))
+    given = spread(b, "nb", "j", "lb").select("j", F.xxhash64("lb", "_n", "_h").alias("band_key"))
+    return asked.join(given, "band_key").select("i", "j").distinct().join(a, "i").join(b, "j").select("la", "na", "lb", "nb")
 
 
 def _plain_names(names: pd.Series, towns: frozenset[str]) -> list[str | None]:
@@ -184,6 +247,7 @@ def link(
     merchant_place: tuple[str, str, str, str] = ("address", "locality", "region", "postcode"),
     chain: str = "chain_name",
     website: str = "website",
+    category: str = "category_labels",
     updated: str = "updated_at",
     least: float = 0.5,
 ) -> DataFrame:
@@ -192,41 +256,48 @@ def link(
     highest confidence, ties going to the smaller merchant key.
 
     Of several deliveries of one merchant the latest counts. Records without number, street or town,
-    and records without a name, are no candidates. NULLs in other columns make functions abstain. A
-    model is fitted to whatever candidates there are; without any there are no rows. After the model an
-    exact check keeps only pairs whose parts of the address do not contradict each other and whose names
-    differ neither in the telling word nor in the trade: another business at the same address agrees in
-    all other votes, so that its posterior may be high. Repeated
-    store rows are matched alike; other columns are not read.
+    and records without a name, are no candidates. NULLs in other columns, and a chain, website or category
+    column that merchants lack, make functions abstain. A
+    model is fitted to whatever candidates there are; without any there are no rows. Repeated store
+    rows are matched alike; other columns are not read.
     """
+    voted = cut(ballots(stores, merchants, cities, store_key, store_name, store_place, merchant_key, merchant_name, merchant_place, chain, website, category, updated))
+    believed = voted.join(F.broadcast(beliefs(voted)), "votes").filter(F.col("confidence") >= least)  # as many rows as vote patterns
+    best = believed.groupBy(store_key).agg(F.min_by(F.struct(merchant_key, "confidence"), F.struct(-F.round("confidence", 9), F.col(merchant_key))).alias("_b"))
+    return best.select(store_key, f"_b.{merchant_key}", "_b.confidence")
+
+
+def ballots(stores: DataFrame, merchants: DataFrame, cities: DataFrame, store_key: str, store_name: str, store_place: tuple, merchant_key: str, merchant_name: str, merchant_place: tuple, chain: str, website: str, category: str, updated: str) -> DataFrame:
+    """(store_key, merchant_key, votes) of every candidate."""
     entries = gazetteer(cities)
-    newest = merchants.groupBy(F.col(merchant_key).alias("_mk")).agg(F.max_by(F.struct(*[F.col(c) for c in dict.fromkeys((merchant_name, *merchant_place, chain, website))]), F.struct(F.coalesce(F.col(updated).cast("timestamp"), F.timestamp_micros(F.lit(0))), F.col(merchant_name))).alias("_m")).filter("_mk is not null").select("_mk", "_m.*")
+    more = (chain, website, category)
+    merchants = merchants.withColumns({c: F.lit(None).cast("string") for c in more if c not in merchants.columns})
+    newest = merchants.groupBy(F.col(merchant_key).alias("_mk")).agg(F.max_by(F.struct(*[F.col(c) for c in dict.fromkeys((merchant_name, *merchant_place, *more))]), F.struct(F.coalesce(F.col(updated).cast("timestamp"), F.timestamp_micros(F.lit(0))), F.col(merchant_name))).alias("_m")).filter("_mk is not null").select("_mk", "_m.*")
     s = _prepare(stores, store_key, store_name, store_place, entries)
-    m = _prepare(newest, "_mk", merchant_name, merchant_place, entries, keep=(chain, website))
+    m = _prepare(newest, "_mk", merchant_name, merchant_place, entries, keep=more)
     by_zip = cut(zip_towns(s.select("zip5", "town").union(m.select("zip5", "town"))))
-    base = lambda x, *more: with_towns(x, by_zip).filter("town <> '' and number <> '' and street <> '' and trim(_keep0) <> ''").select("_k", reading().alias("loc"), F.col("_keep0").alias("name"), "zip5", *more)
+    base = lambda x, *cols: with_towns(x, by_zip).filter("town <> '' and number <> '' and street <> '' and trim(_keep0) <> ''").select("_k", reading().alias("loc"), F.col("_keep0").alias("name"), "zip5", *cols)
     s = cut(base(s).distinct())
-    m = cut(base(m, F.coalesce("_keep1", F.lit("")).alias("chain"), F.coalesce("_keep2", F.lit("")).alias("site")))
+    m = cut(base(m, *[F.coalesce(f"_keep{i}", F.lit("")).alias(n) for i, n in enumerate(("chain", "site", "category"), 1)]))
     trades = common_trades(m)
     near = candidates(s, m)
-    # zip, chain and website belong to the records: expand the classes of merchants, and of stores by postcode
-    stores_in = s.select(F.col("loc").alias("la"), F.col("name").alias("na"), F.col("zip5").alias("za")).distinct()
-    merchants_in = m.select(F.col("loc").alias("lb"), F.col("name").alias("nb"), F.col("zip5").alias("zb"), "chain", "site", F.col("_k").alias("_mk"))
+    # postcode, chain and website belong to the records
+    stores_in = s.select(F.col("loc").alias("la"), F.col("name").alias("na"), F.col("zip5").alias("za"), F.col("_k").alias("_sk"))
+    merchants_in = m.select(F.col("loc").alias("lb"), F.col("name").alias("nb"), F.col("zip5").alias("zb"), "chain", "site", "category", F.col("_k").alias("_mk"))
     wide = near.join(stores_in, ["la", "na"]).join(merchants_in, ["lb", "nb"])
-    voted = cut(wide.mapInPandas(_voting(trades), f"la string, na string, za string, _mk {dict(newest.dtypes)['_mk']}, votes array<tinyint>, sound boolean"))
+    voted = wide.mapInPandas(_voting(trades), f"_sk {dict(s.dtypes)['_k']}, _mk {dict(m.dtypes)['_k']}, votes array<tinyint>")
+    return voted.select(F.col("_sk").alias(store_key), F.col("_mk").alias(merchant_key), "votes")
+
+
+def beliefs(voted: DataFrame) -> DataFrame:
+    """(votes, confidence) of every pattern of votes."""
     counts = bounded_rows(voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), PATTERNS, "the vote patterns")
-    spark = stores.sparkSession
+    belief = []
     if counts:
         patterns = np.array([r.votes for r in counts], dtype=int)
-        posterior = LabelModel().fit(patterns, np.array([r.n for r in counts])).posterior(patterns)
+        posterior = LabelModel(FACETS).fit(patterns, np.array([r.n for r in counts])).posterior(patterns)
         belief = [([int(v) for v in p], float(q)) for p, q in zip(patterns, posterior)]
-    else:
-        belief = []
-    table = spark.createDataFrame(belief, "votes array<tinyint>, confidence double")
-    believed = voted.join(F.broadcast(table), "votes").filter((F.col("confidence") >= least) & F.col("sound"))
-    best = believed.groupBy("la", "na", "za").agg(F.min_by(F.struct("_mk", "confidence"), F.struct(-F.round("confidence", 9), F.col("_mk"))).alias("_b"))
-    out = s.join(best, (s["loc"] == best["la"]) & (s["name"] == best["na"]) & (s["zip5"] == best["za"]))
-    return out.select(F.col("_k").alias(store_key), F.col("_b._mk").alias(merchant_key), F.col("_b.confidence").alias("confidence")).distinct()
+    return voted.sparkSession.createDataFrame(belief, "votes array<tinyint>, confidence double")
 
 
 def common_trades(merchants: DataFrame, share: float = 0.002) -> tuple[str, ...]:
@@ -249,8 +320,7 @@ def _tails(names: pd.Series) -> pd.Series:
 def _voting(trades: tuple[str, ...]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            votes = [vote(*row, trades) for row in zip(f["la"], f["na"], f["za"], f["lb"], f["nb"], f["zb"], f["chain"], f["site"])]
-            sound = [v[0] >= 0 and v[1] >= 0 and same_location(_place(a), _place(b)) for v, a, b in zip(votes, f["la"], f["lb"])]
-            yield pd.DataFrame({"la": f["la"], "na": f["na"], "za": f["za"], "_mk": f["_mk"], "votes": [list(v) for v in votes], "sound": sound})
+            votes = [list(vote(*row, trades)) for row in zip(f["la"], f["na"], f["za"], f["lb"], f["nb"], f["zb"], f["chain"], f["site"], f["category"])]
+            yield pd.DataFrame({"_sk": f["_sk"], "_mk": f["_mk"], "votes": votes})
 
     return run

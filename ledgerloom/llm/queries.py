@@ -44,12 +44,16 @@ def p4_links(s: SparkSession, d: str) -> DataFrame:
     return linkage.link(table(s, d, "store_numbers"), table(s, d, "merchants"), table(s, d, "city_ref")).withColumn("confidence", F.round("confidence", 6))
 
 
+def _towns_of_postcodes(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "merchants").select("locality", "region", "postcode")
+
+
 def p6_found(s: SparkSession, d: str) -> DataFrame:
-    return addresses.same_address_pairs(table(s, d, "store_numbers"), table(s, d, "city_ref"))
+    return addresses.same_address_pairs(table(s, d, "store_numbers"), table(s, d, "city_ref"), further=_towns_of_postcodes(s, d))
 
 
 def p6_classes(s: SparkSession, d: str) -> DataFrame:
-    return addresses.address_classes(table(s, d, "store_numbers"), table(s, d, "city_ref"))
+    return addresses.address_classes(table(s, d, "store_numbers"), table(s, d, "city_ref"), further=_towns_of_postcodes(s, d))
 
 
 def p7_found(s: SparkSession, d: str) -> DataFrame:

@@ -16,6 +16,8 @@ _WORD = re.compile(r"[a-z0-9]+")
 @lru_cache(maxsize=200_000)
 def fold(text: str) -> str:
     """Lower case without diacritics; typographic quotes and dashes become ASCII."""
+    if text.isascii():
+        return text.lower()
     flat = unicodedata.normalize("NFKD", text.casefold())
     return "".join(c for c in flat if not unicodedata.combining(c)).replace("’", "'").replace("‘", "'").replace("–", "-").replace("—", "-")
 
@@ -35,11 +37,13 @@ def swap_cost(a: str, b: str) -> float:
 def distance(a: str, b: str, most: float = 3.0) -> float:
     """Weighted Damerau-Levenshtein distance (adjacent transpositions), or a value above `most` as
     soon as no alignment can stay within it. Look-alike characters cost 0.3, a vowel for a vowel 0.8,
-    a transposition 0.8, doubling or undoubling a letter 0.6, every other edit 1."""
+    a transposition 0.8, doubling or undoubling a letter 0.6, every other edit 1. Letters that changed
+    places may have got another one between them."""
     if a == b:
         return 0.0
     if abs(len(a) - len(b)) * 0.6 > most:
         return most + 1
+    earlier: list[float] = []
     before: list[float] = []
     row = [0.0]
     for j in range(1, len(b) + 1):
@@ -54,10 +58,14 @@ def distance(a: str, b: str, most: float = 3.0) -> float:
             c = min(row[j - 1] + swap_cost(x, y), row[j] + drop, new[j - 1] + add)
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and x != y:
                 c = min(c, before[j - 2] + 0.8)
+            if i > 1 and j > 2 and x == b[j - 3] and a[i - 2] == y and x != y:
+                c = min(c, before[j - 3] + 1.8)
+            if i > 2 and j > 1 and x == b[j - 2] and a[i - 3] == y and x != y:
+                c = min(c, earlier[j - 2] + 1.8)
             new.append(c)
-        if min(new) > most:
+        if min(new) > most and min(row) > most and (not before or min(before) > most):
             return most + 1
-        before, row = row, new
+        earlier, before, row = before, row, new
     return row[-1]
 
 
