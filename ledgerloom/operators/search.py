@@ -18,7 +18,7 @@ from ..session import cut, sized_broadcast
 
 K1, B = 1.2, 0.75
 #: Most documents and most clauses of one term that a part of the join holds.
-PART_DOCS, PART_CLAUSES = 1_000, 10_000
+PART_DOCS, PART_CLAUSES = 5_000, 5_000
 
 
 def terms(text: Column) -> Column:
@@ -89,9 +89,10 @@ def top_k(scored: DataFrame, k: int, start: int = 0) -> DataFrame:
 class Index:
     """What is kept of a directory for search.
 
-    docs: (id, doc, vec), vec being the (t, w) of the document's tags; postings: (t, id, w); lists: (tag, t,
-    df, top), the number of documents of a tag and its largest weight. A tag is a term of a field, of
-    a route where the index is routed; t numbers the tags, id the documents.
+    docs: (id, doc, vec, sign), vec being the (t, w) of the document's tags and sign a bit set of WORDS
+    longs of them; postings: (t, id, w); lists: (tag, t, df, top), the number of documents of a tag and
+    its largest weight. A tag is a term of a field, of a route where the index is routed; t numbers
+    the tags, id the documents.
     """
 
     docs: DataFrame
@@ -121,14 +122,23 @@ def index(docs: DataFrame, key: str, fields: list[str], route: str | None = None
     tagged = cut(post.join(known, ["field", "term"]).select(tag(bool(route)).alias("tag"), "id", _weight().alias("w")))
     lists = cut(tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top")).withColumn("t", F.monotonically_increasing_id()))
     postings = cut(tagged.join(lists.select("tag", "t"), "tag").select("t", "id", "w"))
-    vectors = postings.groupBy("id").agg(F.collect_list(F.struct("t", "w")).alias("vec"))  # as long as the document itself
+    sign = F.array(*[F.bit_or(F.when(F.expr(f"pmod(xxhash64(t, 1), {WORDS}) = {k}"), F.expr("shiftleft(1L, cast(pmod(xxhash64(t), 64) as int))")).otherwise(F.lit(0).cast("long"))) for k in range(WORDS)])
+    vectors = postings.groupBy("id").agg(F.collect_list(F.struct("t", "w")).alias("vec"), sign.alias("sign"))  # as long as the document itself
     return Index(cut(numbered.select("id", "doc").join(vectors, "id")), postings, lists, bool(route))
 
 
 #: What rounding may add to a score: bounds are kept this far apart.
 SLACK = 1e-5
-#: Documents of a query's strongest tags that are scored to find its bound; k of them at least.
-SEEDS = 256
+#: Documents of a query's strongest tags that are scored to find its bound, besides the k wanted.
+SEEDS = 64
+#: Longs of a bit set of tags, and into how many steps what a tag may add to a score is cut.
+WORDS, LEVELS = 4, 6
+STEPS = (1 << LEVELS) - 1
+
+
+def _bit(t: str) -> Column:
+    """The place of a tag in a bit set of 64 x WORDS places."""
+    return F.expr(f"cast(pmod(xxhash64({t}), 64) as int) + 64 * cast(pmod(xxhash64({t}, 1), {WORDS}) as int)")
 
 
 def top_hits(clauses: DataFrame, idx: Index, k: int, start: int = 0) -> DataFrame:
@@ -138,16 +148,16 @@ def top_hits(clauses: DataFrame, idx: Index, k: int, start: int = 0) -> DataFram
     Queries that seek the same are one. The documents in which a query's strongest tags weigh most are
     scored; the k-th best of these scores bounds the k-th hit from below. The tags that bring the most
     documents for the least weight are then set aside as long as all of them together stay below the
-    bound: a document that holds nothing else cannot be a hit. The documents of the other tags are
-    scored where they are met, since every posting brings the document's vector and every clause its
-    query's boosts; only those that reach the bound are shuffled on. Queries of which the bound
-    sets nothing aside are scored over all their documents.
+    bound: a document that holds nothing else cannot be a hit. Documents of the other tags are weighed
+    where they are met, since every posting brings the document's tags and every clause its query's
+    boosts: first from above by bit sets, then exactly. Only those that reach the bound are shuffled
+    on. Queries without a bound (fewer than k documents found for it) are scored over all their
+    documents.
     """
     last = start + k
     labelled = clauses if idx.routed else clauses.withColumn("route", F.lit(""))
     asked = labelled.select("query", tag(idx.routed).alias("tag"), "boost").groupBy("query", "tag").agg(F.sum("boost").alias("boost")).filter("boost > 0")
-    asked = asked.join(idx.lists, "tag").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("t", "boost", "df", (F.col("boost") * F.col("top")).alias("most")))).alias("terms"))
-    asked = cut(asked)
+    asked = cut(asked.join(idx.lists, "tag").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("t", "boost", "df", (F.col("boost") * F.col("top")).alias("most")))).alias("terms")))
     wants = cut(asked.select("terms").distinct().withColumn("q", F.monotonically_increasing_id()).withColumn("boosts", F.map_from_entries(F.transform("terms", lambda c: F.struct(c["t"], c["boost"])))))
     each = wants.select("q", F.explode("terms").alias("c")).select("q", "c.*")
     by_weight = Window.partitionBy("q").orderBy(F.col("most").desc(), "t").rowsBetween(Window.unboundedPreceding, -1)
@@ -156,19 +166,34 @@ def top_hits(clauses: DataFrame, idx: Index, k: int, start: int = 0) -> DataFram
     heads = idx.postings.join(strongest.select("t").distinct(), "t", "left_semi").withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= SEEDS + last).select("t", "id")
     ranked = Window.partitionBy("q").orderBy(F.col("score").desc())
     seen = _scored(strongest.join(wants.select("q", "boosts"), "q").withColumn("need", F.lit(0.0)), heads, idx).select("q", "id", "score").distinct()
-    bounds = seen.withColumn("_n", F.row_number().over(ranked)).filter(F.col("_n") == last).select("q", F.col("score").alias("bound"))
+    bounds = seen.withColumn("_n", F.row_number().over(ranked)).filter(F.col("_n") == last).select("q", (F.col("score") - SLACK).alias("need"))
     by_cost = Window.partitionBy("q").orderBy((F.col("df") / F.col("most")).desc(), "t").rowsBetween(Window.unboundedPreceding, 0)
-    sought = each.join(bounds, "q", "left").withColumn("need", F.coalesce("bound", F.lit(0.0)) - SLACK).withColumn("_aside", F.sum("most").over(by_cost))
-    sought = cut(sought.filter(F.col("_aside") >= F.col("need")).select("q", "t", "need"))
-    found = _scored(sought.join(wants.select("q", "boosts"), "q"), idx.postings.join(sought.select("t").distinct(), "t", "left_semi"), idx)
-    hits = top_k(found.select(F.col("q").alias("query"), "doc", "score").distinct(), k, start).withColumnRenamed("query", "q")
+    sought = each.join(bounds, "q", "left").withColumn("need", F.coalesce("need", F.lit(0.0))).withColumn("_aside", F.sum("most").over(by_cost))
+    sought = cut(sought.select("q", "t", "need", "most", (F.col("_aside") >= F.col("need")).alias("kept")))
+    masks = sought.select("q", "need", _bit("t").alias("bit"), "most").groupBy("q", "bit").agg(F.max("need").alias("need"), F.sum("most").alias("most"))
+    steps = F.least(F.lit(STEPS), F.ceil(F.col("most") * STEPS / F.col("need"))).cast("int")
+    masks = masks.filter("need > 0").withColumn("steps", steps).groupBy("q").agg(F.array(*[_mask(level, word) for level in range(LEVELS) for word in range(WORDS)]).alias("masks"))
+    terms_of = sought.filter("kept").select("q", "t", "need").join(wants.select("q", "boosts"), "q").join(masks, "q", "left")
+    needed = idx.postings.join(sought.filter("kept").select("t").distinct(), "t", "left_semi")
+    hits = top_k(_scored(terms_of, needed, idx).select(F.col("q").alias("query"), "doc", "score").distinct(), k, start).withColumnRenamed("query", "q")
     own = asked.join(wants.select("terms", "q"), "terms").select("query", "q")
     return meet(own, hits, ("q",)).select("query", "doc", "score", "rank")
 
 
+def _mask(level: int, word: int) -> Column:
+    """The bits of one word of those tags whose steps have the bit of a level."""
+    held = F.expr(f"(steps & {1 << level}) <> 0 and bit div 64 = {word}")
+    return F.bit_or(F.when(held, F.expr("shiftleft(1L, cast(bit % 64 as int))")).otherwise(F.lit(0).cast("long")))
+
+
 def _scored(clauses: DataFrame, postings: DataFrame, idx: Index) -> DataFrame:
-    """(q, id, doc, score) of the documents that clauses (q, t, need, boosts) meet, if they reach `need`."""
+    """(q, id, doc, score) of the documents that clauses (q, t, need, boosts, masks) meet, if they reach
+    `need`. The masks hold, bit by bit of its steps, what every tag may add: their weighted bit counts
+    are never less than the score."""
     met = meet(clauses.withColumnRenamed("q", "query"), postings.select("t", "id").join(idx.docs, "id"), ("t",), "id")
+    if "masks" in clauses.columns:
+        steps = " + ".join(f"{1 << level} * ({' + '.join(f'bit_count(masks[{level * WORDS + word}] & sign[{word}])' for word in range(WORDS))})" for level in range(LEVELS))
+        met = met.filter(F.expr(f"masks is null or {steps} >= {STEPS}"))
     add = lambda total, c: total + c["w"] * F.coalesce(F.try_element_at("boosts", c["t"]), F.lit(0.0))
     return met.select(F.col("query").alias("q"), "id", "doc", "need", F.round(F.aggregate("vec", F.lit(0.0), add), 6).alias("score")).filter("score >= need").drop("need")
 
