@@ -88,12 +88,21 @@ def copy_pairs(rows: DataFrame, record: str = "transaction_id", **how) -> DataFr
 
 
 def collapsed(rows: DataFrame, record: str = "transaction_id", text: str = "description_unmasked", equal: tuple[str, ...] = ("unique_mem_id", "amount", "transaction_date", "ledger_entry"), required: tuple[str, ...] = ("unique_mem_id",)) -> DataFrame:
-    """(record, n_records, n_rows) of each group of two or more rows, as copies() groups them: its smallest
-    record, how many records it has and how many rows carry them. Rows of one record that was delivered
-    again are copies as well. Groups with the same smallest record are added up. Rows without copies are
-    not listed."""
+    """(record, n_records, n_rows) of the collapsed table: for each group of rows, as copies() groups them, its
+    smallest record, how many records it has and how many rows carry them. Rows of one record that was
+    delivered again are copies as well. A row without copies, or that copies() puts in no group, is
+    a group of its own. Groups with the same smallest record are added up. Rows without a record are
+    left out."""
     kept = classes(rows, record, text, list(equal), list(required), repeats=True)
     keys = [c for c in kept.columns if c != "_r"]
-    counted = kept.groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("_n"))
-    groups = counted.groupBy(*keys).agg(F.min("_r").alias(record), F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_n")).filter("_n > 1")
-    return groups.groupBy(record).agg(F.sum("_k").alias("n_records"), F.sum("_n").alias("n_rows"))
+    counted = cut(kept.groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("_n")))
+    groups = counted.groupBy(*keys).agg(F.min("_r").alias("_r"), F.count(F.lit(1)).alias("_k"), F.sum("_n").alias("_n")).filter("_n > 1").select(*keys, "_r", "_k", "_n")
+    on = None
+    for c in keys:
+        same = F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        on = same if on is None else on & same
+    inside = counted.alias("a").join(groups.select(*keys).alias("b"), on, "left_semi").groupBy("_r").agg((-F.sum("_n")).alias("_n"))
+    # a row that is in no group of two or more stands for itself
+    alone = rows.filter(F.col(record).isNotNull()).groupBy(F.col(record).alias("_r")).agg(F.count(F.lit(1)).alias("_n")).unionByName(inside).groupBy("_r").agg(F.sum("_n").alias("_n")).filter("_n > 0")
+    every = groups.select("_r", "_k", "_n").unionByName(alone.select("_r", F.col("_n").alias("_k"), "_n"))
+    return every.groupBy(F.col("_r").alias(record)).agg(F.sum("_k").alias("n_records"), F.sum("_n").alias("n_rows"))

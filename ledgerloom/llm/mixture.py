@@ -1,10 +1,12 @@
 """Mixing sources to target weights (problem 9).
 
 Tokens are counted once and summed per source. With sizes S and shares p, a mixture of T tokens repeats
-source s at the rate p_s T / S_s. T is the largest total for which no rate exceeds its cap, so that the
-shares are met exactly but for the draw of the last copy. A document is emitted floor(rate) times
-and once more with the probability of the rest, drawn from a seeded hash of its id: the draw is the same
-on every run and every partitioning, and needs no shuffle.
+source s at the rate p_s T / S_s. T is what is asked for, or else the largest total for which no rate
+exceeds its cap; where T is asked for and is larger, the sources at their caps fall short of their share.
+A document is emitted floor(rate) times and once more with the probability of the rest, drawn from a
+seeded hash of its id: the draw is the same on every run and every partitioning, does not depend on
+other documents and needs no shuffle. As documents differ in length a draw misses its share a little,
+which is reported.
 """
 
 from __future__ import annotations
@@ -17,8 +19,6 @@ from .tokens import DEFAULT_VOCABULARY, with_counts
 
 #: Sources that a mixture may have; their rates are broadcast.
 MOST_SOURCES = 10_000
-#: Seeds that are tried for the draw of the last copies.
-DRAWS = 32
 
 
 def source_sizes(counted: DataFrame, source: str = "source") -> DataFrame:
@@ -26,14 +26,16 @@ def source_sizes(counted: DataFrame, source: str = "source") -> DataFrame:
     return counted.groupBy(source).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("tokens"))
 
 
-def repetition_rates(sizes: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict[str, float]:
-    """The rate of each source. Sources that have a target but no tokens cannot be repeated into one:
+def repetition_rates(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, float]:
+    """The rate of each source for a mixture of `total` tokens, or of as many as the caps allow without
+    missing a share. No rate exceeds its cap. Sources that have a target but no tokens cannot be repeated into one:
     their share is left open and the others keep their proportions among themselves. Sources without a
     positive target or cap are left out (rate 0)."""
     usable = {s: (p, c) for s, (p, c) in targets.items() if p and p > 0 and c and c > 0 and sizes.get(s, 0) > 0}
     if not usable:
         return {}
-    total = min(c * sizes[s] / p for s, (p, c) in usable.items())
+    whole = sum(p for p, _ in usable.values())
+    total = min(c * sizes[s] / p for s, (p, c) in usable.items()) if total is None else total / whole
     return {s: min(float(c), p * total / sizes[s]) for s, (p, c) in usable.items()}
 
 
@@ -49,27 +51,19 @@ def _targets(targets: DataFrame, source: str, share: str, cap: str) -> dict[str,
     return {r[0]: (r.p, r.c) for r in bounded_rows(grouped, MOST_SOURCES, "the targets")}
 
 
-def rate_table(counted: DataFrame, targets: DataFrame, key: str, source: str, share: str, cap: str, seed: int) -> DataFrame:
-    """(source, _rate, _seed): the rate of each source with a target, and of DRAWS hash seeds the one
-    whose draw comes nearest the tokens that the rate stands for. Texts differ much in length, so that
-    a single draw from a few hundred of them would miss its share by some percent."""
+def rate_table(counted: DataFrame, targets: DataFrame, source: str, share: str, cap: str, total: float | None) -> DataFrame:
+    """(source, _rate) of each source that has a target; at most MOST_SOURCES rows."""
     goal = _targets(targets, source, share, cap)
     wanted = counted.filter(F.col(source).isin(list(goal)))
     sizes = {r[source]: r.tokens for r in bounded_rows(source_sizes(wanted, source), MOST_SOURCES, "the sources")}
-    rates = repetition_rates(sizes, goal)
-    spark = counted.sparkSession
-    plain = F.broadcast(spark.createDataFrame(list(rates.items()), f"`{source}` string, _rate double"))
-    sums = [F.sum(F.col("n_tokens") * copies_column(F.col(key), F.col("_rate"), F.lit(seed + i))).alias(f"s{i}") for i in range(DRAWS)]
-    drawn = bounded_rows(wanted.join(plain, source).groupBy(source).agg(*sums), MOST_SOURCES, "the sources")
-    best = {r[source]: min(range(DRAWS), key=lambda i, r=r: abs(r[f"s{i}"] - rates[r[source]] * sizes[r[source]])) for r in drawn}
-    return spark.createDataFrame([(s, q, seed + best[s]) for s, q in rates.items()], f"`{source}` string, _rate double, _seed int")
+    return counted.sparkSession.createDataFrame(list(repetition_rates(sizes, goal, total).items()), f"`{source}` string, _rate double")
 
 
 def _slim(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     return docs.select(F.col(key), F.col(source), F.col(text)).filter(F.col(text).isNotNull() & (F.col(text) != ""))
 
 
-def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = DEFAULT_VOCABULARY, seed: int = 13, share: str = "target_share", cap: str = "max_repeats") -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = DEFAULT_VOCABULARY, seed: int = 13, share: str = "target_share", cap: str = "max_repeats", total: float | None = None) -> DataFrame:
     """The mixture: (key, source, copy_no, text), one row per copy, copies numbered from 1.
 
     NULL and empty texts have no tokens and are never emitted; rows without source or with a source that
@@ -78,18 +72,17 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     tokenized once, for the sizes; the emission needs the id only.
     """
     slim = _slim(docs, key, text, source)
-    counted = cut(with_counts(slim, text, vocabulary=vocabulary).drop(text))
-    rates = rate_table(counted, targets, key, source, share, cap, seed)
-    copies = slim.join(F.broadcast(rates), source).withColumn("_copies", copies_column(F.col(key), F.col("_rate"), F.col("_seed")))
+    rates = rate_table(with_counts(slim, text, vocabulary=vocabulary).select(source, "n_tokens"), targets, source, share, cap, total)
+    copies = slim.join(F.broadcast(rates), source).withColumn("_copies", copies_column(F.col(key), F.col("_rate"), F.lit(seed)))
     return copies.filter("_copies > 0").select(key, source, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no"), text)
 
 
-def shares(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = DEFAULT_VOCABULARY, seed: int = 13, share: str = "target_share", cap: str = "max_repeats") -> DataFrame:
+def shares(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = DEFAULT_VOCABULARY, seed: int = 13, share: str = "target_share", cap: str = "max_repeats", total: float | None = None) -> DataFrame:
     """What the mixture reaches: (source, target_share, rate, n_docs, n_emitted, max_copies, tokens,
     mixed_tokens, share), one row per source with a target."""
     counted = cut(with_counts(_slim(docs, key, text, source), text, vocabulary=vocabulary).drop(text))
-    rates = rate_table(counted, targets, key, source, share, cap, seed)
-    planned = counted.join(F.broadcast(rates), source).withColumn("_copies", copies_column(F.col(key), F.col("_rate"), F.col("_seed")))
+    rates = rate_table(counted, targets, source, share, cap, total)
+    planned = counted.join(F.broadcast(rates), source).withColumn("_copies", copies_column(F.col(key), F.col("_rate"), F.lit(seed)))
     by_source = planned.groupBy(source).agg(
         F.first("_rate").alias("rate"),
         F.count(F.lit(1)).alias("n_docs"),
@@ -98,6 +91,6 @@ def shares(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
         F.sum("n_tokens").alias("tokens"),
         F.sum(F.col("n_tokens") * F.col("_copies")).alias("mixed_tokens"),
     )
-    total = by_source.agg(F.sum("mixed_tokens").alias("t")).scalar()
+    mixed = by_source.agg(F.sum("mixed_tokens").alias("t")).scalar()
     goal = targets.groupBy(source).agg(F.sum(share).alias("target_share"))
-    return goal.join(by_source, source, "left").withColumn("share", F.col("mixed_tokens") / total)
+    return goal.join(by_source, source, "left").withColumn("share", F.col("mixed_tokens") / mixed)

@@ -121,11 +121,12 @@ def split_text(text: str, encoding, limit: int, overlap: int) -> tuple[int, list
     return len(ids), out
 
 
-def pieces(docs: DataFrame, doc: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+def pieces(docs: DataFrame, doc: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str = DEFAULT_VOCABULARY, whole: bool = False) -> DataFrame:
     """(doc, doc_tokens, n_pieces, piece_no, start_char, own_char, end_char, n_tokens, piece) for every
     piece of every text of more than `limit` tokens, pieces numbered from 1.
 
-    NULL and empty texts, and texts within the limit, give no rows: they need no cutting. Each piece
+    NULL and empty texts give no rows. Texts within the limit need no cutting and give none either,
+    unless `whole` asks for them: then they are one piece each. Each piece
     but the first begins with the last `overlap` tokens of the part before it (fewer by at most three
     where those would begin inside a character). Texts without any boundary are cut between tokens,
     never inside a character. Repeated rows are cut alike; texts are read whole. Other columns are not
@@ -134,7 +135,7 @@ def pieces(docs: DataFrame, doc: str = "doc_id", text: str = "text", limit: int
     if overlap < 0 or limit < 32 or overlap * 5 > limit:
         raise ValueError("limit must be 32 tokens or more and the overlap at most a fifth of it")
     kind = dict(docs.dtypes)[doc]
-    long_enough = docs.select(F.col(doc).alias("_d"), F.col(text).cast("string").alias("_t")).filter(F.octet_length("_t") > limit)
+    long_enough = docs.select(F.col(doc).alias("_d"), F.col(text).cast("string").alias("_t")).filter(F.octet_length("_t") > (0 if whole else limit))
     schema = f"`_d` {kind}, doc_tokens bigint, n_pieces bigint, piece_no bigint, start_char bigint, own_char bigint, end_char bigint, n_tokens bigint, piece string"
     names = [c.split()[0].strip("`") for c in schema.split(", ")]
 
@@ -144,7 +145,7 @@ def pieces(docs: DataFrame, doc: str = "doc_id", text: str = "text", limit: int
             rows = []
             for d, t in zip(frame["_d"], frame["_t"]):
                 total, parts = split_text(t, encoding, limit, overlap)
-                if total > limit:
+                if whole or total > limit:
                     rows += [(d, total, len(parts), k, s, o, e, n, t[s:e]) for k, (s, o, e, n) in enumerate(parts, 1)]
             yield pd.DataFrame(rows, columns=names)
 

@@ -89,7 +89,8 @@ def p10_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def p10_pieces(s: SparkSession, d: str) -> DataFrame:
-    return pieces.pieces(table(s, d, "documents"))
+    """The pieces of all texts; those within the limit are one piece."""
+    return pieces.pieces(table(s, d, "documents"), whole=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -102,7 +103,7 @@ _NORMAL = """list_aggregate(list_sort(list_filter(list_transform(
 
 _COPIES = f"""WITH t AS (SELECT transaction_id AS r, unique_mem_id AS m, amount AS a, transaction_date AS dt, ledger_entry AS l, {_NORMAL} AS f
     FROM labeled_transactions WHERE unique_mem_id IS NOT NULL AND regexp_matches(description_unmasked, '[\\pL\\pN]')),
-  g AS (SELECT m, a, dt, l, f, min(r) AS first, count(DISTINCT r) AS k, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) > 1)"""
+  g AS (SELECT m, a, dt, l, f, min(r) AS first, count(DISTINCT r) AS k, count(*) AS n FROM t GROUP BY ALL)"""
 
 _TIES = """WITH RECURSIVE p AS (SELECT DISTINCT transaction_id AS r, unique_mem_id AS m FROM labeled_transactions WHERE unique_mem_id IS NOT NULL AND transaction_id IS NOT NULL),
   e AS (SELECT DISTINCT x.m AS a, y.m AS b FROM p x JOIN p y USING (r) WHERE x.m <> y.m),
@@ -112,8 +113,9 @@ _TIES = """WITH RECURSIVE p AS (SELECT DISTINCT transaction_id AS r, unique_mem_
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _TIES + " SELECT min(root) AS first_mem_id, n AS unique_mem_id FROM c GROUP BY n HAVING min(root) <> n",
-        "p7_found": _COPIES + " SELECT DISTINCT g.first AS first_transaction_id, t.r AS transaction_id FROM t JOIN g ON t.m = g.m AND t.a = g.a AND t.dt = g.dt AND t.l = g.l AND t.f = g.f WHERE t.r > g.first",
-        "p7_collapsed": _COPIES + " SELECT first AS transaction_id, CAST(sum(k) AS BIGINT) AS n_records, CAST(sum(n) AS BIGINT) AS n_rows FROM g GROUP BY first",
+        "p7_found": _COPIES + " SELECT DISTINCT g.first AS first_transaction_id, t.r AS transaction_id FROM t JOIN g ON t.m = g.m AND t.a = g.a AND t.dt = g.dt AND t.l = g.l AND t.f = g.f WHERE t.r > g.first AND g.k > 1",
+        "p7_collapsed": _COPIES + """ SELECT first AS transaction_id, CAST(sum(k) AS BIGINT) AS n_records, CAST(sum(n) AS BIGINT) AS n_rows FROM (SELECT first, k, n FROM g UNION ALL
+            SELECT transaction_id, 1, 1 FROM labeled_transactions WHERE unique_mem_id IS NULL OR description_unmasked IS NULL OR NOT regexp_matches(description_unmasked, '[\\pL\\pN]')) GROUP BY first""",
         "p8_found": """WITH w AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS ws FROM documents WHERE text IS NOT NULL
               UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\\pL\\pN]+') FROM eval_items WHERE text IS NOT NULL),
             g AS (SELECT kind, id, list_aggregate(ws[i:i + 9], 'string_agg', ' ') AS gram FROM (SELECT kind, id, ws, unnest(range(1, len(ws) - 8)) AS i FROM w WHERE len(ws) >= 10))
