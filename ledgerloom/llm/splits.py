@@ -7,22 +7,42 @@ flattens the chains that arise, until no tie joins two roots. Components that th
 knows keep their split; new ones fill the deficits of the splits; a merge of components that were
 given different splits is set apart as quarantined, as no split would be free of leakage.
 
+The table is written by save_table() and read by load_table(); it lies in the shared folder or wherever
+the caller keeps it, and is handed to the next call as `known`.
+
 Every round works on distinct ties between roots, of which there are fewer each time, and is cut by a
 reliable checkpoint. Nothing that grows with the records is gathered on the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_rows, cut
+from ..session import bounded_rows, cut, shared_folder
 
 #: Components smaller than 1/HEAVY of all rows are dealt out in buckets by hash, heavier ones singly.
 HEAVY = 1_000
 BUCKETS = 4_096
 QUARANTINED = "quarantine"
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
+#: Rows of one member above which their join with the members' table is spread over parts.
+PART_ROWS = 1_000_000
+
+
+def save_table(table: DataFrame, folder: str | None = None) -> str:
+    """Writes a component table and returns where. Each call writes a new version beside the others, so that
+    a table may be saved that was made from an earlier version; a version is complete or not listed."""
+    path = f"{folder or shared_folder(table.sparkSession) + '/components'}/{uuid.uuid4().hex}"
+    table.select("node", "root", "split", "state").write.parquet(path)
+    return path
+
+
+def load_table(spark: SparkSession, path: str) -> DataFrame:
+    """(node, root, split, state) as it was saved."""
+    return spark.read.schema("node string, root string, split string, state string").parquet(path)
 
 
 def ties(rows: DataFrame, record: str, member: str) -> DataFrame:
@@ -36,13 +56,18 @@ def ties(rows: DataFrame, record: str, member: str) -> DataFrame:
 
 def jump(hooks: DataFrame) -> DataFrame:
     """Pointer jumping over (node, up) until every node points at a root. Nodes absent from the table
-    are roots. up < node always, so that there are no cycles and the depth halves each time."""
+    are roots. up < node always, so that there are no cycles and the depth halves each time. Only
+    nodes that still move are joined again."""
+    done, moving = None, hooks
     while True:
         above = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        stepped = cut(hooks.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
-        hooks = stepped.select("node", "up")
-        if stepped.filter("moved").isEmpty():
-            return hooks
+        stepped = cut(moving.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
+        still = stepped.filter(~F.col("moved")).select("node", "up")
+        done = still if done is None else done.unionByName(still)
+        moving = stepped.filter("moved").select("node", "up")
+        if moving.isEmpty():
+            return done
+        hooks = done.unionByName(moving)
 
 
 def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -120,8 +145,15 @@ def assign_splits(rows: DataFrame, record: str = "transaction_id", member: str =
     singles = slim.filter("m is not null").select("m").distinct()
     found = components(ties(rows, record, member), None if known is None else known.select("node", "root"))
     label = cut(singles.select(F.col("m").alias("node")).union(found.select("node")).distinct().join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    # a record's unit: the root of any of its members (all have the same), else the record itself
-    of_record = slim.join(label.withColumnRenamed("node", "m"), "m", "left").groupBy("r").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("n"))
+    # a record's unit: the root of any of its members (all have the same), else the record itself. Rows are
+    # counted by (record, member) first and rows without a member do not take part in the join; the rows of
+    # a member with very many records are spread over parts
+    counted = slim.filter("m is not null").groupBy("r", "m").agg(F.count(F.lit(1)).alias("n"))
+    heavy = cut(counted.groupBy("m").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > PART_ROWS).select("m", F.ceil(F.col("_k") / PART_ROWS).cast("int").alias("_parts")))
+    named = label.select(F.col("node").alias("m"), "root").join(heavy, "m", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    placed = counted.join(heavy, "m", "left").withColumn("_part", F.pmod(F.xxhash64("r"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    of_rows = placed.join(named, ["m", "_part"]).select("r", "root", "n").unionByName(slim.filter("m is null").groupBy("r").agg(F.count(F.lit(1)).alias("n")).select("r", F.lit(None).cast("string").alias("root"), "n"))
+    of_record = of_rows.groupBy("r").agg(F.min("root").alias("root"), F.sum("n").alias("n"))
     of_record = of_record.filter(F.col("r").isNotNull()).select("r", F.coalesce("root", F.concat(F.lit("record:"), F.col("r").cast("string"))).alias("unit"), "n")
     units = of_record.groupBy("unit").agg(F.sum("n").alias("n"))
     lost = label.select(F.col("root").alias("unit")).distinct().join(units, "unit", "left_anti").withColumn("n", F.lit(0).cast("long"))
@@ -141,6 +173,21 @@ def assign_splits(rows: DataFrame, record: str = "transaction_id", member: str =
     return table, assigned
 
 
+def merge_conflicts(table: DataFrame) -> DataFrame:
+    """(root, n_members) of the quarantined components of a component table."""
+    return table.filter(F.col("state") == "quarantined").groupBy("root").agg(F.count(F.lit(1)).alias("n_members"))
+
+
+def violations(rows: DataFrame, assigned: DataFrame, record: str = "transaction_id", member: str = "unique_mem_id") -> DataFrame:
+    """(n_records, n_unassigned, n_twice, n_members_apart): the records of rows, those that have no split,
+    those that have several, and the members whose records are in more than one split."""
+    slim = rows.select(F.col(record).alias("r"), F.col(member).cast("string").alias("m")).filter("r is not null").distinct()
+    given = slim.join(assigned.select(F.col(record).alias("r"), "split"), "r", "left")
+    by_record = given.groupBy("r").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("lo").isNull()).alias("n_unassigned"), F.count_if(F.col("lo") < F.col("hi")).alias("n_twice"))
+    apart = given.filter("m is not null").groupBy("m").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).agg(F.count_if(F.col("lo") < F.col("hi")).alias("n_members_apart"))
+    return by_record.withColumn("n_members_apart", apart.scalar())
+
+
 def split_shares(rows: DataFrame, assigned: DataFrame, record: str = "transaction_id") -> DataFrame:
     """(split, n_rows, share) reached."""
     counts = rows.groupBy(record).agg(F.count(F.lit(1)).alias("n")).join(assigned, record).groupBy("split").agg(F.sum("n").alias("n_rows"))

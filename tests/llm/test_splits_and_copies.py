@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from ledgerloom.llm import collapse, splits
 
 
@@ -81,3 +83,28 @@ def test_rows_delivered_again_are_collapsed(spark):
     assert {tuple(r) for r in collapse.collapsed(df).collect()} == {(1, 1, 2), (2, 1, 1), (3, 2, 3), (5, 2, 2), (6, 2, 4), (7, 2, 2)}
     assert {tuple(r) for r in collapse.copy_pairs(df).collect()} == {(3, 4)}
     assert collapse.collapsed(df.limit(0)).count() == 0
+
+
+def test_a_persisted_table_is_taken_up_again(spark, tmp_path):
+    first = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d")], "transaction_id int, unique_mem_id string")
+    path = splits.save_table(splits.assign_splits(first)[0], str(tmp_path))
+    known = splits.load_table(spark, path)
+    before = {r.node: r.split for r in known.collect()}
+    later = spark.createDataFrame([(4, "b"), (4, "e"), (5, "f"), (6, None)], "transaction_id int, unique_mem_id string")
+    table, assigned = splits.assign_splits(later, known=known)
+    again = splits.load_table(spark, splits.save_table(table, str(tmp_path)))
+    after = {r.node: (r.root, r.split, r.state) for r in again.collect()}
+    assert all(after[n][1:] == (before[n], "kept") for n in before) and after["e"] == ("a", before["a"], "kept") and after["f"][2] == "new"
+    assert {r.transaction_id for r in assigned.collect()} == {4, 5, 6}
+    assert tuple(splits.violations(later, assigned).first()) == (3, 0, 0, 0)
+    torn = assigned.withColumn("split", F.when(F.col("transaction_id") == 4, "x").otherwise("y")).unionByName(assigned.limit(1))
+    assert splits.violations(later.union(spark.createDataFrame([(5, "b")], later.schema)), torn).first().n_members_apart >= 1
+    assert splits.merge_conflicts(again).count() == 0
+
+
+def test_a_member_of_very_many_records(spark, monkeypatch):
+    monkeypatch.setattr(splits, "PART_ROWS", 7)
+    rows = [(i, "hot") for i in range(50)] + [(i, f"m{i}") for i in range(40, 60)] + [(100 + i, None) for i in range(30)]
+    df = spark.createDataFrame(rows, "transaction_id int, unique_mem_id string")
+    assigned = splits.assign_splits(df)[1]
+    assert assigned.count() == 90 and tuple(splits.violations(df, assigned).first()) == (90, 0, 0, 0)
