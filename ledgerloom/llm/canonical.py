@@ -7,32 +7,39 @@ must be explained by the entry (an abbreviation of its trade, its direction or l
 of a known kind (shop numbers, legal forms, a town after a business); otherwise the value stands for
 another business or town and is reported as a miss.
 
-Reference lists are small by nature and are gathered under a checked bound; longer ones are
-matched block by block, every value against every block, and the best match kept.
+Distinct values are resolved, once each, and joined back to the rows. The dictionary is built once and
+broadcast. A list longer than BLOCK_ENTRIES is taken in blocks, one dictionary after the other; every
+value is sought in every block and the best match kept by one rank that holds across blocks, so that
+the result does not depend on the size of a block.
 """
 
 from __future__ import annotations
 
 import re
-from collections import OrderedDict, defaultdict
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_rows
+from ..session import bounded_rows, cut, sized_broadcast
 from .textkit import DeleteDictionary, allowed, distance, fold, shortens, words
 
 #: Entries of which one dictionary is made. Beyond that the list is matched in blocks.
-BLOCK_ENTRIES = 50_000
+BLOCK_ENTRIES = 20_000
+#: Different states (or other regions) that a list of towns may have.
+MOST_STATES = 10_000
 #: Resolved values a worker remembers.
 MEMORY = 200_000
+#: Resolved values that are broadcast for the join with the rows; beyond that they are shuffled, but for
+#: those that more than one row in HEAVY_SHARE holds.
+MAPPED_ROWS, HEAVY_SHARE = 100_000, 2_000
 
 LEGAL_FORMS = frozenset(("inc", "ltd", "llc", "corp", "co", "plc", "gmbh", "store", "shop", "www", "com", "example"))
-PAYMENT_MARKS = frozenset(("tpv", "payx", "zpay", "sq", "pos", "www"))
+PAYMENT_MARKS = frozenset(("tpv", "payx", "zpay", "z-pay", "sq", "pos", "www"))
 ARTICLES = frozenset(("the",))
 
 #: Words before and after the distinguishing part of a town's name, with their short forms.
@@ -63,6 +70,20 @@ TRADE_WORDS = {"coffee": ("cafe", "coffeehouse"), "grill": ("grille",), "pharmac
 AROUND_TOWN = (("city", "of"), ("downtown",), ("greater",))
 
 
+@dataclass(frozen=True)
+class Conventions:
+    """What is written around names. The defaults are common in feeds of payments; a reference table of
+    another feed is passed in its place, e.g. Conventions(payment_marks=frozenset(...))."""
+
+    legal_forms: frozenset[str] = LEGAL_FORMS
+    payment_marks: frozenset[str] = PAYMENT_MARKS
+    articles: frozenset[str] = ARTICLES
+    trade_words: dict[str, tuple[str, ...]] = field(default_factory=lambda: TRADE_WORDS)
+
+
+USUAL = Conventions()
+
+
 @dataclass(frozen=True)
 class Entry:
     ref_id: int
@@ -73,27 +94,51 @@ class Entry:
 
 @dataclass(frozen=True)
 class Match:
+    """An entry with its rank among all matches of a value: smaller is better, in whatever block it was found."""
+
     ref_id: int
     cost: float
-    seen: int
+    rank: tuple
+
+
+def business_words(value: str, usual: Conventions = USUAL) -> list[str]:
+    """The words of a typed business without shop number, payment mark, legal form and article."""
+    text = re.sub(r"#\s*[\w-]+", " ", fold(value))
+    text = re.sub(r"^\s*[\w-]{1,8}\s*\*", " ", text)
+    first = text.split(None, 1)
+    if len(first) > 1 and first[0] in usual.payment_marks:
+        text = first[1]
+    ws = [w for w in words(re.sub(r"'s?\b", " ", text) if "'" in text else text)]
+    while len(ws) > 1 and ws[0] in usual.payment_marks:
+        ws = ws[1:]
+    while len(ws) > 1 and (ws[-1] in usual.legal_forms or ws[-1].isdigit()):
+        ws = ws[:-1]
+    return [w for w in ws if w not in usual.articles]
+
+
+def tails(value: str, usual: Conventions = USUAL) -> list[str]:
+    """The last one, two and three words of a business, where words are left before them: what may be a town."""
+    ws = business_words(value, usual)
+    return ["".join(ws[-n:]) for n in (1, 2, 3) if len(ws) > n]
 
 
 class Businesses:
     """Resolves names of businesses: entries have a name and the trade that it ends with."""
 
-    def __init__(self, entries: list[Entry], towns: frozenset[str] = frozenset()):
+    def __init__(self, entries: list[Entry], towns: frozenset[str] = frozenset(), usual: Conventions = USUAL):
         self.cores = DeleteDictionary()
         self.by_core: dict[str, list[tuple[Entry, str]]] = defaultdict(list)
-        self.towns = towns
+        self.towns, self.usual = towns, usual
         for e in entries:
             trade = "".join(words(fold(e.extra or "")))
-            ws = [w for w in words(fold(e.name).replace("'s", "")) if w not in ARTICLES]
+            ws = [w for w in words(fold(e.name).replace("'s", "")) if w not in usual.articles]
             tail = len(words(fold(e.extra or "")))
             core = "".join(ws[:-tail] if tail and "".join(ws[-tail:]) == trade and len(ws) > tail else ws)
             self.by_core[core].append((e, trade if len(core) < len("".join(ws)) else ""))
             self.cores.add(core)
         self.shortest = min((len(c) for c in self.by_core), default=1)
         self.longest = max((len(c) for c in self.by_core), default=1) + 3
+        self.core_costs = lru_cache(maxsize=MEMORY)(self._core_costs)
 
     def _core_costs(self, token: str) -> dict[str, float]:
         found: dict[str, float] = {}
@@ -119,58 +164,49 @@ class Businesses:
             return 0.0
         if shortens(text, trade):
             return 0.1
-        if text in TRADE_WORDS.get(trade, ()):
+        if text in self.usual.trade_words.get(trade, ()):
             return 0.1
         cost = distance(text, trade, 2.0)
         return 0.1 + cost if cost <= min(2.0, allowed(len(trade)), allowed(len(text))) else None
 
-    def _without_town(self, ws: list[str]) -> Iterator[list[str]]:
+    def _without_town(self, ws: list[str], towns: frozenset[str]) -> Iterator[list[str]]:
         yield ws
         for n in (1, 2, 3):
-            if len(ws) > n and "".join(ws[-n:]) in self.towns:
+            if len(ws) > n and "".join(ws[-n:]) in towns:
                 yield ws[: -n - (len(ws) > n + 1 and ws[-n - 1] == "of")]
 
-    def resolve(self, value: str, hint: str | None = None) -> Match | None:
-        text = re.sub(r"#\s*[\w-]+", " ", fold(value))
-        text = re.sub(r"^\s*[\w-]{1,8}\s*\*", " ", text)
-        text = re.sub(r"^\s*z-pay\b", " ", text)
-        ws = [w for w in words(re.sub(r"'s?\b", " ", text) if "'" in text else text)]
-        while len(ws) > 1 and ws[0] in PAYMENT_MARKS:
-            ws = ws[1:]
-        while len(ws) > 1 and (ws[-1] in LEGAL_FORMS or (ws[-1].isdigit() and len(ws) > 1)):
-            ws = ws[:-1]
-        ws = [w for w in ws if w not in ARTICLES]
+    def resolve(self, value: str, hint: str | None = None, towns: frozenset[str] | None = None) -> Match | None:
+        """The best match. `towns` are those of the value's tails that are towns; by default they are told by
+        the towns given at first. Matches of whole words go before those in words run together."""
         best: tuple | None = None
-        for form in self._without_town(ws):
-            for cost, entry in self._candidates(form):
-                rank = (round(cost, 3), -entry.seen, entry.ref_id)
-                best = min(best, (rank, entry)) if best else (rank, entry)
-        if not best:
-            return None
-        return Match(best[1].ref_id, best[0][0], best[1].seen)
-
-    def _candidates(self, ws: list[str]) -> Iterator[tuple[float, Entry]]:
+        for form in self._without_town(business_words(value, self.usual), self.towns if towns is None else towns):
+            for glued, cost, entry in self._candidates(form):
+                rank = (glued, round(cost, 3), False, -entry.seen, entry.ref_id)
+                best = min(best, rank) if best else rank
+        return Match(best[-1], best[1], best) if best else None
+
+    def _candidates(self, ws: list[str]) -> Iterator[tuple[bool, float, Entry]]:
         hit = False
         for i, token in enumerate(ws):
-            for core, cost in self._core_costs(token).items():
+            for core, cost in self.core_costs(token).items():
                 rest = ws[:i] + ws[i + 1 :]
                 for entry, trade in self.by_core[core]:
                     more = self._trade_cost(rest, trade)
                     if more is not None:
                         hit = True
-                        yield cost + more, entry
+                        yield False, cost + more, entry
         if hit or not ws:
             return
         # words run together, or a core of several words: cut the squeezed text after every letter
         whole = "".join(ws)
         for text in {whole, whole[3:] if whole.startswith("the") else whole}:
-            for n in range(self.shortest - 1, min(len(text), self.longest) + 1):
-                for core, cost in self._core_costs(text[:n]).items():
+            for n in range(max(1, self.shortest - 2), min(len(text), self.longest) + 1):
+                for core, cost in self.core_costs(text[:n]).items():
                     for entry, trade in self.by_core[core]:
                         rest = text[n:]
                         more = self._trade_cost([rest] if rest else [], trade)
                         if more is not None and (rest or len(ws) > 1 or n == len(text)):
-                            yield cost + more + 0.05, entry
+                            yield True, cost + more + 0.05, entry
 
 
 def _town_parts(name: str) -> tuple[str, str, str]:
@@ -187,7 +223,7 @@ class Towns:
     """Resolves names of towns. A town is told by the whole of its name: landform words are part of
     it, in full, in a short form or cut off. Towns of one name are told apart by the state."""
 
-    def __init__(self, entries: list[Entry]):
+    def __init__(self, entries: list[Entry], states: frozenset[str] = frozenset()):
         self.forms = DeleteDictionary()
         self.by_form: dict[str, list[tuple[Entry, str, str, float]]] = defaultdict(list)
         for e in entries:
@@ -202,7 +238,8 @@ class Towns:
                     form = head + core + tail
                     self.by_form[form].append((e, before, after, cost))
                     self.forms.add(form)
-        self.states = frozenset((e.extra or "").lower() for e in entries) - {""}
+        # of the whole list, where the entries are a block of it
+        self.states = (states | frozenset((e.extra or "").lower() for e in entries)) - {""}
         self.long_before = {s: k for k, v in BEFORE.items() for s in (k, *v)}
         self.long_after = {s: k for k, v in AFTER.items() for s in (k, *v)}
         self.search = lru_cache(maxsize=MEMORY)(self._search)  # the same towns are typed over and over
@@ -227,6 +264,10 @@ class Towns:
 
     def _search(self, value: str, hint: str | None = None) -> list[tuple[float, Entry]]:
         """Every entry that the value may stand for, nearest first."""
+        return [(rank[1], entry) for rank, entry in self.ranked(value, hint)]
+
+    def ranked(self, value: str, hint: str | None = None) -> list[tuple[tuple, Entry]]:
+        """(rank, entry), best first. Forms that are spelled exactly go before all others."""
         ws, typed = self.clean(value)
         state = (hint or "").strip().lower() or typed
         text = "".join(ws)
@@ -249,12 +290,12 @@ class Towns:
                 total = cost + more + (0.35 if state and (entry.extra or "").lower() != state else 0.0)
                 if entry.ref_id not in found or total < found[entry.ref_id][0]:
                     found[entry.ref_id] = (total, entry)
-        ranked = sorted(found.values(), key=lambda x: (round(x[0], 3), (x[1].extra or "").lower() != state, -x[1].seen, x[1].ref_id))
-        return ranked
+        ranks = [((not exact, round(cost, 3), (entry.extra or "").lower() != state, -entry.seen, entry.ref_id), entry) for cost, entry in found.values()]
+        return sorted(ranks, key=lambda x: x[0])
 
-    def resolve(self, value: str, hint: str | None = None) -> Match | None:
-        ranked = self.search(value, hint)
-        return Match(ranked[0][1].ref_id, round(ranked[0][0], 3), ranked[0][1].seen) if ranked else None
+    def resolve(self, value: str, hint: str | None = None, towns: frozenset[str] | None = None) -> Match | None:
+        ranks = self.ranked(value, hint)
+        return Match(ranks[0][1].ref_id, ranks[0][0][1], ranks[0][0]) if ranks else None
 
 
 @dataclass(frozen=True)
@@ -273,29 +314,8 @@ MERCHANT = Field("merchant_name", "merchant_id", "canonical_name", "trade")
 CITY = Field("city", "city_id", "canonical_city", "state", hint="state", kind="town")
 
 
-def _resolver(kind: str, entries: list[Entry], towns: list[Entry]) -> Businesses | Towns:
-    return Towns(entries) if kind == "town" else Businesses(entries, Towns(towns).names() if towns else frozenset())
-
-
-def _mapper(fields: list[tuple[str, str, list[Entry], list[Entry]]]) -> Callable:
-    """A mapInPandas function over (..., field_name, value, hint) that sets ref_id, cost and seen."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = {name: _resolver(kind, entries, towns) for name, kind, entries, towns in fields}
-        memory: OrderedDict[tuple, Match | None] = OrderedDict()
-        for frame in frames:
-            hits = []
-            for key in zip(frame["field_name"], frame["value"], frame["hint"]):
-                if key in memory:
-                    memory.move_to_end(key)
-                else:
-                    memory[key] = made[key[0]].resolve(key[1], key[2])
-                    if len(memory) > MEMORY:
-                        memory.popitem(last=False)
-                hits.append(memory[key])
-            yield frame.assign(ref_id=[h.ref_id if h else 0 for h in hits], cost=[h.cost if h else None for h in hits], seen=[h.seen if h else 0 for h in hits])
-
-    return run
+def _resolver(kind: str, entries: list[Entry], states: frozenset[str], usual: Conventions) -> Businesses | Towns:
+    return Towns(entries, states) if kind == "town" else Businesses(entries, usual=usual)
 
 
 def typed_values(df: DataFrame, key: str, fields: list[Field]) -> DataFrame:
@@ -311,7 +331,73 @@ def typed_values(df: DataFrame, key: str, fields: list[Field]) -> DataFrame:
     return df.select(F.col(key).alias("_key"), cells.alias("_c")).select("_key", "_c.*").filter(F.col("value").rlike(r"(?U)\S"))
 
 
-def map_to_list(df: DataFrame, key: str, fields: list[tuple[Field, DataFrame]], block: int = BLOCK_ENTRIES) -> DataFrame:
+def _town_tails(values: DataFrame, towns: list[DataFrame], usual: Conventions) -> DataFrame:
+    """Adds _towns: those of the tails of a business that are the name of a town in any form. The forms are
+    made where the lists are and joined; no list is gathered."""
+    if not towns:
+        return values.withColumn("_towns", F.array().cast("array<string>"))
+
+    def forms_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"form": [form for i, n, e in zip(f["ref_id"], f["name"], f["extra"]) for form in Towns([Entry(i, n, e)]).names()]})
+
+    forms = None
+    for t in towns:
+        one = t.select("ref_id", "name", "extra").mapInPandas(forms_of, "form string")
+        forms = one if forms is None else forms.unionByName(one)
+    ends = F.pandas_udf(lambda s: pd.Series([tails(v, usual) for v in s]), "array<string>")
+    tailed = values.filter("_kind <> 'town'").select("field_name", "value", "hint", F.explode(ends("value")).alias("form"))
+    told = tailed.join(sized_broadcast(cut(forms.distinct())), "form").groupBy("field_name", "value", "hint").agg(F.collect_list("form").alias("_towns"))  # three at most
+    return values.join(told, ["field_name", "value", "hint"], "left").withColumn("_towns", F.coalesce("_towns", F.array().cast("array<string>")))
+
+
+def resolved(values: DataFrame, lists: list[tuple[Field, DataFrame]], block: int, usual: Conventions) -> DataFrame:
+    """(field_name, value, hint, ref_id, cost) of distinct values, sought in every block of their list
+    (ref_id, name, extra, seen). At any time one block is held on the driver and by the workers."""
+    spark = values.sparkSession
+    ranks = {"_glued": "boolean", "_cost": "double", "_off": "boolean", "_seen": "bigint", "_ref": "bigint"}  # as Match.rank
+    blank = {"_found": F.lit(False), **{n: F.lit(0).cast(t) for n, t in ranks.items()}}
+    out = values.select("field_name", "value", "hint", "_kind", "_towns", *[c.alias(n) for n, c in blank.items()])
+    schema = "field_name string, value string, hint string, _kind string, _towns array<string>, _found boolean, " + ", ".join(f"{n} {t}" for n, t in ranks.items())
+    for field_, listed in lists:
+        blocks = max(1, -(-listed.count() // block))
+        part = F.pmod(F.xxhash64("ref_id"), F.lit(blocks))
+        states = frozenset(r.extra.lower() for r in bounded_rows(listed.filter("extra is not null").select("extra").distinct(), MOST_STATES, "the states of the towns")) if field_.kind == "town" else frozenset()
+        for b in range(blocks):
+            rows = bounded_rows(listed.filter(part == b), 2 * block + 100, f"a block of the reference list of {field_.column}")
+            entries = sorted((Entry(r.ref_id, r.name, r.extra, r.seen) for r in rows), key=lambda e: e.ref_id)
+            shared = spark.sparkContext.broadcast((field_.column, field_.kind, entries, states, usual))
+
+            def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+                column, resolver = _shared_resolver(shared)
+                for f in frames:
+                    best = []
+                    for name, value, hint, towns, found_, *old in zip(f["field_name"], f["value"], f["hint"], f["_towns"], f["_found"], *(f[n] for n in ranks)):
+                        hit = resolver.resolve(value, hint, frozenset(towns)) if name == column else None
+                        known = [r for r in (tuple(old) if found_ else None, hit.rank if hit else None) if r is not None]
+                        best.append((True, *min(known)) if known else (False, False, 0.0, False, 0, 0))
+                    done = pd.DataFrame(best, columns=["_found", *ranks], index=f.index)
+                    yield pd.concat([f[["field_name", "value", "hint", "_kind", "_towns"]], done], axis=1)
+
+            out = out.mapInPandas(run, schema)
+    return out.select("field_name", "value", "hint", F.when(F.col("_found"), F.col("_ref")).otherwise(F.lit(0).cast("long")).alias("ref_id"), F.when(F.col("_found"), F.col("_cost")).alias("cost"))
+
+
+_MADE: dict[int, tuple] = {}
+
+
+def _shared_resolver(shared) -> tuple[str, Businesses | Towns]:
+    """The dictionary of a broadcast block, made once per worker process."""
+    key = id(shared.value)
+    if key not in _MADE:
+        if len(_MADE) > 1:  # no more than two blocks at a time
+            _MADE.clear()
+        column, kind, entries, states, usual = shared.value
+        _MADE[key] = (shared.value, column, _resolver(kind, entries, states, usual))
+    return _MADE[key][1:]
+
+
+def map_to_list(df: DataFrame, key: str, fields: list[tuple[Field, DataFrame]], block: int | None = None, usual: Conventions = USUAL) -> DataFrame:
     """Every typed value that is not spelled exactly as an entry, with the entry that it stands for:
     (key, field_name, value, hint, ref_id, cost), ref_id 0 where it stands for none.
 
@@ -322,38 +408,39 @@ def map_to_list(df: DataFrame, key: str, fields: list[tuple[Field, DataFrame]],
     an empty table gives no rows. Only key, value and hint columns are read, so other columns of df,
     of whatever name, do not matter.
     """
-    lists: list[tuple[Field, list[list[Entry]]]] = []
-    names: list[DataFrame] = []
     values = typed_values(df, key, [f for f, _ in fields])
-    for field, ref in fields:
-        slim = ref.select(F.col(field.ref_id).cast("long").alias("ref_id"), F.col(field.ref_name).alias("name"), F.col(field.ref_extra).alias("extra")).filter(F.col("ref_id").isNotNull() & F.col("name").isNotNull())
-        # how often each entry is spelled exactly: at most as many rows as the list has
-        counts = values.filter(F.col("field_name") == field.column).groupBy(F.col("value").alias("name")).agg(F.count(F.lit(1)).alias("seen"))
-        counted = slim.join(counts, "name", "left").select("ref_id", "name", "extra", F.coalesce("seen", F.lit(0)).alias("seen"))
-        names.append(slim.select(F.lit(field.column).alias("field_name"), F.col("name").alias("value")).distinct())
-        blocks = max(1, -(-slim.count() // block))
-        part = F.pmod(F.xxhash64("ref_id"), F.lit(blocks))
-        gathered = [bounded_rows(counted.filter(part == b), 2 * block, f"a block of the reference list of {field.column}") for b in range(blocks)]
-        lists.append((field, [sorted((Entry(r.ref_id, r.name, r.extra, r.seen) for r in rows), key=lambda e: e.ref_id) for rows in gathered]))
-    exact = names[0]
-    for other in names[1:]:
-        exact = exact.unionByName(other)
-    if all(len(blocks) == 1 for _, blocks in lists):
-        exact = F.broadcast(exact)
-    inexact = values.join(exact, ["field_name", "value"], "left_anti")
-    # of all blocks, so that what is stripped from behind a name does not depend on the block size
-    towns = [e for f, blocks in lists if f.kind == "town" for entries in blocks for e in entries]
-    schema = ", ".join(f"`{n}` {t}" for n, t in inexact.dtypes) + ", ref_id bigint, cost double, seen bigint"
-    steps = max(len(blocks) for _, blocks in lists)
-    out = None
-    for step in range(steps):
-        share = [(f.column, f.kind, blocks[step] if step < len(blocks) else [], towns if f.kind != "town" else []) for f, blocks in lists]
-        found = inexact.mapInPandas(_mapper(share), schema)
-        out = found if out is None else out.unionByName(found)
-    if steps > 1:
-        rank = F.struct(F.when(F.col("ref_id") == 0, 1).otherwise(0), "cost", -F.col("seen"), "ref_id")
-        out = out.groupBy("_key", "field_name", "value", "hint").agg(F.min_by(F.struct("ref_id", "cost", "seen"), rank).alias("_b")).select("_key", "field_name", "value", "hint", "_b.*")
-    return out.select(F.col("_key").alias(key), "field_name", "value", "hint", "ref_id", "cost")
+    slims, lists = [], []
+    exact = None
+    for field_, ref in fields:
+        slim = ref.select(F.col(field_.ref_id).cast("long").alias("ref_id"), F.col(field_.ref_name).alias("name"), F.col(field_.ref_extra).alias("extra")).filter(F.col("ref_id").isNotNull() & F.col("name").isNotNull())
+        names = slim.select(F.lit(field_.column).alias("field_name"), F.col("name").alias("value")).distinct()
+        slims.append((field_, slim))
+        exact = names if exact is None else exact.unionByName(names)
+    exact = sized_broadcast(exact)
+    # counts combine before they are shuffled: distinct values, of which those spelled exactly only give ranks
+    distinct = cut(values.groupBy("field_name", "value", "hint").agg(F.count(F.lit(1)).alias("_n")).join(exact.withColumn("_exact", F.lit(True)), ["field_name", "value"], "left"))
+    for field_, slim in slims:
+        seen = distinct.filter(F.col("_exact") & (F.col("field_name") == field_.column)).groupBy(F.col("value").alias("name")).agg(F.sum("_n").alias("seen"))
+        lists.append((field_, cut(slim.join(seen, "name", "left").select("ref_id", "name", "extra", F.coalesce("seen", F.lit(0)).alias("seen")))))
+    kinds = F.create_map(*[F.lit(x) for f, _ in fields for x in (f.column, f.kind)])
+    asked = distinct.filter("_exact is null").select("field_name", "value", "hint", F.element_at(kinds, F.col("field_name")).alias("_kind"))
+    asked = _town_tails(asked, [t for f, t in slims if f.kind == "town"], usual)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mapped = cut(resolved(asked.repartition(n, "value"), lists, block or BLOCK_ENTRIES, usual))
+    return _joined_back(values.join(exact, ["field_name", "value"], "left_anti"), mapped, distinct).select(F.col("_key").alias(key), "field_name", "value", "hint", "ref_id", "cost")
+
+
+def _joined_back(rows: DataFrame, mapped: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows with what their values stand for: by broadcast if that is of a bounded size, or else by a
+    shuffle, from which values that very many rows hold are kept out (at most HEAVY_SHARE of them)."""
+    on = ["field_name", "value", "hint"]
+    hinted = sized_broadcast(mapped, MAPPED_ROWS)
+    if hinted is not mapped:
+        return rows.join(hinted, on)
+    total = counts.agg(F.sum("_n")).scalar()
+    heavy = F.broadcast(counts.filter(F.col("_n") * HEAVY_SHARE > total).select(*on))
+    often = rows.join(F.broadcast(mapped.join(heavy, on, "left_semi")), on)
+    return often.unionByName(rows.join(heavy, on, "left_anti").join(mapped, on))
 
 
 def found(df: DataFrame, key: str, fields: list[tuple[Field, DataFrame]]) -> DataFrame:

@@ -14,7 +14,9 @@ from .textkit import allowed, distance, fold, shortens, words
 def name_words(name: str) -> tuple[str, ...]:
     """The words of a name without article, possessive, legal form, shop number and web address parts."""
     text = re.sub(r"^\s*(https?://)?(www\.)?", "", fold(name))
-    text = re.sub(r"^\s*(?:[\w-]{1,8}\s*\*|z-pay\b)", " ", re.sub(r"#\s*\w+", " ", text))
+    text = re.sub(r"^\s*[\w-]{1,8}\s*\*", " ", re.sub(r"#\s*\w+", " ", text))
+    first = text.split(None, 1)
+    text = first[1] if len(first) > 1 and first[0] in PAYMENT_MARKS else text
     ws = words(re.sub(r"'s?\b", " ", text))
     ws = [w for i, w in enumerate(ws) if i == 0 or w != "s"]  # a possessive whose apostrophe is lost
     while len(ws) > 1 and ws[0] in PAYMENT_MARKS:

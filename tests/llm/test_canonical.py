@@ -73,3 +73,38 @@ def test_towns_of_all_blocks_are_stripped_from_names(spark):
     fields = [(MERCHANT, shops), (CITY, towns)]
     got = lambda **how: {r.transaction_id: r.ref_id for r in map_to_list(df, "transaction_id", fields, **how).collect()}
     assert got(block=2) == got() == {i: SHOPS[0].ref_id for i in range(1, 9)}
+
+
+def test_blocks_change_nothing(spark):
+    """Town suffixes, repeated rows, exact and near spellings, words run together and ties, in blocks of one entry."""
+    shops = spark.createDataFrame([(e.ref_id, e.name, e.extra) for e in [*SHOPS, Entry(5, "Brandlov Lodge", "Lodge"), Entry(6, "Brandlow Inn", "Inn")]], "merchant_id long, canonical_name string, trade string")
+    towns = spark.createDataFrame([(e.ref_id, e.name, e.extra) for e in [*TOWNS, Entry(6, "Tellbi", "OR"), Entry(7, "Marks Falls", "TX")]], "city_id long, canonical_city string, state string")
+    names = ["brandlow ldg", "Brandlov Ldg - Tellby", "brandlowlodge.example", "skerritsautoparts", "brandl0w lodge of Marsk Falls", "Dornick", "Brandlow", "z-pay Dornick Toys", "nothing", None, ""]
+    cities = ["tellby", "TELLBY", "Telby", "tellbi ", "marsk fls", "Mraks Falls", "Port Halvren", "none", None, "Tellby Prk", "tellby, ME"]
+    rows = [(i % 9, n, c, st) for i, (n, c) in enumerate(zip(names * 3, cities * 3)) for st in ("OR", "ME", None)]
+    df = spark.createDataFrame(rows + rows[:7], "transaction_id long, merchant_name string, city string, state string")
+    fields = [(MERCHANT, shops), (CITY, towns)]
+    got = lambda **how: sorted(map(repr, map(tuple, map_to_list(df, "transaction_id", fields, **how).collect())))
+    one = got()
+    assert got(block=1) == one == got(block=3) and len(one) > 100
+    assert sum(r.n_rows for r in misses(df, "transaction_id", fields).collect()) == sum("ref_id" not in r and r.endswith("0, None)") for r in one)
+
+
+def test_join_back_without_broadcast(spark, monkeypatch):
+    from ledgerloom.llm import canonical
+
+    shops = spark.createDataFrame([(e.ref_id, e.name, e.extra) for e in SHOPS], "merchant_id long, canonical_name string, trade string")
+    df = spark.createDataFrame([(i, "brandlow ldg" if i % 2 else f"cash {i}") for i in range(40)], "transaction_id long, merchant_name string")
+    got = lambda: sorted(map(tuple, found(df, "transaction_id", [(MERCHANT, shops)]).collect()))
+    one = got()
+    monkeypatch.setattr(canonical, "MAPPED_ROWS", 3)
+    monkeypatch.setattr(canonical, "HEAVY_SHARE", 4)
+    assert got() == one and len(one) == 40
+
+
+def test_conventions_are_an_argument():
+    from ledgerloom.llm.canonical import Conventions
+
+    shop = [Entry(1, "Brandlow Lodge", "Lodge")]
+    assert Businesses(shop).resolve("xyzpay Brandlow Lodge") is None
+    assert Businesses(shop, usual=Conventions(payment_marks=frozenset(("xyzpay",)))).resolve("xyzpay Brandlow Lodge").ref_id == 1
