@@ -7,8 +7,10 @@ outside quotes is either empty between two quoted pieces (an escaped quote) or i
 delimiters next to the quotes.
 
 The parsed cells are exploded into (row, column, value), joined with a rule table, validated and the
-failures aggregated per row; clean rows are those left by an anti join with the failures. Only cells
-that fail are shuffled, so the cost of the aggregation follows the number of failures.
+failures aggregated per row; clean rows are those left by an anti join with the failures. A record is
+parsed once: one that has no cells of its own (broken quoting, wrong number of fields) is exploded into
+one that stands for its failure. Only cells that fail are shuffled, so the cost of the aggregation follows
+the number of failures.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 QUOTING, COLUMN_COUNT, VALUE = "quoting", "column_count", "value"
 
 
@@ -108,21 +112,21 @@ def rule_table(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return df.sparkSession.createDataFrame([(i, r.name, r.kind) for i, r in enumerate(rules)], schema)
 
 
-def failed_cells(df: DataFrame, key: str, line: str = "raw_line", rules: tuple[Rule, ...] = TRANSACTION_RULES, delimiter: str = "|") -> DataFrame:
-    """One row per failure: (key, _reason, _column). The rule table has one row per column of the
-    feed, so its broadcast is bounded by the feed's definition."""
-    parsed = parse(df.select(F.col(key), F.col(line)), line, delimiter)
-    whole = F.size("_cells") == len(rules)
-    broken = parsed.filter(~F.col("_quoted") | ~whole).select(
-        key, F.when(~F.col("_quoted"), QUOTING).otherwise(COLUMN_COUNT).alias("_reason"), F.lit(None).cast("string").alias("_column")
+def failed_cells(parsed: DataFrame, rows: list[str], rules: tuple[Rule, ...] = TRANSACTION_RULES) -> DataFrame:
+    """One row per failure of parsed records: (*rows, _reason, _column). The rule table has one row per
+    column of the feed, so its broadcast is bounded by the feed's definition."""
+    none = F.lit(None).cast("string")
+    cells = (
+        F.when(~F.col("_quoted"), F.array(F.struct(F.lit(-2).alias("_pos"), none.alias("_value"))))
+        .when(F.size("_cells") != len(rules), F.array(F.struct(F.lit(-1).alias("_pos"), none.alias("_value"))))
+        .otherwise(F.transform("_cells", lambda v, i: F.struct(i.alias("_pos"), v.alias("_value"))))
     )
-    cells = parsed.filter(F.col("_quoted") & whole).select(key, F.posexplode("_cells").alias("_pos", "_value"))
-    checked = cells.join(F.broadcast(rule_table(df, rules)), "_pos")
+    checked = parsed.select(*rows, F.explode(cells).alias("_c")).select(*rows, "_c.*").join(F.broadcast(rule_table(parsed, rules)), "_pos", "left")
     valid = F.lit(False)
     for kind in sorted({r.kind for r in rules}):
         valid = F.when(F.col("_kind") == kind, KINDS[kind](F.col("_value"))).otherwise(valid)
-    wrong = checked.filter(~valid).select(key, F.lit(VALUE).alias("_reason"), "_column")
-    return broken.unionByName(wrong)
+    reason = F.when(F.col("_pos") == -2, QUOTING).when(F.col("_pos") == -1, COLUMN_COUNT).otherwise(VALUE)
+    return checked.filter(~valid).select(*rows, reason.alias("_reason"), "_column")
 
 
 def rejected(df: DataFrame, key: str, line: str = "raw_line", rules: tuple[Rule, ...] = TRANSACTION_RULES, delimiter: str = "|") -> DataFrame:
@@ -132,19 +136,33 @@ def rejected(df: DataFrame, key: str, line: str = "raw_line", rules: tuple[Rule,
     A NULL or empty record has one empty field and fails for its column count. Several records with
     one key give one row. An empty table gives no rows; other columns of df are not looked at.
     """
+    parsed = parse(df.select(F.col(key), F.col(line)), line, delimiter)
+    return _by_row(failed_cells(parsed, [key], rules), [key])
+
+
+def _by_row(failures: DataFrame, rows: list[str]) -> DataFrame:
     order = F.when(F.col("_reason") == QUOTING, 0).when(F.col("_reason") == COLUMN_COUNT, 1).otherwise(2)
-    return (
-        failed_cells(df, key, line, rules, delimiter)
-        .groupBy(key)
-        .agg(F.min_by("_reason", order).alias("reason"), F.array_join(F.array_sort(F.collect_set("_column")), ",").alias("bad_columns"))
-    )
+    return failures.groupBy(*rows).agg(F.min_by("_reason", order).alias("reason"), F.array_join(F.array_sort(F.collect_set("_column")), ",").alias("bad_columns"))
 
 
-def accepted(df: DataFrame, key: str, line: str = "raw_line", rules: tuple[Rule, ...] = TRANSACTION_RULES, delimiter: str = "|", failures: DataFrame | None = None) -> DataFrame:
-    """The clean records with typed columns beside the key. Digits beyond the range of a long give
-    NULL in the typed column. Columns of df other than the key and the record are not carried, so no
-    name can clash. The failures may be given where they were computed already."""
-    failures = rejected(df, key, line, rules, delimiter) if failures is None else failures
-    clean = parse(df.select(F.col(key), F.col(line)), line, delimiter).join(failures.select(key), key, "left_anti")
-    values = [(F.element_at("_cells", i + 1) if r.sql_type == "string" else F.element_at("_cells", i + 1).try_cast(r.sql_type)).alias(r.name) for i, r in enumerate(rules)]
-    return clean.select(key, *values)
+def split_feed(df: DataFrame, key: str, line: str = "raw_line", rules: tuple[Rule, ...] = TRANSACTION_RULES, delimiter: str = "|") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): the clean records with typed columns beside the key, and (key, record, reason,
+    bad_columns) of the others. Every record is on one side, once.
+
+    Records are told apart by their place in the table, not by the key, so that NULL and repeated keys
+    do no harm: each record is judged by itself. Digits beyond the range of a long give NULL in the
+    typed column. Columns of df other than the key and the record are not carried, so no name can
+    clash. An empty table gives two empty ones.
+    """
+    slim = df.select(F.col(key).alias("_key"), F.col(line).alias("_line"))
+    parsed = cut(parse(slim, "_line", delimiter).withColumn("_row", F.monotonically_increasing_id()))
+    failures = cut(_by_row(failed_cells(parsed, ["_row"], rules), ["_row"]))
+    clean = parsed.join(failures.select("_row"), "_row", "left_anti")
+    typed = [(F.get("_cells", i) if r.sql_type == "string" else F.get("_cells", i).try_cast(r.sql_type)).alias(r.name) for i, r in enumerate(rules)]
+    bad = parsed.select("_row", F.col("_key").alias(key), F.col("_line").alias(line)).join(failures, "_row").drop("_row")
+    return clean.select(F.col("_key").alias(key), *typed), bad
+
+
+def accepted(df: DataFrame, key: str, line: str = "raw_line", rules: tuple[Rule, ...] = TRANSACTION_RULES, delimiter: str = "|") -> DataFrame:
+    """The clean records of split_feed()."""
+    return split_feed(df, key, line, rules, delimiter)[0]

@@ -19,23 +19,34 @@ _P3 = f"""WITH q AS (SELECT line_id, raw_line AS l, regexp_full_match(raw_line,
   r AS (SELECT line_id, CASE WHEN NOT quoted THEN 'quoting' WHEN len(v) <> 7 THEN 'column_count'
     WHEN NOT (regexp_full_match(v[1], '[0-9]+') AND regexp_full_match(v[2], '[0-9]*') AND regexp_full_match(v[3], '-?[0-9]+([.][0-9]{{1,2}})?') AND regexp_full_match(v[4], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(v[4] AS DATE) IS NOT NULL
       AND v[5] IN ('credit', 'debit') AND regexp_matches(v[6], '[^\\s\\x{{a0}}\\x{{2000}}-\\x{{200a}}]') AND NOT regexp_matches(v[6], '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\x{{FFFD}}]')
-      AND regexp_full_match(v[7], '|NULL|[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}')) THEN 'value' END AS reason FROM f)
-  SELECT line_id, reason FROM r WHERE reason IS NOT NULL"""
+      AND regexp_full_match(v[7], '|NULL|[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}')) THEN 'value' END AS reason, v FROM f) """
 
 
-@query(_P3)
+@query(_P3 + "SELECT line_id, reason FROM r WHERE reason IS NOT NULL")
 def p3_found(s, d):
     return rejects.rejected(table(s, d, "raw_transactions"), "line_id").select("line_id", "reason")
 
 
-@query()
+@query(_P3 + "SELECT line_id, try_cast(v[1] AS BIGINT) AS transaction_id, v[2] AS unique_mem_id, CAST(v[3] AS DOUBLE) AS amount, CAST(v[4] AS DATE) AS transaction_date, v[5] AS ledger_entry, v[6] AS description_unmasked, v[7] AS factual_id FROM r WHERE reason IS NULL")
 def p3_accepted(s, d):
     return rejects.accepted(table(s, d, "raw_transactions"), "line_id")
 
 
-@query()
+_CHECKS = {
+    "transaction_id": "regexp_full_match(v[1], '[0-9]+')",
+    "unique_mem_id": "regexp_full_match(v[2], '[0-9]*')",
+    "amount": "regexp_full_match(v[3], '-?[0-9]+([.][0-9]{1,2})?')",
+    "transaction_date": "regexp_full_match(v[4], '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(v[4] AS DATE) IS NOT NULL",
+    "ledger_entry": "v[5] IN ('credit', 'debit')",
+    "description_unmasked": r"regexp_matches(v[6], '[^\s\x{a0}\x{2000}-\x{200a}]') AND NOT regexp_matches(v[6], '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFD}]')",
+    "factual_id": "regexp_full_match(v[7], '|NULL|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}')",
+}
+_BAD = "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN NOT ({test}) THEN '{name}' END" for name, test in _CHECKS.items()) + "], lambda x: x IS NOT NULL)), ',')"
+
+
+@query(_P3 + f"SELECT reason, CASE WHEN reason = 'value' THEN {_BAD} ELSE '' END AS bad_columns, count(*) AS n_lines FROM r WHERE reason IS NOT NULL GROUP BY 1, 2")
 def p3_reasons(s, d):
-    return rejects.rejected(table(s, d, "raw_transactions"), "line_id").groupBy("reason", "bad_columns").agg(F.count(F.lit(1)).alias("n_lines"))
+    return rejects.split_feed(table(s, d, "raw_transactions"), "line_id")[1].groupBy("reason", "bad_columns").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 @query("""SELECT merchant_name FROM labeled_transactions WHERE regexp_matches(merchant_name, '\\S')

@@ -111,3 +111,13 @@ def test_heavy_keys(spark):
     df = spark.createDataFrame([("x", 1)] * 3 + [("y", 1)] * 2 + [("", 1)] * 40 + [(None, 1)] * 55, "name string, amount int").withColumn("at", F.lit("2020-01-01").cast("date"))
     assert {r.name for r in skew.heavy_keys(df, "name", "at", "amount", []).collect()} == {"x"}
     assert skew.heavy_keys(df.limit(0), "name", "at", "amount", []).count() == 0
+
+
+def test_records_without_a_key_and_with_repeated_keys(spark):
+    good = "1|2|3.50|2024-02-29|debit|shop|NULL"
+    df = spark.createDataFrame([(None, "garbage"), (None, good), (7, good), (7, "x|2|3.50|2024-02-29|debit|shop|NULL"), (7, good), (8, None)], "line_id long, raw_line string")
+    clean, bad = rejects.split_feed(df, "line_id")
+    assert sorted(str(r.line_id) for r in clean.collect()) == ["7", "7", "None"]
+    assert sorted((str(r.line_id), r.reason, r.bad_columns) for r in bad.collect()) == [("7", "value", "transaction_id"), ("8", "column_count", ""), ("None", "column_count", "")]
+    assert rejects.accepted(df.limit(0), "line_id").count() == 0
+    assert {(r.line_id, r.reason) for r in rejects.rejected(df, "line_id").collect()} == {(None, "column_count"), (7, "value"), (8, "column_count")}
