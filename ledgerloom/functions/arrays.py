@@ -66,6 +66,16 @@ def mean_vectors(vectors: list[Column]) -> Column:
     return F.transform(total, lambda x: x / F.lit(float(len(vectors))))
 
 
+def first_of_list(values: Column) -> Column:
+    """The first element; NULL for an empty list."""
+    return F.get(values, 0)
+
+
+def score_matrix(classes: int, prefix: str = "class_") -> Column:
+    """The columns class_1, class_2, ... of a file of soft targets as one vector."""
+    return F.array(*[F.col(f"{prefix}{i}").cast("double") for i in range(1, classes + 1)])
+
+
 def flat_distinct(nested: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(nested)))
 

@@ -165,3 +165,26 @@ def merchant_tags(text: Column, tagged: Column, most: int = 35) -> Column:
 
 def merchant_of_tags(tags: Column) -> Column:
     return F.array_join(F.transform(F.filter(tags, lambda t: t["tag"] == "merchant"), lambda t: t["token"]), " ")
+
+
+def version_stamp(instant: Column) -> Column:
+    """Fourteen digits of an instant in the session's time zone, which is UTC."""
+    return F.date_format(instant, "yyyyMMddHHmmss")
+
+
+def score_text(log_score: Column) -> Column:
+    """The probability of a logarithm in six significant digits, without zeros at the end."""
+    p = F.exp(log_score)
+    scale = F.pow(F.lit(10.0), F.greatest(F.lit(0), 5 - F.floor(F.log10(F.greatest(p, F.lit(1e-300))))))
+    plain = F.regexp_replace(F.format_string("%.10f", F.bround(p * scale, 0) / scale), r"\.?0+$", "")
+    return F.when(p >= 1e-4, plain).otherwise(F.regexp_replace(F.format_string("%.5e", p), r"\.?0*e", "e"))
+
+
+def model_path(kind: str) -> str:
+    """bank_debit_subtype -> bank/debit/subtype."""
+    return kind.strip("._/").replace("_", "/")
+
+
+def model_name(path: str) -> str:
+    """/bank/debit/ -> bank.debit."""
+    return path.strip("/").replace("/", ".").lstrip(".")

@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import cut
+from ..session import cut, sized_broadcast
 from . import search
 from .locate import locate
 from .prep import needs_search
 
 #: Boosts of the directory's fields in the main clause.
+# Fixed values, as are the least gap 2.857 and the least score 1.0.
 BOOSTS = {"place_name": 2.781, "address": 0.541, "address_extended": 1.282, "category_labels": 1.319, "chain_name": 0.999, "locality": 1.367, "region": 1.685, "postcode": 0.914, "tel": 0.597}
 RESULT_SIZE = 45
 #: Field of the directory -> attribute of the result.
@@ -42,6 +43,31 @@ def clauses(queries: DataFrame, key: str, description: str, city: str | None = N
     return out
 
 
+def with_everything(docs: DataFrame, fields: list[str], out: str = "everything") -> DataFrame:
+    """Adds one field that holds the text of all fields, for queries that name none."""
+    return docs.withColumn(out, F.concat_ws(" ", *[F.col(f).cast("string") for f in fields]))
+
+
+def free_text_clauses(queries: DataFrame, key: str, text: str, name: str, address: str, everything: str = "everything") -> DataFrame:
+    """The text in all fields together, a name given besides with four times the weight, and an address in
+    the fields of the address with twice."""
+    out = search.clause(queries.withColumn("_q", tx.clean_query(F.col(text))), key, "_q", {everything: 1.0})
+    out = out.unionByName(search.clause(queries, key, name, {"place_name": 4.0}))
+    return out.unionByName(search.clause(queries, key, address, dict.fromkeys(("address", "locality", "region", "postcode"), 2.0)))
+
+
+def address_clauses(queries: DataFrame, key: str, columns: dict[str, str], more: list[tuple[str, list[str], float]] = ()) -> DataFrame:
+    """A clause for each column in the field it stands for, the name with twice the weight, and further
+    (column, fields, boost) clauses."""
+    out = None
+    for column, field in columns.items():
+        part = search.clause(queries, key, column, {field: 2.0 if field == "place_name" else 1.0})
+        out = part if out is None else out.unionByName(part)
+    for column, fields, boost in more:
+        out = out.unionByName(search.clause(queries, key, column, dict.fromkeys(fields, boost)))
+    return out
+
+
 def find_merchants(transactions: DataFrame, key: str, description: str, merchants: DataFrame, cities: DataFrame, merchant_key: str = "factual_id", least_gap: float = 2.857, least_score: float = 1.0, known_places: DataFrame | None = None) -> DataFrame:
     """One row per transaction with location, the best hits' facts, the decision and the enriched
     attributes. Rows that are too short to search, or have fewer than two hits, or whose best hit is
@@ -53,7 +79,7 @@ def find_merchants(transactions: DataFrame, key: str, description: str, merchant
     facts = search.gaps(hits)
     two = search.top_two(hits, merchants, merchant_key, ["place_name", "locality", "region"])
     top = hits.filter("rank = 1").select("query", F.col("doc").alias(merchant_key)).join(merchants.select(merchant_key, *[f for f in OUTPUT], "longitude", "latitude"), merchant_key)
-    names = F.broadcast(cities.select(F.lower("canonical_city").alias("_town")).distinct())
+    names = sized_broadcast(cities.select(F.lower("canonical_city").alias("_town")).distinct())
     joined = rows.join(facts.withColumnRenamed("query", key), key, "left").join(two.withColumnRenamed("query", key), key, "left").join(top.withColumnRenamed("query", key), key, "left")
     joined = joined.join(names, F.lower("place_name_1") == F.col("_town"), "left")
     found = (F.coalesce("n_hits", F.lit(0)) >= 2) & F.col("_town").isNull()
@@ -72,10 +98,3 @@ def find_merchants(transactions: DataFrame, key: str, description: str, merchant
         F.col(key), F.col(description), F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"), "top_score", "gap", F.coalesce(match, F.lit(False)).alias("match_found"),
         F.when(match, F.col(merchant_key)).alias("source_merchant_id"), *[c.alias(n) for n, c in taken.items()], *point.values(), F.when(match | ~found, "FACTUAL").otherwise("OTHER").alias("source"),
     )
-
-
-def output_json(enriched: DataFrame, key: str, debug: bool = False) -> DataFrame:
-    """(key, json): the record of the output schema; with debug also what the search saw."""
-    body = [c for c in enriched.columns if c not in ("n_hits", "top_score", "gap")]
-    extra = [F.struct("n_hits", "top_score", "gap").alias("search")] if debug else []
-    return enriched.select(key, F.to_json(F.struct(*body, *extra)).alias("json"))

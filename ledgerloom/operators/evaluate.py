@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import sized_broadcast
+
 
 def last_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key. An aggregation, not a window: a heavy key combines on the map side."""
@@ -63,7 +65,7 @@ def confusion_grid(long: DataFrame, classes: list) -> DataFrame:
     """All cells of the matrix over a known list of classes, with zeros for what did not occur."""
     spark = long.sparkSession
     cells = spark.createDataFrame([(a, p) for a in classes for p in classes], long.select("actual", "predicted").schema)
-    return F.broadcast(cells).join(long, ["actual", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    return cells.join(long, ["actual", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
 def confusion_wide(long: DataFrame, classes: list) -> DataFrame:
@@ -90,6 +92,13 @@ def overall_accuracy(long: DataFrame) -> DataFrame:
     return long.agg(F.round(F.try_divide(F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)) * 1.0, F.sum("n")), 6).alias("accuracy"))
 
 
+def chi_square(df: DataFrame, group: str) -> DataFrame:
+    """(n, groups, chi_square, degrees): how far the sizes of groups are from being equal."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("k"))
+    n, groups = F.sum("k"), F.count(F.lit(1))
+    return sizes.agg(n.alias("n"), groups.alias("groups"), F.round(F.sum(F.col("k") * F.col("k")) * groups / n - n, 6).alias("chi_square"), (groups - 1).alias("degrees"))
+
+
 def throughput(total: Column, seconds: Column) -> tuple[Column, Column]:
     """(seconds per row, rows per minute); a run counts as one second at least."""
     run = F.greatest(seconds, F.lit(1))
@@ -99,7 +108,7 @@ def throughput(total: Column, seconds: Column) -> tuple[Column, Column]:
 def best_candidate(df: DataFrame, group: str, score: str, stamp: str, pinned: DataFrame | None = None) -> DataFrame:
     """The best candidate of each group: a pinned one, else the highest score, ties to the earliest."""
     if pinned is not None:
-        df = df.join(F.broadcast(pinned.select(group, F.col(stamp).alias("_pin"))), group, "left").withColumn("_p", F.coalesce((F.col(stamp) == F.col("_pin")).cast("int"), F.lit(0))).drop("_pin")
+        df = df.join(sized_broadcast(pinned.select(group, F.col(stamp).alias("_pin"))), group, "left").withColumn("_p", F.coalesce((F.col(stamp) == F.col("_pin")).cast("int"), F.lit(0))).drop("_pin")
     else:
         df = df.withColumn("_p", F.lit(0))
     w = Window.partitionBy(group).orderBy(F.col("_p").desc(), F.col(score).desc(), F.col(stamp).asc())

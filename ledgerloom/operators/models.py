@@ -32,6 +32,26 @@ def fit(df: DataFrame, text: str, label: str, features: int = 1 << 14, rounds: i
     return Pipeline(stages=steps).fit(rows)
 
 
+# The kinds of models that a registry holds.
+KINDS = tuple(f"{container}_{kind}" for container in ("bank", "card") for kind in ("sws", "merchant", "debit_subtype", "credit_subtype", "debit_category", "credit_category"))
+
+
+def save(model: PipelineModel, folder: str, kind: str, stamp: str) -> str:
+    """Stores a version of a model of a kind; `stamp` is digits, as version_stamp() gives."""
+    if kind not in KINDS or not stamp.isdigit():
+        raise ValueError(f"{kind} is no kind of model, or {stamp} no stamp")
+    path = f"{folder.rstrip('/')}/{kind}/{stamp}"
+    model.write().overwrite().save(path)
+    return path
+
+
+def load(spark, folder: str, kind: str, stamp: str | None = None) -> PipelineModel:
+    """A version of a model, by default the newest."""
+    from ..sources.readers import newest_version
+
+    return PipelineModel.load(f"{folder.rstrip('/')}/{kind}/{stamp or newest_version(spark, f'{folder.rstrip('/')}/{kind}')}")
+
+
 def labels_of(model: PipelineModel) -> list[str]:
     return list(model.stages[3].labels)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import sized_broadcast
+
 
 def fill_primary(df: DataFrame, primary: str, secondary: str) -> DataFrame:
     """The primary description, or the secondary one where it is empty; NULL counts as empty."""
@@ -38,7 +40,7 @@ def row_numbers(df: DataFrame, order: list[str], buckets: int = 64, out: str = "
 
 def map_labels(df: DataFrame, labels: DataFrame, on: str, label: str = "label") -> DataFrame:
     """Inner join with a label map (label, label_num, ...): rows whose label the map lacks are dropped."""
-    return df.join(F.broadcast(labels.withColumnRenamed(label, on)), on)
+    return df.join(sized_broadcast(labels.withColumnRenamed(label, on)), on)
 
 
 def reverse_map(labels: DataFrame, number: str, label: str) -> DataFrame:
@@ -62,7 +64,7 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     total = df.agg(F.count(F.lit(1))).scalar()
     classes = df.agg(F.count_distinct(label)).scalar()
     # NULL labels are no class and keep the uniform half
-    return df.join(F.broadcast(sizes), label, "left").withColumn(out, F.lit(0.5) / total + F.coalesce(F.lit(0.5) / (classes * F.col("_n")), F.lit(0.0))).drop("_n")
+    return df.join(sized_broadcast(sizes), label, "left").withColumn(out, F.lit(0.5) / total + F.coalesce(F.lit(0.5) / (classes * F.col("_n")), F.lit(0.0))).drop("_n")
 
 
 def batch_of(number: Column, size: int) -> Column:
@@ -75,6 +77,18 @@ def exact_sample(df: DataFrame, n: int, seed: int) -> DataFrame:
     return df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(n).drop("_r")
 
 
+def shuffled(df: DataFrame, seed: int, out: str = "position") -> DataFrame:
+    """A random order of all rows: their positions from 0 by seeded random numbers, numbered in parts."""
+    return row_numbers(df.withColumn("_r", F.rand(seed)), ["_r"], out=out).drop("_r")
+
+
+def numeric_order(text: Column) -> Column:
+    """What text of digits is sorted by: as numbers of any length, other text behind, by itself."""
+    digits = text.rlike("^[0-9]+$")
+    bare = F.regexp_replace(text, "^0+", "")
+    return F.struct((~digits).cast("int"), F.when(digits, F.length(bare)).otherwise(0), F.when(digits, bare).otherwise(text))
+
+
 def with_fields(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Renames attributes by a field -> label map; other columns are left out."""
     return df.select([F.col(f).alias(n) for f, n in names.items()])

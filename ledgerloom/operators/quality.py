@@ -63,6 +63,29 @@ def strict_json(path: str) -> dict:
     return json.loads(Path(path).read_text(encoding="utf-8"), object_pairs_hook=_no_duplicates)
 
 
+def validate_config(config: dict, schema: dict[str, dict]) -> dict:
+    """Checks an object against {name: {type, required, allowed, least, most, items}} and returns it; names that the
+    schema lacks are refused. Raises QualityError naming every fault."""
+    faults = [f"{name} is not expected" for name in config if name not in schema]
+    for name, rule in schema.items():
+        if name not in config:
+            faults += [f"{name} is missing"] if rule.get("required", True) else []
+            continue
+        value = config[name]
+        if "type" in rule and (not isinstance(value, rule["type"]) or isinstance(value, bool) and rule["type"] is not bool):
+            faults.append(f"{name} has the wrong type")
+            continue
+        if "allowed" in rule and value not in rule["allowed"]:
+            faults.append(f"{name} must be one of {sorted(map(str, rule['allowed']))}")
+        if "least" in rule and value < rule["least"] or "most" in rule and value > rule["most"]:
+            faults.append(f"{name} is out of range")
+        if "items" in rule and not all(isinstance(v, rule["items"]) for v in value):
+            faults.append(f"{name} has an item of the wrong type")
+    if faults:
+        raise QualityError("; ".join(faults))
+    return config
+
+
 def label_map_table(spark, labels: dict) -> DataFrame:
     """(label_num, label, category_all, category_by_ledger, cost, threshold) of a numbered label map
     whose values are names or objects."""

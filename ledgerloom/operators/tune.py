@@ -28,6 +28,16 @@ def perturbed(parameters: dict[str, float], rate: float, rng: random.Random) ->
     return out
 
 
+def bounded_step(values: list[float], step: float, low: float, high: float, rng: random.Random, tries: int = 1_000) -> list[float]:
+    """Values moved at random by at most `step`, all within [low, high]; moves that leave it are drawn
+    anew, and after too many tries cut off."""
+    for _ in range(tries):
+        moved = [v + rng.uniform(-step, step) for v in values]
+        if all(low <= v <= high for v in moved):
+            return moved
+    return [min(high, max(low, v)) for v in moved]
+
+
 def trial_table(spark: SparkSession, settings: list[dict[str, float]]) -> DataFrame:
     rows = [(i, f, float(b)) for i, s in enumerate(settings) for f, b in split_parameters(s)[0].items() if b]
     return spark.createDataFrame(rows, "trial int, field string, factor double")

@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from . import q_arrays, q_core, q_models, q_prep, q_search, q_text
+    from . import q_arrays, q_core, q_models, q_prep, q_search, q_service, q_text
 
-    return (q_text, q_prep, q_search, q_arrays, q_models, q_core)
+    return (q_text, q_prep, q_search, q_arrays, q_models, q_core, q_service)
 
 
 def queries() -> dict[str, Query]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as ar
 from ..functions import geo
+from ..operators import tagger
 from ..session import table
 from .registry import registry
 
@@ -69,18 +70,14 @@ def char_onehot(s, d):
 
 @query("""SELECT word, row_number() OVER (ORDER BY place) AS word_index FROM (SELECT word, min(merchant_id * 100 + pos) AS place FROM (SELECT merchant_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM (SELECT merchant_id, string_split(lower(canonical_name), ' ') AS ws FROM merchant_ref)) GROUP BY word)""")
 def word_index(s, d):
-    from ..operators.prep import row_numbers
-
     words = table(s, d, "merchant_ref").select("merchant_id", F.posexplode(F.split(F.lower("canonical_name"), " ")).alias("pos", "word"))
-    first = words.groupBy("word").agg(F.min(F.struct("merchant_id", "pos")).alias("at"))
-    return row_numbers(first, ["at"], buckets=8).select("word", (F.col("row_no") + 1).alias("word_index"))
+    return tagger.vocabulary(words, "word", ["merchant_id", "pos"], buckets=8)
 
 
 @query("SELECT word, bool_or(side = 'a') AS in_names, bool_or(side = 'b') AS in_cities FROM (SELECT 'a' AS side, unnest(string_split(lower(canonical_name), ' ')) AS word FROM merchant_ref UNION ALL SELECT 'b', unnest(string_split(lower(canonical_city), ' ')) FROM city_ref) GROUP BY 1")
 def vocabulary_union(s, d):
-    side = lambda name, c, flag: table(s, d, name).select(F.explode(F.split(F.lower(c), " ")).alias("word")).distinct().withColumn(flag, F.lit(True))
-    out = side("merchant_ref", "canonical_name", "in_names").join(side("city_ref", "canonical_city", "in_cities"), "word", "full")
-    return out.select("word", F.coalesce("in_names", F.lit(False)).alias("in_names"), F.coalesce("in_cities", F.lit(False)).alias("in_cities"))
+    side = lambda name, c: table(s, d, name).select(F.explode(F.split(F.lower(c), " ")).alias("word"))
+    return tagger.vocabulary_union(side("merchant_ref", "canonical_name"), side("city_ref", "canonical_city")).withColumnsRenamed({"in_training": "in_names", "in_known": "in_cities"})
 
 
 # ---- geography

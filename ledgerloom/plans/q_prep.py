@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
-from ..operators import prep, quality
-from ..session import table
+from ..operators import documents, prep, quality
+from ..session import bounded_rows, sized_broadcast, table
 from .registry import registry
 
 QUERIES, SQL, query = registry()
@@ -57,7 +57,7 @@ def label_map_reverse(s, d):
 
 @query(f"SELECT count(*) AS n_dropped FROM {LT} t WHERE NOT EXISTS (SELECT 1 FROM merchant_ref m WHERE m.canonical_name = t.merchant_name)")
 def unmapped_drop(s, d):
-    labels = F.broadcast(table(s, d, "merchant_ref").select(F.col("canonical_name").alias("merchant_name")))
+    labels = sized_broadcast(table(s, d, "merchant_ref").select(F.col("canonical_name").alias("merchant_name")))
     return table(s, d, LT).join(labels, "merchant_name", "left_anti").agg(F.count(F.lit(1)).alias("n_dropped"))
 
 
@@ -84,8 +84,7 @@ def rename_fields(s, d):
 
 @query("SELECT row_number() OVER (ORDER BY transaction_id, unique_mem_id, loaded_at) AS request_pos, transaction_id, description AS text, 'credit' AS ledger_entry FROM labeled_transactions")
 def request_adapter(s, d):
-    out = prep.row_numbers(table(s, d, LT), ["transaction_id", "unique_mem_id", "loaded_at"], buckets=8)
-    return out.select((F.col("row_no") + 1).alias("request_pos"), "transaction_id", F.col("description").alias("text"), F.lit("credit").alias("ledger_entry"))
+    return documents.adapted_requests(table(s, d, LT), {"transaction_id": "transaction_id", "description": "text"}, ["transaction_id", "unique_mem_id", "loaded_at"])
 
 
 # ---- machine against human labels: the masked description's text stands in for the machine
@@ -153,7 +152,7 @@ def confusion_long(s, d):
 
 @query(f"SELECT a.l AS actual, p.l AS predicted, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT proposed_subtype AS l FROM {LT}) a CROSS JOIN (SELECT DISTINCT proposed_subtype AS l FROM {LT}) p LEFT JOIN ({_CONF}) c ON c.actual = a.l AND c.predicted = p.l")
 def confusion_grid(s, d):
-    classes = [r[0] for r in table(s, d, LT).select("proposed_subtype").distinct().limit(1000).collect()]  # bounded: class names
+    classes = [r[0] for r in bounded_rows(table(s, d, LT).select("proposed_subtype").distinct(), 10_000, "the classes")]
     return ev.confusion_grid(_confusion(s, d), classes)
 
 

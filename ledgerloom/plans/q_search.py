@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions import text as tx
-from ..operators import enrich, relink, search, stores
+from ..operators import documents, enrich, relink, search, service, stores
 from ..operators.locate import locate as locate_op
 from ..session import cut, table
 from .registry import registry
@@ -132,43 +132,49 @@ def enriched_transactions(s, d):
     return enrich.find_merchants(t.filter("description is not null"), "transaction_id", "description", _directory(s, d), table(s, d, "city_ref"), least_gap=0.5)
 
 
+def _assembled(s, d):
+    found = enriched_transactions(s, d)
+    rows = found.select("transaction_id", "description", F.lit(True).alias("is_physical_merchant"), F.lit(True).alias("runs_location"), F.lit(False).alias("runs_subtype"), *[F.lit("").alias(c) for c in ("subtype", "category", "merchant_label")], *[F.lit(None).cast("double").alias(f"{c}_score") for c in ("subtype", "category", "merchant_label")])
+    places = found.filter("city <> '' and state <> ''").groupBy("description").agg(F.min(F.struct("city", "state")).alias("p")).select("description", "p.*")
+    return service.assemble(rows, "transaction_id", places, found)
+
+
 @query()
 def output_shape(s, d):
-    return enrich.output_json(enriched_transactions(s, d), "transaction_id")
+    return service.output(_assembled(s, d), "transaction_id")
 
 
 @query()
 def debug_shape(s, d):
-    return enrich.output_json(enriched_transactions(s, d), "transaction_id", debug=True)
+    return service.output(_assembled(s, d), "transaction_id", debug=True)
 
 
 # ---- directory documents
 
 @query("""SELECT factual_id, updated_at::DATE AS at, trim(coalesce(address, '') || ' ' || coalesce(address_extended, '') || ' ' || coalesce(locality, '') || ', ' || coalesce(region, '') || ' ' || coalesce(postcode, '')) AS composite FROM merchants""")
 def composite_field(s, d):
-    parts = [F.coalesce(c, F.lit("")) for c in ("address", "address_extended", "locality", "region", "postcode")]
-    return table(s, d, "merchants").select("factual_id", F.col("updated_at").cast("date").alias("at"), F.trim(F.format_string("%s %s %s, %s %s", *parts)).alias("composite"))
+    out = documents.composite("{0} {1} {2}, {3} {4}", ["address", "address_extended", "locality", "region", "postcode"])
+    return table(s, d, "merchants").select("factual_id", F.col("updated_at").cast("date").alias("at"), out.alias("composite"))
 
 
 @query("""SELECT factual_id, updated_at::DATE AS at, nullif(regexp_extract(tel, '^\\(([0-9]{3})\\) ([0-9]{3})-([0-9]{4})$', 1), '') AS area, nullif(regexp_extract(tel, '^\\(([0-9]{3})\\) ([0-9]{3})-([0-9]{4})$', 3), '') AS line FROM merchants""")
 def dispersed_field(s, d):
-    pattern = r"^\(([0-9]{3})\) ([0-9]{3})-([0-9]{4})$"
-    part = lambda i: F.when(F.col("tel").rlike(pattern), F.regexp_extract("tel", pattern, i))
-    return table(s, d, "merchants").select("factual_id", F.col("updated_at").cast("date").alias("at"), part(1).alias("area"), part(3).alias("line"))
+    out = documents.dispersed(table(s, d, "merchants"), "tel", r"\((?P<area>[0-9]{3})\) (?P<exchange>[0-9]{3})-(?P<line>[0-9]{4})")
+    return out.select("factual_id", F.col("updated_at").cast("date").alias("at"), "area", "line")
 
 
 @query("SELECT factual_id, updated_at::DATE AS at, CASE WHEN longitude IS NOT NULL AND latitude IS NOT NULL THEN 'point(' || printf('%.6f', longitude) || ' ' || printf('%.6f', latitude) || ')' END AS pin, coalesce(nullif(trim(region), ''), 'XX') AS region FROM merchants")
 def pin_point(s, d):
-    known = F.col("longitude").isNotNull() & F.col("latitude").isNotNull()
-    pin = F.when(known, F.format_string("point(%s %s)", tx.coordinate(F.col("longitude")), tx.coordinate(F.col("latitude"))))
-    region = F.coalesce(F.nullif(F.trim("region"), F.lit("")), F.lit("XX"))
-    return table(s, d, "merchants").select("factual_id", F.col("updated_at").cast("date").alias("at"), pin.alias("pin"), region.alias("region"))
+    out = documents.with_region(documents.with_point(table(s, d, "merchants")))
+    pin = F.when(F.col("pin").isNotNull(), F.concat("pin.type", F.lit("("), F.array_join("pin.coordinates", " "), F.lit(")")))
+    return out.select("factual_id", F.col("updated_at").cast("date").alias("at"), pin.alias("pin"), "region")
 
 
 @query("SELECT factual_id, count(*) AS n_fields FROM (SELECT factual_id, unnest([place_name, address, address_extended, locality, region, postcode, country, tel, website, category_labels, status, chain_name]) AS v FROM merchants) WHERE v <> '' GROUP BY 1")
 def sparse_document(s, d):
     names = ["place_name", "address", "address_extended", "locality", "region", "postcode", "country", "tel", "website", "category_labels", "status", "chain_name"]
-    return table(s, d, "merchants").select("factual_id", F.explode(F.array(*names)).alias("v")).filter("v <> ''").groupBy("factual_id").agg(F.count(F.lit(1)).alias("n_fields"))
+    sparse = documents.without_blanks(table(s, d, "merchants"), names)
+    return sparse.select("factual_id", F.size(F.array_compact(F.array(*names))).alias("n")).groupBy("factual_id").agg(F.sum("n").alias("n_fields")).filter("n_fields > 0")
 
 
 @query("SELECT category_labels AS facet, count(*) AS n FROM merchants WHERE category_labels IS NOT NULL GROUP BY 1 ORDER BY n DESC, facet LIMIT 10")
@@ -259,8 +265,7 @@ def user_buckets(s, d):
 @query(f"SELECT transaction_id, count(*) AS n_rows FROM {LT} WHERE unique_mem_id IN (SELECT unique_mem_id FROM {LT} WHERE amount > 200) GROUP BY 1")
 def has_parent(s, d):
     t = table(s, d, LT)
-    parents = t.filter("amount > 200").select("unique_mem_id").distinct()
-    return t.join(parents, "unique_mem_id", "left_semi").groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return documents.children_of(t, t, "unique_mem_id", F.col("amount") > 200).groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("SELECT store_row, '' AS city, '' AS state, keywords FROM store_numbers")

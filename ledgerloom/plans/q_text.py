@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import table
+from ..session import sized_broadcast, table
 from .registry import registry
 
 QUERIES, SQL, query = registry()
@@ -132,7 +132,7 @@ def token_tags(s, d):
 @query()
 def tag_accuracy(s, d):
     """Token accuracy of a tagger that knows the directory's names only, against the labelled names."""
-    t = table(s, d, "labeled_transactions").filter("description_unmasked is not null and merchant_name <> ''").join(F.broadcast(table(s, d, "merchant_ref")), F.col("merchant_name") == F.col("canonical_name"), "left")
+    t = table(s, d, "labeled_transactions").filter("description_unmasked is not null and merchant_name <> ''").join(sized_broadcast(table(s, d, "merchant_ref")), F.col("merchant_name") == F.col("canonical_name"), "left")
     truth, got = tx.merchant_tags(F.col("description_unmasked"), F.col("merchant_name")), tx.merchant_tags(F.col("description_unmasked"), F.coalesce("canonical_name", F.lit("")))
     pair = F.explode(F.arrays_zip(truth.alias("a"), got.alias("b")))
     cells = t.select(pair.alias("p")).select(F.col("p.a.tag").alias("actual"), F.col("p.b.tag").alias("predicted"))

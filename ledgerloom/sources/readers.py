@@ -78,16 +78,33 @@ def city_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def embeddings(spark: SparkSession, path: str, lower: bool = False) -> DataFrame:
-    """(word, vector) of lines 'word x y z'; of a word given twice one line stands."""
+    """(word, vector) of lines 'word x y z'; of a word given twice the last line stands, files being taken
+    by name."""
     parts = F.split("value", " ")
     word = F.element_at(parts, 1)
-    rows = spark.read.text(path).select((F.lower(word) if lower else word).alias("word"), F.transform(F.slice(parts, 2, 100_000), lambda x: x.cast("double")).alias("vector"))
-    return rows.groupBy("word").agg(F.max("vector").alias("vector"))
+    line = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    rows = spark.read.text(path).select((F.lower(word) if lower else word).alias("word"), F.transform(F.slice(parts, 2, F.size(parts)), lambda x: x.cast("double")).alias("vector"), line.alias("line"))
+    return rows.groupBy("word").agg(F.max_by("vector", "line").alias("vector"))
 
 
-def merged(spark: SparkSession, paths: list[str], columns: list[str], delimiter: str = "|") -> DataFrame:
-    """Rows of several files of one kind in one scan, without those whose first column is empty."""
-    return piped(spark, paths, columns, delimiter).filter(F.col(columns[0]) != "")
+def merged(spark: SparkSession, paths: list[str], columns: list[str], delimiter: str = "|", needed: list[str] | None = None) -> DataFrame:
+    """Rows of several files of one kind in one scan, without those that lack one of the needed columns
+    (by default the first)."""
+    rows = piped(spark, paths, columns, delimiter)
+    for c in needed or columns[:1]:
+        rows = rows.filter(F.col(c) != "")
+    return rows
+
+
+def renamed(spark: SparkSession, path: str | list[str], rename: dict[str, str], constants: dict[str, str] | None = None, delimiter: str = "|") -> DataFrame:
+    """Delimited text, gzipped or not, with some columns renamed and constant columns added."""
+    rows = piped(spark, path, None, delimiter)
+    return rows.withColumnsRenamed({a: b for a, b in rename.items() if a in rows.columns}).withColumns({c: F.lit(v) for c, v in (constants or {}).items()})
+
+
+def line_count(spark: SparkSession, path: str, header: bool = True) -> int:
+    """Lines of a file without its header."""
+    return max(0, spark.read.text(path).count() - header)
 
 
 def unpack(archive: str, target: str, pattern: str | None = None) -> list[Path]:
@@ -124,9 +141,46 @@ def listing(spark: SparkSession, folder: str, name: str | None = None) -> DataFr
 
 
 def newest_version(spark: SparkSession, folder: str) -> str | None:
-    """The largest of the folders whose names are digits."""
-    part = F.explode(F.split("path", "/"))
-    return listing(spark, folder).select(part.alias("p")).filter(F.col("p").rlike("^[0-9]{14}$")).agg(F.max("p")).first()[0]
+    """The largest of the folders, under this one, whose names are all digits, compared as numbers."""
+    below = F.slice(F.split(F.element_at(F.split("path", re.escape("/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/")), -1), "/"), 1, 1_000)
+    names = listing(spark, folder).select(F.explode(below).alias("p")).filter(F.col("p").rlike("^[0-9]+$"))
+    bare = F.regexp_replace("p", "^0+", "")
+    return names.agg(F.max_by("p", F.struct(F.length(bare), bare))).first()[0]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return _file_system(spark, path)[0].exists(_file_system(spark, path)[1])
+
+
+def changed_since(spark: SparkSession, path: str, mark: str | None) -> tuple[bool, str]:
+    """(whether the file is another than the one of the mark, its mark now): size and time of change."""
+    system, at = _file_system(spark, path)
+    if not system.exists(at):
+        raise SourceError(f"{path} does not exist")
+    status = system.getFileStatus(at)
+    now = f"{status.getLen()}-{status.getModificationTime()}"
+    return now != mark, now
+
+
+def pull_only(spark: SparkSession, folder: str, suffix: str) -> str:
+    """The path of the one file of a folder that ends so."""
+    found = [r.path for r in listing(spark, folder).filter(F.col("path").endswith(suffix)).select("path").limit(2).collect()]
+    if len(found) != 1:
+        raise SourceError(f"{folder} must hold exactly one file that ends with {suffix}")
+    return found[0]
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def hyperparameters(path: str) -> dict:
+    """Parameters of a search from a JSON file: numbers given as text become numbers."""
+    if not Path(path).is_file():
+        raise SourceError(f"there are no parameters at {path}")
+    number = lambda v: float(v) if isinstance(v, str) and re.fullmatch(r"-?\d+(\.\d+)?", v) else v
+    return {k: number(v) for k, v in json_object(path).items()}
 
 
 def json_object(path_or_object) -> dict:

@@ -104,8 +104,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert first.match_found and first.merchant == "Blue Lodge" and (first.city, first.state) == ("Tellby", "OR")
     short = next(r for r in want if r.description == "x")
     assert (short.n_hits, short.merchant, short.country) == (0, "", "US")
-    shaped = enrich.output_json(enrich.find_merchants(batch, "row_key", "description", merchants, cities, least_gap=0.5), "row_key", debug=True).first()
-    assert {"merchant", "search", "match_found"} <= set(json.loads(shaped.json))
 
 
 def test_user_state_stream(spark, tmp_path):
