@@ -173,9 +173,11 @@ def top_hits(clauses: DataFrame, idx: Index, k: int, start: int = 0) -> DataFram
     masks = sought.select("q", "need", _bit("t").alias("bit"), "most").groupBy("q", "bit").agg(F.max("need").alias("need"), F.sum("most").alias("most"))
     steps = F.least(F.lit(STEPS), F.ceil(F.col("most") * STEPS / F.col("need"))).cast("int")
     masks = masks.filter("need > 0").withColumn("steps", steps).groupBy("q").agg(F.array(*[_mask(level, word) for level in range(LEVELS) for word in range(WORDS)]).alias("masks"))
-    terms_of = sought.filter("kept").select("q", "t", "need").join(wants.select("q", "boosts"), "q").join(masks, "q", "left")
+    # a document that holds several of the tags is scored at the first of them only
+    before = F.collect_list("t").over(Window.partitionBy("q").orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
+    terms_of = sought.filter("kept").select("q", "t", "need", before.alias("before")).join(wants.select("q", "boosts"), "q").join(masks, "q", "left")
     needed = idx.postings.join(sought.filter("kept").select("t").distinct(), "t", "left_semi")
-    hits = top_k(_scored(terms_of, needed, idx).select(F.col("q").alias("query"), "doc", "score").distinct(), k, start).withColumnRenamed("query", "q")
+    hits = top_k(_scored(terms_of, needed, idx).select(F.col("q").alias("query"), "doc", "score"), k, start).withColumnRenamed("query", "q")
     own = asked.join(wants.select("terms", "q"), "terms").select("query", "q")
     return meet(own, hits, ("q",)).select("query", "doc", "score", "rank")
 
@@ -195,6 +197,8 @@ def _scored(clauses: DataFrame, postings: DataFrame, idx: Index) -> DataFrame:
         steps = " + ".join(f"{1 << level} * ({' + '.join(f'bit_count(masks[{level * WORDS + word}] & sign[{word}])' for word in range(WORDS))})" for level in range(LEVELS))
         met = met.filter(F.expr(f"masks is null or {steps} >= {STEPS}"))
     add = lambda total, c: total + c["w"] * F.coalesce(F.try_element_at("boosts", c["t"]), F.lit(0.0))
+    if "before" in clauses.columns:
+        met = met.filter((F.size("before") == 0) | ~F.exists("vec", lambda c: F.array_contains("before", c["t"])))
     return met.select(F.col("query").alias("q"), "id", "doc", "need", F.round(F.aggregate("vec", F.lit(0.0), add), 6).alias("score")).filter("score >= need").drop("need")
 
 

@@ -106,7 +106,10 @@ def accuracy_literal(s, d):
     return table(s, d, "labeled_transactions").select("transaction_id", tx.accuracy_literal(text).alias("accuracy"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT city_id, list_filter(string_split(regexp_replace(replace(upper(canonical_city), '.', ''), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS ts FROM city_ref),
+    e AS (SELECT unnest(['EAST', 'WEST', 'NORTH', 'SOUTH', 'SAINT', 'FORT', 'BEACH']) AS w, unnest(['E', 'W', 'N', 'S', 'ST', 'FT', 'BCH']) AS put UNION SELECT w, w FROM (SELECT unnest(ts) AS w FROM c)),
+    r AS (SELECT city_id, ts, 0 AS i, '' AS form FROM c UNION ALL SELECT city_id, ts, i + 1, form || put FROM r JOIN e ON e.w = ts[i + 1] WHERE i < len(ts))
+    SELECT DISTINCT city_id, form FROM r WHERE i = len(ts)""")
 def city_forms(s, d):
     return table(s, d, "city_ref").select("city_id", F.explode(tx.city_short_forms(F.col("canonical_city"))).alias("form"))
 
@@ -122,14 +125,26 @@ def city_list(s, d):
     return table(s, d, "city_ref").select(F.lower("canonical_city").alias("city")).distinct()
 
 
-@query()
+_TOKENS = f"list_filter(string_split({_squeeze('lower(description_unmasked)')}, ' '), lambda t: t <> '')[1:35]"
+_words_of = lambda e: f"list_filter(string_split({_squeeze(f"lower(replace({e}, ',', ' '))")}, ' '), lambda t: t NOT IN ('', 'null'))"
+_hit = lambda ws, at: f"coalesce(contains(ts[i + 1], {ws}[{at}]), false)"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, transaction_id, {_TOKENS} AS ts, {_words_of("coalesce(merchant_name, '')")} AS ws FROM labeled_transactions WHERE description_unmasked IS NOT NULL),
+    r AS (SELECT rid, transaction_id, ts, ws, 0 AS i, 1 AS k, []::VARCHAR[] AS m FROM t
+      UNION ALL SELECT rid, transaction_id, ts, ws, i + 1, k + {_hit('ws', 'k')}::INT, CASE WHEN {_hit('ws', 'k')} THEN list_append(m, ts[i + 1]) ELSE m END FROM r WHERE i < len(ts))
+    SELECT transaction_id, len(ts) AS n_tokens, array_to_string(m, ' ') AS merchant FROM r WHERE i = len(ts)""")
 def token_tags(s, d):
     t = table(s, d, "labeled_transactions").filter("description_unmasked is not null")
     tags = tx.merchant_tags(F.col("description_unmasked"), F.coalesce("merchant_name", F.lit("")))
     return t.select("transaction_id", F.size(tags).cast("long").alias("n_tokens"), tx.merchant_of_tags(tags).alias("merchant"))
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, {_TOKENS} AS ts, {_words_of('merchant_name')} AS ws, {_words_of("coalesce(canonical_name, '')")} AS gs
+      FROM labeled_transactions LEFT JOIN merchant_ref ON merchant_name = canonical_name WHERE description_unmasked IS NOT NULL AND merchant_name <> ''),
+    r AS (SELECT rid, ts, ws, gs, 0 AS i, 1 AS k, 1 AS g, false AS a, false AS b FROM t
+      UNION ALL SELECT rid, ts, ws, gs, i + 1, k + {_hit('ws', 'k')}::INT, g + {_hit('gs', 'g')}::INT, {_hit('ws', 'k')}, {_hit('gs', 'g')} FROM r WHERE i < len(ts))
+    SELECT CASE WHEN a THEN 'merchant' ELSE 'background' END AS actual, CASE WHEN b THEN 'merchant' ELSE 'background' END AS predicted, count(*) AS n FROM r WHERE i > 0 GROUP BY 1, 2""")
 def tag_accuracy(s, d):
     """Token accuracy of a tagger that knows the directory's names only, against the labelled names."""
     t = table(s, d, "labeled_transactions").filter("description_unmasked is not null and merchant_name <> ''").join(sized_broadcast(table(s, d, "merchant_ref")), F.col("merchant_name") == F.col("canonical_name"), "left")
