@@ -5,8 +5,9 @@ source s at the rate p_s T / S_s. T is what is asked for, or else the largest to
 exceeds its cap; where T is asked for and is larger, the sources at their caps fall short of their share.
 A document is emitted floor(rate) times and once more with the probability of the rest, drawn from a
 seeded hash of its id: the draw is the same on every run and every partitioning, does not depend on
-other documents and needs no shuffle. As documents differ in length a draw misses its share a little,
-which is reported.
+other documents and needs no shuffle. As documents differ in length a draw misses its share, most where
+a few long texts hold much of a source; what is reached is reported. With `draws` above 1 the draw of
+every source is the nearest of so many seeds instead.
 """
 
 from __future__ import annotations
@@ -51,19 +52,27 @@ def _targets(targets: DataFrame, source: str, share: str, cap: str) -> dict[str,
     return {r[0]: (r.p, r.c) for r in bounded_rows(grouped, MOST_SOURCES, "the targets")}
 
 
-def rate_table(counted: DataFrame, targets: DataFrame, source: str, share: str, cap: str, total: float | None) -> DataFrame:
-    """(source, _rate) of each source that has a target; at most MOST_SOURCES rows."""
+def rate_table(counted: DataFrame, targets: DataFrame, key: str, source: str, share: str, cap: str, total: float | None, seed: int, draws: int) -> DataFrame:
+    """(source, _rate, _seed) of each source that has a target; at most MOST_SOURCES rows."""
     goal = _targets(targets, source, share, cap)
     wanted = counted.filter(F.col(source).isin(list(goal)))
     sizes = {r[source]: r.tokens for r in bounded_rows(source_sizes(wanted, source), MOST_SOURCES, "the sources")}
-    return counted.sparkSession.createDataFrame(list(repetition_rates(sizes, goal, total).items()), f"`{source}` string, _rate double")
+    rates = repetition_rates(sizes, goal, total)
+    spark = counted.sparkSession
+    nearest = dict.fromkeys(rates, 0)
+    if draws > 1:
+        plain = F.broadcast(spark.createDataFrame(list(rates.items()), f"`{source}` string, _rate double"))
+        sums = [F.sum(F.col("n_tokens") * copies_column(F.col(key), F.col("_rate"), F.lit(seed + i))).alias(f"s{i}") for i in range(draws)]
+        for r in bounded_rows(wanted.join(plain, source).groupBy(source).agg(*sums), MOST_SOURCES, "the sources"):
+            nearest[r[source]] = min(range(draws), key=lambda i, r=r: abs(r[f"s{i}"] - rates[r[source]] * sizes[r[source]]))
+    return spark.createDataFrame([(s, q, seed + nearest[s]) for s, q in rates.items()], f"`{source}` string, _rate double, _seed int")
 
 
 def _slim(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     return docs.select(F.col(key), F.col(source), F.col(text)).filter(F.col(text).isNotNull() & (F.col(text) != ""))
 
 
-def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = DEFAULT_VOCABULARY, seed: int = 13, share: str = "target_share", cap: str = "max_repeats", total: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = DEFAULT_VOCABULARY, seed: int = 13, share: str = "target_share", cap: str = "max_repeats", total: float | None = None, draws: int = 1) -> DataFrame:
     """The mixture: (key, source, copy_no, text), one row per copy, copies numbered from 1.
 
     NULL and empty texts have no tokens and are never emitted; rows without source or with a source that
@@ -72,17 +81,18 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     tokenized once, for the sizes; the emission needs the id only.
     """
     slim = _slim(docs, key, text, source)
-    rates = rate_table(with_counts(slim, text, vocabulary=vocabulary).select(source, "n_tokens"), targets, source, share, cap, total)
-    copies = slim.join(F.broadcast(rates), source).withColumn("_copies", copies_column(F.col(key), F.col("_rate"), F.lit(seed)))
+    counted = with_counts(slim, text, vocabulary=vocabulary).select(key, source, "n_tokens")
+    rates = rate_table(cut(counted) if draws > 1 else counted, targets, key, source, share, cap, total, seed, draws)
+    copies = slim.join(F.broadcast(rates), source).withColumn("_copies", copies_column(F.col(key), F.col("_rate"), F.col("_seed")))
     return copies.filter("_copies > 0").select(key, source, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no"), text)
 
 
-def shares(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = DEFAULT_VOCABULARY, seed: int = 13, share: str = "target_share", cap: str = "max_repeats", total: float | None = None) -> DataFrame:
+def shares(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = DEFAULT_VOCABULARY, seed: int = 13, share: str = "target_share", cap: str = "max_repeats", total: float | None = None, draws: int = 1) -> DataFrame:
     """What the mixture reaches: (source, target_share, rate, n_docs, n_emitted, max_copies, tokens,
     mixed_tokens, share), one row per source with a target."""
     counted = cut(with_counts(_slim(docs, key, text, source), text, vocabulary=vocabulary).drop(text))
-    rates = rate_table(counted, targets, source, share, cap, total)
-    planned = counted.join(F.broadcast(rates), source).withColumn("_copies", copies_column(F.col(key), F.col("_rate"), F.lit(seed)))
+    rates = rate_table(counted, targets, key, source, share, cap, total, seed, draws)
+    planned = counted.join(F.broadcast(rates), source).withColumn("_copies", copies_column(F.col(key), F.col("_rate"), F.col("_seed")))
     by_source = planned.groupBy(source).agg(
         F.first("_rate").alias("rate"),
         F.count(F.lit(1)).alias("n_docs"),

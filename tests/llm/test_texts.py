@@ -48,6 +48,8 @@ def test_mixture(spark):
     assert sum(r.n_emitted or 0 for r in share.values()) == len(out)
     assert mixture.mix(docs.limit(0), targets).count() == 0 and mixture.mix(docs, targets.limit(0)).count() == 0
     assert mixture.repetition_rates({"a": 100, "b": 50}, {"a": (0.5, 9), "b": (0.5, 1)}, total=120) == {"a": 0.6, "b": 1.0}
+    miss = lambda n: sum(abs(r.share - t) for r, t in ((r, {"big": 5 / 9, "small": 4 / 9}[r.source]) for r in mixture.shares(docs, targets, draws=n).collect() if r.share))
+    assert miss(16) <= miss(1)
     wanted = {r.source: r for r in mixture.shares(docs, targets, total=900).collect()}
     assert wanted["big"].mixed_tokens + wanted["small"].mixed_tokens == pytest.approx(900, rel=0.1)
     assert mixture.repetition_rates({"a": 100, "b": 50}, {"a": (0.5, 1), "b": (0.5, 1)}) == {"a": 0.5, "b": 1.0}
