@@ -75,10 +75,10 @@ def find_merchants(transactions: DataFrame, key: str, description: str, merchant
     places = locate(transactions, description, cities) if known_places is None else known_places
     rows = cut(transactions.join(places.withColumnRenamed("city", "_city").withColumnRenamed("state", "_state"), description, "left"))
     fields = list(BOOSTS)
-    hits = cut(search.top_hits(clauses(rows, key, description, "_city", "_state"), search.index(merchants, merchant_key, fields), RESULT_SIZE))
-    facts = search.gaps(hits)
-    two = search.top_two(hits, merchants, merchant_key, ["place_name", "locality", "region"])
-    top = hits.filter("rank = 1").select("query", F.col("doc").alias(merchant_key)).join(merchants.select(merchant_key, *[f for f in OUTPUT], "longitude", "latitude"), merchant_key)
+    hits = search.best_hits(clauses(rows, key, description, "_city", "_state"), search.index(merchants, merchant_key, fields), RESULT_SIZE)
+    facts, best = hits.gaps(), cut(hits.first(2))
+    two = search.top_two(best, merchants, merchant_key, ["place_name", "locality", "region"])
+    top = best.filter("rank = 1").select("query", F.col("doc").alias(merchant_key)).join(merchants.select(merchant_key, *[f for f in OUTPUT], "longitude", "latitude"), merchant_key)
     names = sized_broadcast(cities.select(F.lower("canonical_city").alias("_town")).distinct())
     joined = rows.join(facts.withColumnRenamed("query", key), key, "left").join(two.withColumnRenamed("query", key), key, "left").join(top.withColumnRenamed("query", key), key, "left")
     joined = joined.join(names, F.lower("place_name_1") == F.col("_town"), "left")

@@ -4,7 +4,7 @@ score(query, document) = sum over clauses of clause boost x sum over fields of f
 clause's terms in that field (k1 1.2, b 0.75). The sum is linear in the boosts, so that many boost
 settings can be scored in one job. Ranks go by the score rounded to six digits, then by document id.
 All terms count, however common. score() scores every document that shares a term with a query;
-top_hits() finds the best ones without doing so.
+top_hits() finds the best ones without doing so (searching.py).
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, sized_broadcast
+from . import searching
+from .searching import K1
 
-K1, B = 1.2, 0.75
+B = 0.75
 #: Most documents and most clauses of one term that a part of the join holds.
 PART_DOCS, PART_CLAUSES = 5_000, 5_000
 
@@ -89,16 +91,15 @@ def top_k(scored: DataFrame, k: int, start: int = 0) -> DataFrame:
 class Index:
     """What is kept of a directory for search.
 
-    docs: (id, doc, vec, sign), vec being the (t, w) of the document's tags and sign a bit set of WORDS
-    longs of them; postings: (t, id, w); lists: (tag, t, df, top), the number of documents of a tag and
-    its largest weight. A tag is a term of a field, of a route where the index is routed; t numbers
-    the tags, id the documents.
+    docs: (id, doc, route, cells), ids in the order of the documents' keys, cells the terms of every field;
+    fields: (field, n, avgdl). A tag is a term of a field, of a route where the index is routed. routes
+    are the routes whose documents are sought.
     """
 
     docs: DataFrame
-    postings: DataFrame
-    lists: DataFrame
+    fields: DataFrame
     routed: bool = False
+    routes: DataFrame | None = None
 
 
 def tag(routed: bool = False) -> Column:
@@ -110,96 +111,78 @@ def index(docs: DataFrame, key: str, fields: list[str], route: str | None = None
     column documents are kept apart by it, and only those whose route is among `routes` (route) are
     indexed. NULL routes have no documents."""
     cells = F.array(*[F.struct(F.lit(f).alias("field"), terms(F.col(f).cast("string")).alias("ts")) for f in fields])
-    numbered = cut(docs.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("doc"), (F.col(route) if route else F.lit("")).cast("string").alias("route"), cells.alias("cells")))
-    flat = numbered.select("id", "route", F.explode("cells").alias("c")).filter(F.size("c.ts") > 0).select("id", "route", "c.field", F.size("c.ts").alias("dl"), F.explode("c.ts").alias("term"))
-    post = flat.groupBy("field", "term", "id", "dl", "route").agg(F.count(F.lit(1)).alias("tf"))
+    kept = docs.select(F.col(key).alias("doc"), (F.col(route) if route else F.lit("")).cast("string").alias("route"), cells.alias("cells")).orderBy("doc")
+    numbered = cut(kept.select(F.monotonically_increasing_id().alias("id"), "doc", "route", "cells"))
     per_field = numbered.select(F.explode("cells").alias("c")).select("c.field", F.size("c.ts").alias("dl")).filter("dl > 0").groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    known = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(per_field), "field")  # one row a field
-    if route:
-        post = post.filter("route is not null")
-    if routes is not None:
-        post = post.join(sized_broadcast(routes.select(F.col("route").cast("string")).distinct()), "route", "left_semi")
-    tagged = cut(post.join(known, ["field", "term"]).select(tag(bool(route)).alias("tag"), "id", _weight().alias("w")))
-    lists = cut(tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top")).withColumn("t", F.monotonically_increasing_id()))
-    postings = cut(tagged.join(lists.select("tag", "t"), "tag").select("t", "id", "w"))
-    sign = F.array(*[F.bit_or(F.when(F.expr(f"pmod(xxhash64(t, 1), {WORDS}) = {k}"), F.expr("shiftleft(1L, cast(pmod(xxhash64(t), 64) as int))")).otherwise(F.lit(0).cast("long"))) for k in range(WORDS)])
-    vectors = postings.groupBy("id").agg(F.collect_list(F.struct("t", "w")).alias("vec"), sign.alias("sign"))  # as long as the document itself
-    return Index(cut(numbered.select("id", "doc").join(vectors, "id")), postings, lists, bool(route))
+    return Index(numbered, per_field, bool(route), routes)
 
 
-#: What rounding may add to a score: bounds are kept this far apart.
-SLACK = 1e-5
-#: Documents of a query's strongest tags that are scored to find its bound, besides the k wanted.
-SEEDS = 64
-#: Longs of a bit set of tags, and into how many steps what a tag may add to a score is cut.
-WORDS, LEVELS = 4, 6
-STEPS = (1 << LEVELS) - 1
+#: Most documents of a block and distinct queries of a part: what one worker holds at a time.
+BLOCK_DOCS, PART_QUERIES = 200_000, 50_000
 
 
-def _bit(t: str) -> Column:
-    """The place of a tag in a bit set of 64 x WORDS places."""
-    return F.expr(f"cast(pmod(xxhash64({t}), 64) as int) + 64 * cast(pmod(xxhash64({t}, 1), {WORDS}) as int)")
+@dataclass(frozen=True)
+class Hits:
+    """best: (q, id, score, rank) of each distinct query; own: (query, q); docs: (id, doc)."""
+
+    best: DataFrame
+    own: DataFrame
+    docs: DataFrame
+
+    def rows(self) -> DataFrame:
+        """(query, doc, score, rank)."""
+        return meet(self.own, self.best.join(self.docs, "id"), ("q",)).select("query", "doc", "score", "rank")
+
+    def first(self, n: int) -> DataFrame:
+        """rows() up to rank n."""
+        return Hits(self.best.filter(F.col("rank") <= n), self.own, self.docs).rows()
+
+    def gaps(self) -> DataFrame:
+        """gaps() of all rows, told once for queries that seek the same."""
+        return self.own.join(gaps(self.best.withColumnRenamed("q", "query")).withColumnRenamed("query", "q"), "q").drop("q")
 
 
 def top_hits(clauses: DataFrame, idx: Index, k: int, start: int = 0) -> DataFrame:
-    """(query, doc, score, rank), ranks start + 1 to start + k: exactly what top_k(score(...)) gives, without
-    scoring every document that shares a common term with a query.
-
-    Queries that seek the same are one. The documents in which a query's strongest tags weigh most are
-    scored; the k-th best of these scores bounds the k-th hit from below. The tags that bring the most
-    documents for the least weight are then set aside as long as all of them together stay below the
-    bound: a document that holds nothing else cannot be a hit. Documents of the other tags are weighed
-    where they are met, since every posting brings the document's tags and every clause its query's
-    boosts: first from above by bit sets, then exactly. Only those that reach the bound are shuffled
-    on. Queries without a bound (fewer than k documents found for it) are scored over all their
-    documents.
+    """(query, doc, score, rank), ranks start + 1 to start + k: exactly what top_k(score(...)) gives."""
+    return best_hits(clauses, idx, k, start).rows()
+
+
+def best_hits(clauses: DataFrame, idx: Index, k: int, start: int = 0) -> Hits:
+    """The hits of top_hits() by distinct queries: queries that seek the same are one.
+
+    The postings of the tags that are sought are packed into blocks of documents; the queries are spread
+    over parts, and every part goes through all blocks in turn with the best scores it has so far
+    (searching.py). Only the hits leave a part.
     """
-    last = start + k
+    context = clauses.sparkSession.sparkContext
     labelled = clauses if idx.routed else clauses.withColumn("route", F.lit(""))
     asked = labelled.select("query", tag(idx.routed).alias("tag"), "boost").groupBy("query", "tag").agg(F.sum("boost").alias("boost")).filter("boost > 0")
-    asked = cut(asked.join(idx.lists, "tag").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("t", "boost", "df", (F.col("boost") * F.col("top")).alias("most")))).alias("terms")))
-    wants = cut(asked.select("terms").distinct().withColumn("q", F.monotonically_increasing_id()).withColumn("boosts", F.map_from_entries(F.transform("terms", lambda c: F.struct(c["t"], c["boost"])))))
-    each = wants.select("q", F.explode("terms").alias("c")).select("q", "c.*")
-    by_weight = Window.partitionBy("q").orderBy(F.col("most").desc(), "t").rowsBetween(Window.unboundedPreceding, -1)
-    strongest = each.withColumn("_seen", F.coalesce(F.sum(F.least("df", F.lit(SEEDS + last))).over(by_weight), F.lit(0))).filter(F.col("_seen") < SEEDS + last).select("q", "t")
-    best = Window.partitionBy("t").orderBy(F.col("w").desc(), "id")
-    heads = idx.postings.join(strongest.select("t").distinct(), "t", "left_semi").withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= SEEDS + last).select("t", "id")
-    ranked = Window.partitionBy("q").orderBy(F.col("score").desc())
-    seen = _scored(strongest.join(wants.select("q", "boosts"), "q").withColumn("need", F.lit(0.0)), heads, idx).select("q", "id", "score").distinct()
-    bounds = seen.withColumn("_n", F.row_number().over(ranked)).filter(F.col("_n") == last).select("q", (F.col("score") - SLACK).alias("need"))
-    by_cost = Window.partitionBy("q").orderBy((F.col("df") / F.col("most")).desc(), "t").rowsBetween(Window.unboundedPreceding, 0)
-    sought = each.join(bounds, "q", "left").withColumn("need", F.coalesce("need", F.lit(0.0))).withColumn("_aside", F.sum("most").over(by_cost))
-    sought = cut(sought.select("q", "t", "need", "most", (F.col("_aside") >= F.col("need")).alias("kept")))
-    masks = sought.select("q", "need", _bit("t").alias("bit"), "most").groupBy("q", "bit").agg(F.max("need").alias("need"), F.sum("most").alias("most"))
-    steps = F.least(F.lit(STEPS), F.ceil(F.col("most") * STEPS / F.col("need"))).cast("int")
-    masks = masks.filter("need > 0").withColumn("steps", steps).groupBy("q").agg(F.array(*[_mask(level, word) for level in range(LEVELS) for word in range(WORDS)]).alias("masks"))
-    # a document that holds several of the tags is scored at the first of them only
-    before = F.collect_list("t").over(Window.partitionBy("q").orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
-    terms_of = sought.filter("kept").select("q", "t", "need", before.alias("before")).join(wants.select("q", "boosts"), "q").join(masks, "q", "left")
-    needed = idx.postings.join(sought.filter("kept").select("t").distinct(), "t", "left_semi")
-    hits = top_k(_scored(terms_of, needed, idx).select(F.col("q").alias("query"), "doc", "score"), k, start).withColumnRenamed("query", "q")
-    own = asked.join(wants.select("terms", "q"), "terms").select("query", "q")
-    return meet(own, hits, ("q",)).select("query", "doc", "score", "rank")
-
-
-def _mask(level: int, word: int) -> Column:
-    """The bits of one word of those tags whose steps have the bit of a level."""
-    held = F.expr(f"(steps & {1 << level}) <> 0 and bit div 64 = {word}")
-    return F.bit_or(F.when(held, F.expr("shiftleft(1L, cast(bit % 64 as int))")).otherwise(F.lit(0).cast("long")))
-
-
-def _scored(clauses: DataFrame, postings: DataFrame, idx: Index) -> DataFrame:
-    """(q, id, doc, score) of the documents that clauses (q, t, need, boosts, masks) meet, if they reach
-    `need`. The masks hold, bit by bit of its steps, what every tag may add: their weighted bit counts
-    are never less than the score."""
-    met = meet(clauses.withColumnRenamed("q", "query"), postings.select("t", "id").join(idx.docs, "id"), ("t",), "id")
-    if "masks" in clauses.columns:
-        steps = " + ".join(f"{1 << level} * ({' + '.join(f'bit_count(masks[{level * WORDS + word}] & sign[{word}])' for word in range(WORDS))})" for level in range(LEVELS))
-        met = met.filter(F.expr(f"masks is null or {steps} >= {STEPS}"))
-    add = lambda total, c: total + c["w"] * F.coalesce(F.try_element_at("boosts", c["t"]), F.lit(0.0))
-    if "before" in clauses.columns:
-        met = met.filter((F.size("before") == 0) | ~F.exists("vec", lambda c: F.array_contains("before", c["t"])))
-    return met.select(F.col("query").alias("q"), "id", "doc", "need", F.round(F.aggregate("vec", F.lit(0.0), add), 6).alias("score")).filter("score >= need").drop("need")
+    docs = idx.docs.filter("route is not null") if idx.routed else idx.docs
+    if idx.routes is not None:
+        docs = docs.join(sized_broadcast(idx.routes.select(F.col("route").cast("string")).distinct()), "route", "left_semi")
+    cells = docs.select("id", "route", F.explode("cells").alias("c")).filter(F.size("c.ts") > 0).select("id", "route", "c.field", "c.ts")
+    # frequencies are those of the whole directory, whatever the routes
+    frequency = idx.docs.select(F.explode("cells").alias("c")).select("c.field", F.explode(F.array_distinct("c.ts")).alias("term")).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    weighed = frequency.join(F.broadcast(idx.fields), "field")  # one row a field
+    weighed = weighed.select("field", "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
+    if idx.routed:
+        weighed = weighed.join(cells.select("field", F.explode("ts").alias("term"), "route").distinct(), ["field", "term"])
+    sought = cut(weighed.withColumn("tag", tag(idx.routed)).join(asked.select("tag").distinct(), "tag", "left_semi").withColumn("t", F.monotonically_increasing_id()))
+    asked = cut(asked.join(sought.select("tag", "t"), "tag").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("t", "boost"))).alias("terms")))
+    wants = cut(asked.select("terms").distinct().withColumn("q", F.monotonically_increasing_id()))
+    n_queries, n_docs = wants.count(), idx.docs.count()
+    n_parts = max(1, -(-n_queries // PART_QUERIES), min(2 * context.defaultParallelism, -(-n_queries // 64)))
+    n_blocks = max(1, -(-n_docs // BLOCK_DOCS))
+    on = ["field", "term", *(["route"] if idx.routed else [])]
+    flat = cells.select("id", "route", "field", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    post = flat.join(sized_broadcast(sought.select(*on, "t", "idf", "avgdl")), on).select("id", "t", "idf", norm.alias("norm"), F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"))
+    packed = cut(post.repartitionById(n_blocks, "block").sortWithinPartitions("t", "id").select("block", "id", "t", "idf", "norm").mapInArrow(searching.pack, "block int, piece binary"))
+    ask = wants.select(F.pmod(F.xxhash64("q"), F.lit(n_parts)).cast("int").alias("part"), F.lit(-1).alias("block"), "q", F.col("terms.t").alias("ts"), F.col("terms.boost").alias("boosts"), F.lit(None).cast("binary").alias("piece"))
+    given = packed.select(F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), "block", F.lit(0).cast("long").alias("q"), F.lit(None).cast("array<bigint>").alias("ts"), F.lit(None).cast("array<double>").alias("boosts"), "piece")
+    met = ask.unionByName(given).repartitionById(n_parts, "part").sortWithinPartitions("block")
+    best = cut(met.mapInArrow(searching.searched(start + k), "q long, id long, score double, rank int").filter(F.col("rank") > start))
+    return Hits(best, asked.join(wants, "terms").select("query", "q"), idx.docs.select("id", "doc"))
 
 
 def gaps(hits: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
 from . import search
 
 FIELDS = {"keywords": "place_name", "address": "address", "city": "locality", "state": "region", "zip5": "postcode"}
@@ -20,9 +19,9 @@ def match_stores(stores: DataFrame, merchants: DataFrame, key: str = "store_row"
         part = search.clause(rows, key, column, {field: 1.0})
         clauses = part if clauses is None else clauses.unionByName(part)
     fields = list(FIELDS.values())
-    hits = cut(search.top_hits(clauses, search.index(merchants, merchant_key, fields), size))
-    facts = search.gaps(hits)
-    top = hits.filter("rank = 1").select("query", F.col("doc").alias(merchant_key)).join(merchants.select(merchant_key, "place_name"), merchant_key)
+    hits = search.best_hits(clauses, search.index(merchants, merchant_key, fields), size)
+    facts = hits.gaps()
+    top = hits.first(1).select("query", F.col("doc").alias(merchant_key)).join(merchants.select(merchant_key, "place_name"), merchant_key)
     out = rows.select(key, "keywords").join(facts.withColumnRenamed("query", key), key, "left").join(top.withColumnRenamed("query", key), key, "left")
     holds = F.coalesce(F.contains(F.lower("place_name"), F.lower("keywords")), F.lit(False))
     matched = holds & F.coalesce(F.col("gap") > least_gap, F.lit(False))

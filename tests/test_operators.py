@@ -1,11 +1,13 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import evaluate as ev
-from ledgerloom.operators import models, prep, quality, relink, search, stores, tune
+from ledgerloom.operators import models, prep, quality, relink, search, searching, stores, tune
 from ledgerloom.operators.locate import NOT_STATES, STATES, locate
 
 
@@ -214,6 +216,38 @@ def test_relink(spark):
     assert [tuple(r) for r in context] == [("u", 2, "b; a")]
 
 
+def test_top_hits_carry_over_blocks_and_parts(spark, monkeypatch):
+    """Many small blocks, several parts of queries and rows of codes for common tags give the rows of scoring everything."""
+    monkeypatch.setattr(search, "BLOCK_DOCS", 60)
+    monkeypatch.setattr(search, "PART_QUERIES", 12)
+    rng = random.Random(7)
+    word = lambda: rng.choices(["st", "ave", "north", *(f"w{i}" for i in range(30))], [30, 20, 15, *[1] * 30])[0]
+    docs = spark.createDataFrame([(f"d{i:03}", " ".join(word() for _ in range(rng.randint(1, 5)))) for i in range(300)], "id string, name string")
+    q = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randint(1, 4)))) for i in range(40)], "k int, t string")
+    clauses = search.clause(q, "k", "t", {"name": 2.0})
+    rows = lambda df: sorted((r.query, r.doc, round(r.score, 5), r["rank"]) for r in df.collect())
+    hits = search.best_hits(clauses, search.index(docs, "id", ["name"]), 5)
+    every = search.top_k(search.score(clauses, search.weighted(search.postings(docs, "id", ["name"]), docs, "id", ["name"])), 5).cache()
+    assert rows(hits.rows()) == rows(every)
+    assert {r.query: (r.n_hits, r.gap) for r in hits.gaps().collect()} == {r.query: (r.n_hits, r.gap) for r in search.gaps(every).collect()}
+
+
+def test_rare_and_common_tags_of_a_block():
+    """A store's 45 best records need no look at the 99,000 records that share a common word with it."""
+    rng = np.random.default_rng(3)
+    n = 100_000
+    rare = np.sort(rng.choice(n, 60, replace=False)).astype(np.int64)
+    ids, t = np.r_[np.arange(n), rare], np.r_[np.zeros(n, np.int64), np.ones(len(rare), np.int64)]
+    rows = pa.record_batch([pa.array(x) for x in (np.zeros(len(ids), np.int32), ids, t, np.where(t == 0, 0.1, 9.0), np.full(len(ids), 1.2))], names=["block", "id", "t", "idf", "norm"])
+    block = searching.Block(next(searching.pack(iter([rows]))).column("piece")[0].as_py())
+    part = searching.Part(45)
+    part.add(pa.record_batch([pa.array([7]), pa.array([[0, 1]]), pa.array([[1.0, 1.0]])], names=["q", "ts", "boosts"]))
+    part.close()
+    part.search(block)
+    (hits,) = part.hits()
+    assert part.looked == len(rare) and hits.column("id").to_pylist() == rare[:45].tolist() and hits.column("rank").to_pylist() == list(range(1, 46))
+
+
 def test_stores(spark):
     merchants = spark.createDataFrame([("f1", "Blue Lodge Inn", "1 Elm St", "Tellby", "OR", "97001"), ("f2", "Red Diner", "9 Oak Rd", "Marsk", "TX", "70001"), ("f3", "Green Toys", "8 Ash Rd", "Marsk", "TX", "70001"), ("f4", "Grey Toys", "7 Fir Rd", "Yarl", "ME", "00001"), ("f5", "Pink Shoes", "6 Yew Rd", "Yarl", "ME", "00001"), ("f6", "Teal Shoes", "5 Bay Rd", "Yarl", "ME", "00001")], "factual_id string, place_name string, address string, locality string, region string, postcode string")
     rows = spark.createDataFrame([(1, "blue lodge", "1 Elm St", "Tellby", "OR", "97001-2222", "17"), (2, "zzz", None, None, None, None, "9")], "store_row int, keywords string, address string, city string, state string, zip_code string, aggdata_store_number string")
