@@ -258,6 +258,18 @@ def test_stores(spark):
     assert {r.factual_id: r.internal_store_number for r in stores.update_directory(merchants, m.withColumn("matched", F.lit(True)).withColumn("factual_id", F.lit("f1")), rows).collect()}["f1"] == "9"
 
 
+def test_repeated_stores_are_sought_once(spark):
+    """Stores that seek the same share one search and one gap, and each counts in the percentage."""
+    merchants = spark.createDataFrame([(f"f{i}", f"Blue Lodge {i}", "Tellby" if i else "Marsk") for i in range(5)], "factual_id string, place_name string, locality string")
+    rows = spark.createDataFrame([(i, "blue lodge 0" if i else "zzz", "Marsk") for i in range(9)], "store_row int, keywords string, city string")
+    clauses = search.clause(rows, "store_row", "keywords", {"place_name": 1.0}).unionByName(search.clause(rows, "store_row", "city", {"locality": 1.0}))
+    hits = search.best_hits(clauses, search.index(merchants, "factual_id", ["place_name", "locality"]), 45)
+    assert hits.best.select("q").distinct().count() == 2 and hits.own.count() == 9
+    assert {(r.query, r.doc) for r in hits.first(1).collect()} == {(i, "f0") for i in range(9)}
+    gaps = {r.query: (r.n_hits, r.gap) for r in hits.gaps().collect()}
+    assert len(gaps) == 9 and len({gaps[i] for i in range(1, 9)}) == 1 and gaps[0] == (1, None)
+
+
 def test_model_reaches_held_out_accuracy(spark):
     rows = spark.createDataFrame([(f"coffee shop {i}", "food") for i in range(60)] + [(f"airline ticket {i}", "travel") for i in range(60)] + [(None, "food"), ("x", None)], "t string, l string")
     model = models.fit(rows, "t", "l", features=1 << 10, rounds=5)
