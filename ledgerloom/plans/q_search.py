@@ -133,7 +133,7 @@ def enriched_transactions(s, d):
 
 
 def _assembled(s, d):
-    found = enriched_transactions(s, d)
+    found = cut(enriched_transactions(s, d))  # read three times
     rows = found.select("transaction_id", "description", F.lit(True).alias("is_physical_merchant"), F.lit(True).alias("runs_location"), F.lit(False).alias("runs_subtype"), *[F.lit("").alias(c) for c in ("subtype", "category", "merchant_label")], *[F.lit(None).cast("double").alias(f"{c}_score") for c in ("subtype", "category", "merchant_label")])
     places = found.filter("city <> '' and state <> ''").groupBy("description").agg(F.min(F.struct("city", "state")).alias("p")).select("description", "p.*")
     return service.assemble(rows, "transaction_id", places, found)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import evaluate as ev
 from ledgerloom.operators import models, prep, quality, relink, search, searching, stores, tune
 from ledgerloom.operators.locate import NOT_STATES, STATES, locate
+from ledgerloom.plans import q_search
 
 
 def test_prep(spark):
@@ -270,6 +271,13 @@ def test_repeated_stores_are_sought_once(spark):
     assert len(gaps) == 9 and len({gaps[i] for i in range(1, 9)}) == 1 and gaps[0] == (1, None)
 
 
+def test_shaped_output_searches_once(spark, sf):
+    """Rows, places and hits of the shaped records come from one search, whose result is kept."""
+    shaped = q_search.debug_shape(spark, sf)
+    plan = shaped._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and shaped.count() == shaped.select("transaction_id").distinct().count() > 0
+
+
 def test_model_reaches_held_out_accuracy(spark):
     rows = spark.createDataFrame([(f"coffee shop {i}", "food") for i in range(60)] + [(f"airline ticket {i}", "travel") for i in range(60)] + [(None, "food"), ("x", None)], "t string, l string")
     model = models.fit(rows, "t", "l", features=1 << 10, rounds=5)
