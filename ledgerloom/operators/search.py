@@ -111,8 +111,8 @@ def index(docs: DataFrame, key: str, fields: list[str], route: str | None = None
     column documents are kept apart by it, and only those whose route is among `routes` (route) are
     indexed. NULL routes have no documents."""
     cells = F.array(*[F.struct(F.lit(f).alias("field"), terms(F.col(f).cast("string")).alias("ts")) for f in fields])
-    kept = docs.select(F.col(key).alias("doc"), (F.col(route) if route else F.lit("")).cast("string").alias("route"), cells.alias("cells")).orderBy("doc")
-    numbered = cut(kept.select(F.monotonically_increasing_id().alias("id"), "doc", "route", "cells"))
+    kept = docs.select(F.col(key).alias("doc"), (F.col(route) if route else F.lit("")).cast("string").alias("route"), *fields).orderBy("doc")
+    numbered = cut(kept.select(F.monotonically_increasing_id().alias("id"), "doc", "route", cells.alias("cells")))  # cells after the sort, which reads its input twice
     per_field = numbered.select(F.explode("cells").alias("c")).select("c.field", F.size("c.ts").alias("dl")).filter("dl > 0").groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     return Index(numbered, per_field, bool(route), routes)
 
@@ -123,7 +123,8 @@ BLOCK_DOCS, PART_QUERIES = 200_000, 50_000
 
 @dataclass(frozen=True)
 class Hits:
-    """best: (q, id, score, rank) of each distinct query; own: (query, q); docs: (id, doc)."""
+    """best: (q, id, score, rank, n_hits, second, spread) of each distinct query, the last three being of all its
+    hits; own: (query, q); docs: (id, doc)."""
 
     best: DataFrame
     own: DataFrame
@@ -138,8 +139,9 @@ class Hits:
         return Hits(self.best.filter(F.col("rank") <= n), self.own, self.docs).rows()
 
     def gaps(self) -> DataFrame:
-        """gaps() of all rows, told once for queries that seek the same."""
-        return self.own.join(gaps(self.best.withColumnRenamed("q", "query")).withColumnRenamed("query", "q"), "q").drop("q")
+        """gaps() of all hits, told once for queries that seek the same."""
+        told = self.best.filter("rank = 1").select("q", "n_hits", F.col("score").alias("top_score"), _gap(F.col("score"), F.col("second"), F.col("spread")).alias("gap"))
+        return self.own.join(told, "q").drop("q")
 
 
 def top_hits(clauses: DataFrame, idx: Index, k: int, start: int = 0) -> DataFrame:
@@ -147,8 +149,9 @@ def top_hits(clauses: DataFrame, idx: Index, k: int, start: int = 0) -> DataFram
     return best_hits(clauses, idx, k, start).rows()
 
 
-def best_hits(clauses: DataFrame, idx: Index, k: int, start: int = 0) -> Hits:
-    """The hits of top_hits() by distinct queries: queries that seek the same are one.
+def best_hits(clauses: DataFrame, idx: Index, k: int, start: int = 0, first: int | None = None) -> Hits:
+    """The hits of top_hits() by distinct queries: queries that seek the same are one. With `first` only the
+    hits up to that rank are kept, with what gaps() tells of all k.
 
     The postings of the tags that are sought are packed into blocks of documents; the queries are spread
     over parts, and every part goes through all blocks in turn with the best scores it has so far
@@ -156,7 +159,7 @@ def best_hits(clauses: DataFrame, idx: Index, k: int, start: int = 0) -> Hits:
     """
     context = clauses.sparkSession.sparkContext
     labelled = clauses if idx.routed else clauses.withColumn("route", F.lit(""))
-    asked = labelled.select("query", tag(idx.routed).alias("tag"), "boost").groupBy("query", "tag").agg(F.sum("boost").alias("boost")).filter("boost > 0")
+    labelled = labelled.select("query", tag(idx.routed).alias("tag"), "boost")
     docs = idx.docs.filter("route is not null") if idx.routed else idx.docs
     if idx.routes is not None:
         docs = docs.join(sized_broadcast(idx.routes.select(F.col("route").cast("string")).distinct()), "route", "left_semi")
@@ -167,9 +170,13 @@ def best_hits(clauses: DataFrame, idx: Index, k: int, start: int = 0) -> Hits:
     weighed = weighed.select("field", "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
     if idx.routed:
         weighed = weighed.join(cells.select("field", F.explode("ts").alias("term"), "route").distinct(), ["field", "term"])
-    sought = cut(weighed.withColumn("tag", tag(idx.routed)).join(asked.select("tag").distinct(), "tag", "left_semi").withColumn("t", F.monotonically_increasing_id()))
-    asked = cut(asked.join(sought.select("tag", "t"), "tag").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("t", "boost"))).alias("terms")))
-    wants = cut(asked.select("terms").distinct().withColumn("q", F.monotonically_increasing_id()))
+    sought = cut(weighed.withColumn("tag", tag(idx.routed)).join(labelled.select("tag").distinct(), "tag", "left_semi").withColumn("t", F.monotonically_increasing_id()))
+    asked = labelled.join(sized_broadcast(sought.select("tag", "t")), "tag").select("query", "t", "boost").repartition("query")
+    asked = asked.groupBy("query", "t").agg(F.sum("boost").alias("boost")).filter("boost > 0")
+    asked = asked.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("t", "boost"))).alias("terms"))
+    asked = cut(asked.withColumn("hash", F.xxhash64("terms")))  # joins sort by it first
+    wants = cut(asked.select("hash", "terms").distinct().withColumn("q", F.monotonically_increasing_id()))
+    own = cut(asked.join(wants, ["hash", "terms"]).select("query", "q"))
     n_queries, n_docs = wants.count(), idx.docs.count()
     n_parts = max(1, -(-n_queries // PART_QUERIES), min(2 * context.defaultParallelism, -(-n_queries // 64)))
     n_blocks = max(1, -(-n_docs // BLOCK_DOCS))
@@ -181,8 +188,8 @@ def best_hits(clauses: DataFrame, idx: Index, k: int, start: int = 0) -> Hits:
     ask = wants.select(F.pmod(F.xxhash64("q"), F.lit(n_parts)).cast("int").alias("part"), F.lit(-1).alias("block"), "q", F.col("terms.t").alias("ts"), F.col("terms.boost").alias("boosts"), F.lit(None).cast("binary").alias("piece"))
     given = packed.select(F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), "block", F.lit(0).cast("long").alias("q"), F.lit(None).cast("array<bigint>").alias("ts"), F.lit(None).cast("array<double>").alias("boosts"), "piece")
     met = ask.unionByName(given).repartitionById(n_parts, "part").sortWithinPartitions("block")
-    best = cut(met.mapInArrow(searching.searched(start + k), "q long, id long, score double, rank int").filter(F.col("rank") > start))
-    return Hits(best, asked.join(wants, "terms").select("query", "q"), idx.docs.select("id", "doc"))
+    best = cut(met.mapInArrow(searching.searched(start + k, first), searching.FOUND).filter(F.col("rank") > start))
+    return Hits(best, own, idx.docs.select("id", "doc"))
 
 
 def gaps(hits: DataFrame) -> DataFrame:
@@ -190,7 +197,11 @@ def gaps(hits: DataFrame) -> DataFrame:
     digits; NULL for one hit or equal scores."""
     first, second = F.max(F.when(F.col("rank") == 1, F.col("score"))), F.max(F.when(F.col("rank") == 2, F.col("score")))
     out = hits.groupBy("query").agg(F.count(F.lit(1)).alias("n_hits"), first.alias("top_score"), second.alias("_s"), F.stddev_pop("score").alias("_d"))
-    return out.select("query", "n_hits", "top_score", F.round(F.try_divide(F.col("top_score") - F.col("_s"), F.when(F.col("_d") > 1e-9, F.col("_d"))), 3).alias("gap"))
+    return out.select("query", "n_hits", "top_score", _gap(F.col("top_score"), F.col("_s"), F.col("_d")).alias("gap"))
+
+
+def _gap(top: Column, second: Column, spread: Column) -> Column:
+    return F.round(F.try_divide(top - second, F.when(spread > 1e-9, spread)), 3)
 
 
 def accepted(gap: Column, top: Column, least_gap: float = 2.857, least_score: float = 1.0) -> Column:

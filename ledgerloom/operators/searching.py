@@ -49,6 +49,7 @@ class Block:
     def __init__(self, piece: bytes):
         (lists,) = pa.ipc.open_stream(piece)
         self.ids, self.ts, self.at, self.doc, self.w = (lists.column(n).flatten().to_numpy() for n in ("ids", "ts", "at", "doc", "w"))
+        self.doc = self.doc.astype(np.intp)  # as numpy takes by
         self.df = np.diff(self.at)
         self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         most = np.argsort(-self.df, kind="stable")[:ROWS]
@@ -81,7 +82,7 @@ class Part:
 
     def close(self) -> None:
         self.q, self.ts, self.boosts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.q, self.ts, self.boosts))
-        self.ends = np.cumsum(np.concatenate(self.sizes)) if len(self.q) else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.arange(len(self.q)), np.concatenate(self.sizes)) if len(self.q) else np.zeros(0, np.int64)
         self.best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(self.q)
         self.need = [-1.0] * len(self.q)
 
@@ -104,90 +105,138 @@ class Part:
         self.best[i] = r, ids
 
     def search(self, block: Block) -> None:
+        """Takes the block's documents into account. A query's tags go by the most that they can add. Documents
+        that hold only the last of them, which cannot reach the k-th best score together, are not looked at."""
         n_docs = len(block.ids)
         if not n_docs or not len(self.q):
             return
         place = np.minimum(np.searchsorted(block.ts, self.ts), len(block.ts) - 1)
-        here = block.ts[place] == self.ts
-        common = (block.common[place] & here).tolist()
-        rare = (~block.common[place] & here).tolist()
-        from_, to, df = block.at[place].tolist(), block.at[place + 1].tolist(), block.df[place].tolist()
-        most, boosts, place = (block.top[place] * self.boosts).tolist(), self.boosts.tolist(), place.tolist()
+        here = np.flatnonzero(block.ts[place] == self.ts)
+        most = block.top[place[here]] * self.boosts[here]
+        order = np.lexsort((-most, self.owner[here]))
+        here, most = here[order], most[order]
+        place = place[here]
+        ends = np.cumsum(np.bincount(self.owner[here], minlength=len(self.q)))
+        reach = np.cumsum(most)  # the sum of the tags of all queries up to this one
+        boosts, ends, reach, most = self.boosts[here].tolist(), ends.tolist(), [0.0, *reach.tolist()], most.tolist()
+        common, from_, to, place = block.common[place].tolist(), block.at[place].tolist(), block.at[place + 1].tolist(), place.tolist()
         total, marks, seen = np.zeros(n_docs), np.zeros(n_docs, dtype=np.int32), np.zeros(n_docs, dtype=bool)
-        count = np.arange(n_docs, dtype=np.int32)
         doc, w = block.doc, block.w
-
-        def once(lists: list[np.ndarray]) -> np.ndarray:
-            """The documents of the lists without repeats."""
-            if len(lists) == 1:
-                return lists[0]
-            every = np.concatenate(lists)
-            order = count[: len(every)] if len(every) <= n_docs else np.arange(len(every), dtype=np.int32)
-            marks[every] = order
-            return every[marks[every] == order]
-
-        begin = 0
-        for i, end in enumerate(self.ends.tolist()):
-            shared = [e for e in range(begin, end) if common[e]]
-            lists = []
+        begin = end = 0
+        for i, next_ in enumerate(ends):
+            begin, end = end, next_
+            need = self.need[i] - SLACK
+            if begin == end or reach[end] - reach[begin] < need:
+                continue
+            last = begin  # the first of the tags that cannot reach it together
+            while last < end and reach[end] - reach[last] >= need:
+                last += 1
+            lists, added, shared, rest, low = [], [], [], 0.0, 0.0
             for e in range(begin, end):
-                if rare[e]:
-                    d = doc[from_[e] : to[e]]
-                    total[d] += w[from_[e] : to[e]] * boosts[e]
+                if common[e]:
+                    shared.append(e)
+                    rest += most[e]
+                    continue
+                d, add = doc[from_[e] : to[e]], w[from_[e] : to[e]]
+                add = add if boosts[e] == 1 else add * boosts[e]
+                if added:
+                    total[d] = total.take(d) + add
+                else:
+                    total[d] = add
+                added.append(d)
+                if e < last:
                     lists.append(d)
-                    self.looked += len(d)
-            begin = end
+                else:
+                    low += most[e]
             rows = [(*block.row(place[e]), boosts[e]) for e in shared]
-            rest = sum(most[e] for e in shared)
-            found = None
             if lists:
-                found = once(lists)
-                score = total[found]
-                total[found] = 0.0
-                if self.need[i] > 0:  # nothing below can become a hit
-                    able = score + rest >= self.need[i] - SLACK
-                    close, score = found[able], score[able]
-                else:
-                    close = found
-                for codes, values, boost in rows:
-                    score += (values * boost)[codes[close]]
-                self.merge(i, score, block.ids[close])
-            if shared and rest + SLACK >= self.need[i]:
-                # documents of common tags only
-                if found is not None:
-                    seen[found] = True
-                looked = [found] if found is not None else []
-                shared.sort(key=lambda e: df[e])
-                for e in shared:
-                    if rest + SLACK < self.need[i]:
-                        break
-                    d = doc[from_[e] : to[e]]
-                    self.looked += len(d)
-                    d = d[~seen[d]]
+                found = lists[0] if len(lists) == 1 else np.concatenate(lists)
+                self.looked += len(found)
+                score = total.take(found)
+                if need > 0:
+                    able = np.flatnonzero(score >= need - rest)
+                    found, score = found.take(able), score.take(able)
+                if len(lists) > 1 and len(found) > 1:  # each document once
+                    count = np.arange(len(found), dtype=np.int32)
+                    marks[found] = count
+                    able = np.flatnonzero(marks.take(found) == count)
+                    found, score = found.take(able), score.take(able)
+                if need <= 0 and len(found) > 4 * self.k:  # what k documents have already is needed
+                    need = max(need, float(np.partition(score, len(score) - self.k)[len(score) - self.k]) - SLACK)
+                    able = np.flatnonzero(score >= need - rest)
+                    found, score = found.take(able), score.take(able)
+                if len(found):
+                    left = rest
+                    for e, (codes, values, boost) in zip(shared, rows):
+                        score += (values if boost == 1 else values * boost).take(codes.take(found))
+                        left -= most[e]
+                        if len(found) > 256 and need > 0:
+                            able = np.flatnonzero(score >= need - left)
+                            found, score = found.take(able), score.take(able)
+                    self.merge(i, score, block.ids[found])
+                    need = max(need, self.need[i] - SLACK)
+            if shared and rest + low >= need:
+                # documents without the tags above; what was left out above stays below what is needed
+                merged = [found] if lists else []
+                for d in merged:
                     seen[d] = True
-                    looked.append(d)
-                    score = np.zeros(len(d))
-                    for codes, values, boost in rows:
-                        score += (values * boost)[codes[d]]
-                    self.merge(i, score, block.ids[d])
+                for n, e in enumerate(shared):
+                    if rest + low < need:
+                        break
                     rest -= most[e]
-                for d in looked:
+                    d, score = doc[from_[e] : to[e]], w[from_[e] : to[e]] * boosts[e]
+                    self.looked += len(d)
+                    if added:
+                        score += total.take(d)
+                    able = np.flatnonzero(score >= need - rest)
+                    able = able[~seen.take(d.take(able))]
+                    d, score, left = d.take(able), score.take(able), rest
+                    for f in range(n + 1, len(shared)):
+                        codes, values, boost = rows[f]
+                        score += (values if boost == 1 else values * boost).take(codes.take(d))
+                        left -= most[shared[f]]
+                        if len(d) > 256 and need > 0:
+                            able = np.flatnonzero(score >= need - left)
+                            d, score = d.take(able), score.take(able)
+                    if len(d):
+                        self.merge(i, score, block.ids[d])
+                        need = max(need, self.need[i] - SLACK)
+                        seen[d] = True
+                        merged.append(d)
+                for d in merged:
                     seen[d] = False
+            for d in added:
+                total[d] = 0.0
 
-    def hits(self) -> Iterator[pa.RecordBatch]:
+    def hits(self, first: int | None = None) -> Iterator[pa.RecordBatch]:
+        """(q, id, score, rank, n_hits, second, spread): the hits, or the `first` of each query. The last three
+        are of all hits of the query: their number, the second score and the population deviation."""
         for at in range(0, len(self.q), 5_000):
-            q, ids, score, rank = [], [], [], []
-            for i in range(at, min(at + 5_000, len(self.q))):
-                if self.best[i] is not None:
-                    r, d = self.best[i]
-                    order = np.lexsort((d, -r))
-                    q.append(np.full(len(r), self.q[i])), ids.append(d[order]), score.append(r[order]), rank.append(np.arange(1, len(r) + 1, dtype=np.int32))
-            if q:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (q, ids, score, rank)], names=["q", "id", "score", "rank"])
-
-
-def searched(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The rows of a part, its queries (block -1) first and then all blocks -> (q, id, score, rank)."""
+            got = [i for i in range(at, min(at + 5_000, len(self.q))) if self.best[i] is not None and len(self.best[i][0])]
+            if not got:
+                continue
+            size = np.array([len(self.best[i][0]) for i in got])
+            score, ids = (np.concatenate([self.best[i][n] for i in got]) for n in (0, 1))
+            owner, begin = np.repeat(np.arange(len(got)), size), np.cumsum(size) - size
+            order = np.lexsort((ids, -score, owner))
+            score, ids = score[order], ids[order]
+            mean = np.add.reduceat(score, begin) / size
+            spread = np.sqrt(np.add.reduceat((score - mean[owner]) ** 2, begin) / size)
+            second = score[np.minimum(begin + 1, len(score) - 1)]
+            rank = np.arange(len(score)) - begin[owner] + 1
+            kept = np.flatnonzero(rank <= (first or self.k))
+            owner = owner[kept]
+            columns = [pa.array(x) for x in (self.q[got][owner], ids[kept], score[kept], rank[kept].astype(np.int32), size[owner])]
+            columns += [pa.array(second[owner], mask=size[owner] < 2), pa.array(spread[owner])]
+            yield pa.record_batch(columns, names=["q", "id", "score", "rank", "n_hits", "second", "spread"])
+
+
+#: What searched() gives.
+FOUND = "q long, id long, score double, rank int, n_hits long, second double, spread double"
+
+
+def searched(k: int, first: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows of a part, its queries (block -1) first and then all blocks -> the hits of Part.hits()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, closed = Part(k), False
@@ -201,6 +250,6 @@ def searched(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                     closed = True
                 part.search(Block(batch.column("piece")[n].as_py()))
         if closed:
-            yield from part.hits()
+            yield from part.hits(first)
 
     return run

@@ -19,7 +19,7 @@ def match_stores(stores: DataFrame, merchants: DataFrame, key: str = "store_row"
         part = search.clause(rows, key, column, {field: 1.0})
         clauses = part if clauses is None else clauses.unionByName(part)
     fields = list(FIELDS.values())
-    hits = search.best_hits(clauses, search.index(merchants, merchant_key, fields), size)
+    hits = search.best_hits(clauses, search.index(merchants, merchant_key, fields), size, first=1)
     facts = hits.gaps()
     top = hits.first(1).select("query", F.col("doc").alias(merchant_key)).join(merchants.select(merchant_key, "place_name"), merchant_key)
     out = rows.select(key, "keywords").join(facts.withColumnRenamed("query", key), key, "left").join(top.withColumnRenamed("query", key), key, "left")

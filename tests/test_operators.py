@@ -249,6 +249,37 @@ def test_rare_and_common_tags_of_a_block():
     assert part.looked == len(rare) and hits.column("id").to_pylist() == rare[:45].tolist() and hits.column("rank").to_pylist() == list(range(1, 46))
 
 
+def test_tags_that_cannot_reach_are_not_looked_at():
+    """Once a query's hits are known, documents of a later block that hold only its lesser rare tag are not looked
+    at; those that hold a greater one count with both."""
+    def block(n, ids, t):
+        columns = (np.full(len(ids), n, np.int32), ids, t, np.where(t == 0, 1.0, 9.0), np.full(len(ids), 1.2))
+        rows = pa.record_batch([pa.array(x) for x in columns], names=["block", "id", "t", "idf", "norm"])
+        return searching.Block(next(searching.pack(iter([rows]))).column("piece")[0].as_py())
+
+    part = searching.Part(3)
+    part.add(pa.record_batch([pa.array([7]), pa.array([[0, 1]]), pa.array([[1.0, 1.0]])], names=["q", "ts", "boosts"]))
+    part.close()
+    part.search(block(0, np.arange(5), np.ones(5, np.int64)))
+    part.looked = 0
+    part.search(block(1, np.r_[np.arange(10, 110), 10], np.r_[np.zeros(100, np.int64), 1]))
+    assert part.looked == 1
+    (hits,) = part.hits(2)
+    assert hits.column("id").to_pylist() == [10, 0] and hits.column("score").to_pylist() == [10.0, 9.0]
+    assert hits.column("n_hits").to_pylist() == [3, 3] and hits.column("second").to_pylist() == [9.0, 9.0]
+    assert hits.column("spread").to_pylist() == pytest.approx([np.std([10.0, 9.0, 9.0])] * 2)
+
+
+def test_first_hits_are_kept_with_the_gaps_of_all(spark):
+    docs = spark.createDataFrame([(f"d{i}", "elm " * (i % 3 + 1) + "oak" * (i % 2)) for i in range(9)], "id string, name string")
+    clauses = search.clause(spark.createDataFrame([(1, "elm oak"), (2, "elm")], "k int, t string"), "k", "t", {"name": 1.0})
+    idx = search.index(docs, "id", ["name"])
+    all_, first = search.best_hits(clauses, idx, 5), search.best_hits(clauses, idx, 5, first=1)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert first.best.count() == 2 and rows(first.rows()) == rows(all_.first(1))
+    assert rows(first.gaps()) == rows(search.gaps(all_.rows()))
+
+
 def test_stores(spark):
     merchants = spark.createDataFrame([("f1", "Blue Lodge Inn", "1 Elm St", "Tellby", "OR", "97001"), ("f2", "Red Diner", "9 Oak Rd", "Marsk", "TX", "70001"), ("f3", "Green Toys", "8 Ash Rd", "Marsk", "TX", "70001"), ("f4", "Grey Toys", "7 Fir Rd", "Yarl", "ME", "00001"), ("f5", "Pink Shoes", "6 Yew Rd", "Yarl", "ME", "00001"), ("f6", "Teal Shoes", "5 Bay Rd", "Yarl", "ME", "00001")], "factual_id string, place_name string, address string, locality string, region string, postcode string")
     rows = spark.createDataFrame([(1, "blue lodge", "1 Elm St", "Tellby", "OR", "97001-2222", "17"), (2, "zzz", None, None, None, None, "9")], "store_row int, keywords string, address string, city string, state string, zip_code string, aggdata_store_number string")
