@@ -280,6 +280,18 @@ def test_first_hits_are_kept_with_the_gaps_of_all(spark):
     assert rows(first.gaps()) == rows(search.gaps(all_.rows()))
 
 
+def test_queries_are_told_apart_once(spark):
+    """Which distinct query each query is, is kept: neither hits nor gaps join the queries by what they seek again."""
+    q = spark.createDataFrame([(i, "elm oak" if i % 2 else "elm") for i in range(6)], "k int, t string")
+    clauses = search.clause(q, "k", "t", {"name": 1.0, "street": 2.0}).unionByName(search.clause(q, "k", "t", {"name": 3.0}))
+    docs = spark.createDataFrame([(f"d{i}", "elm oak" if i % 3 else "oak", "elm") for i in range(5)], "id string, name string, street string")
+    hits = search.best_hits(clauses, search.index(docs, "id", ["name", "street"]), 3)
+    assert "Join" not in hits.own._jdf.queryExecution().optimizedPlan().toString()
+    every = search.top_k(search.score(clauses, search.weighted(search.postings(docs, "id", ["name", "street"]), docs, "id", ["name", "street"])), 3)
+    rows = lambda df: sorted((r.query, r.doc, round(r.score, 5), r["rank"]) for r in df.collect())
+    assert rows(hits.rows()) == rows(every)
+
+
 def test_stores(spark):
     merchants = spark.createDataFrame([("f1", "Blue Lodge Inn", "1 Elm St", "Tellby", "OR", "97001"), ("f2", "Red Diner", "9 Oak Rd", "Marsk", "TX", "70001"), ("f3", "Green Toys", "8 Ash Rd", "Marsk", "TX", "70001"), ("f4", "Grey Toys", "7 Fir Rd", "Yarl", "ME", "00001"), ("f5", "Pink Shoes", "6 Yew Rd", "Yarl", "ME", "00001"), ("f6", "Teal Shoes", "5 Bay Rd", "Yarl", "ME", "00001")], "factual_id string, place_name string, address string, locality string, region string, postcode string")
     rows = spark.createDataFrame([(1, "blue lodge", "1 Elm St", "Tellby", "OR", "97001-2222", "17"), (2, "zzz", None, None, None, None, "9")], "store_row int, keywords string, address string, city string, state string, zip_code string, aggdata_store_number string")
