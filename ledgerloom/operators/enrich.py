@@ -35,7 +35,8 @@ def noise_free_text(description: Column) -> Column:
 def clauses(queries: DataFrame, key: str, description: str, city: str | None = None, state: str | None = None, good: str | None = None, boosts: dict[str, float] | None = None) -> DataFrame:
     """The main clause over all boosted fields, a clause for town and state where they are known, and
     one for the name where a good description is given."""
-    base = queries.withColumn("_q", search_text(F.col(description))).filter("_q is not null")
+    asked = queries.select(key, F.col(description).alias("_d"), *dict.fromkeys(c for c in (city, state, good) if c))
+    base = cut(asked.withColumn("_q", search_text(F.col("_d"))).filter("_q is not null"))  # read for every clause, twice
     out = search.clause(base, key, "_q", boosts or BOOSTS)
     for column, field, boost in ((city, "locality", 1.0), (state, "region", 1.0), (good, "place_name", 2.0)):
         if column:
@@ -75,7 +76,7 @@ def find_merchants(transactions: DataFrame, key: str, description: str, merchant
     places = locate(transactions, description, cities) if known_places is None else known_places
     rows = cut(transactions.join(places.withColumnRenamed("city", "_city").withColumnRenamed("state", "_state"), description, "left"))
     fields = list(BOOSTS)
-    hits = search.best_hits(clauses(rows, key, description, "_city", "_state"), search.index(merchants, merchant_key, fields), RESULT_SIZE)
+    hits = search.best_hits(clauses(rows, key, description, "_city", "_state"), search.index(merchants, merchant_key, fields), RESULT_SIZE, first=2)
     facts, best = hits.gaps(), cut(hits.first(2))
     two = search.top_two(best, merchants, merchant_key, ["place_name", "locality", "region"])
     top = best.filter("rank = 1").select("query", F.col("doc").alias(merchant_key)).join(merchants.select(merchant_key, *[f for f in OUTPUT], "longitude", "latitude"), merchant_key)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import evaluate as ev
-from ledgerloom.operators import models, prep, quality, relink, search, searching, stores, tune
+from ledgerloom.operators import enrich, models, prep, quality, relink, search, searching, stores, tune
 from ledgerloom.operators.locate import NOT_STATES, STATES, locate
 from ledgerloom.plans import q_search
 
@@ -292,6 +292,16 @@ def test_queries_are_told_apart_once(spark):
     assert rows(hits.rows()) == rows(every)
 
 
+def test_descriptions_are_cleaned_once_for_all_clauses(spark):
+    rows = spark.createDataFrame([(1, "POS Blue Lodge 77", "Tellby", None), (2, "ab", "Marsk", "OR"), (3, None, None, None), (4, "Red Diner", None, "TX")], "k int, d string, c string, s string")
+    made = enrich.clauses(rows, "k", "d", "c", "s", boosts={"place_name": 2.0})
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
+    got = {(r["query"], r.term, r.field, r.boost) for r in made.collect()}
+    assert {(1, "lodge", "place_name", 2.0), (1, "tellby", "locality", 1.0), (4, "tx", "region", 1.0), (4, "diner", "place_name", 2.0)} <= got
+    assert {g[0] for g in got} == {1, 4}
+
+
 def test_stores(spark):
     merchants = spark.createDataFrame([("f1", "Blue Lodge Inn", "1 Elm St", "Tellby", "OR", "97001"), ("f2", "Red Diner", "9 Oak Rd", "Marsk", "TX", "70001"), ("f3", "Green Toys", "8 Ash Rd", "Marsk", "TX", "70001"), ("f4", "Grey Toys", "7 Fir Rd", "Yarl", "ME", "00001"), ("f5", "Pink Shoes", "6 Yew Rd", "Yarl", "ME", "00001"), ("f6", "Teal Shoes", "5 Bay Rd", "Yarl", "ME", "00001")], "factual_id string, place_name string, address string, locality string, region string, postcode string")
     rows = spark.createDataFrame([(1, "blue lodge", "1 Elm St", "Tellby", "OR", "97001-2222", "17"), (2, "zzz", None, None, None, None, "9")], "store_row int, keywords string, address string, city string, state string, zip_code string, aggdata_store_number string")
