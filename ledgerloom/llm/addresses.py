@@ -15,7 +15,7 @@ where they are given. Where none says anything the postcode itself stands for th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,9 +36,9 @@ def gazetteer(cities: DataFrame, ident: str = "city_id", name: str = "canonical_
     return sorted((Entry(int(r.i), r.n, r.s) for r in rows), key=lambda e: e.ref_id)
 
 
-def read_places(df: DataFrame, key: str, address: str, city: str, state: str, postcode: str, entries: list[Entry], keep: tuple[str, ...] = ()) -> DataFrame:
+def read_places(df: DataFrame, key: str, address: str, city: str, state: str, postcode: str, entries: list[Entry], keep: tuple[str, ...] = (), tidy: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
     """(_k, number, direction, street, kind, unit, town, zip5, _keep0...) of every record. town is
-    '' where only the postcode may tell it."""
+    '' where only the postcode may tell it. `tidy` is applied to the rows in the same pass."""
     kinds = dict(df.dtypes)
     kept = [f"_keep{i}" for i in range(len(keep))]
     slim = df.select(F.col(key).alias("_k"), *[F.col(c).cast("string").alias(a) for c, a in zip((address, city, state, postcode), ("_a", "_c", "_s", "_z"))], *[F.col(c).alias(n) for c, n in zip(keep, kept)])
@@ -50,7 +50,8 @@ def read_places(df: DataFrame, key: str, address: str, city: str, state: str, po
         for frame in frames:
             got = [read_place(a, c, s, z, towns) for a, c, s, z in zip(*(frame[x].where(frame[x].notna(), None) for x in ("_a", "_c", "_s", "_z")))]
             out = pd.DataFrame([(p.number, p.direction, p.street, p.kind, p.unit, p.town, p.zip5) for p in got], columns=names, index=frame.index)
-            yield pd.concat([frame[["_k"]], out, frame[kept]], axis=1)
+            rows = pd.concat([frame[["_k"]], out, frame[kept]], axis=1)
+            yield tidy(rows) if tidy else rows
 
     return slim.mapInPandas(read, schema)
 

@@ -1,7 +1,9 @@
 """Matching entities across sources without keys (problem 4) by a label model.
 
 Candidates are pairs of records of one town and number whose streets share a MinHash band (see
-addresses) and whose names share one. Many heuristic matching functions each vote match, no match or
+addresses) and whose names share one. The records of one town and number come to one worker, which
+compares the bands of all pairs and votes on those that share them; a town and number of very many
+records is a table of bands of its own that is joined. Many heuristic matching functions each vote match, no match or
 nothing on every candidate. The votes of all candidates are counted by pattern; a generative model with
 one latent class is fitted to the counts by expectation maximisation: it learns how accurate each
 function is and, by a tree of the strongest dependences among them (Chow and Liu), which of them say
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,73 +26,137 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import bounded_rows, cut
+from ..session import bounded_rows, cut, sized_broadcast
 from .addresses import _place, gazetteer, location_candidates, read_places, reading, with_towns, zip_towns
 from .names import compare, letters, name_words, trades_agree
-from .places import APART, SAME, Place, address_cost, swap
-from .textkit import distance, fold, words
+from .places import APART, DIRECTIONS, SAME, aligned, street_bands, street_type
+from .textkit import bags, distances, fold, words
 
 VOTES = ("core", "trade", "spelling", "letters", "chain", "website", "category", "address", "street", "direction", "kind", "unit", "postcode")
 #: What the functions vote on: the same business, the same location.
 FACETS = (tuple(range(7)), tuple(range(7, 13)))
 #: Most vote patterns: three values for each function.
 PATTERNS = 3 ** len(VOTES)  # 1.6 million; some thousands occur
+#: Pairs and records that a town and number may have to be compared by one worker; those beyond go by joins of bands.
+BLOCK_PAIRS, BLOCK_ROWS = 250_000, 20_000
+#: Pairs whose bands are compared at once.
+PAIRS_AT_ONCE = 100_000
+#: Postcodes of five digits.
+ZIPS = 100_000
 NAME_BANDS = 28
 _RNG = np.random.default_rng(20_140_507)
 _A = _RNG.integers(1, 2**31 - 1, NAME_BANDS, dtype=np.int64) | 1
 _B = _RNG.integers(0, 2**31 - 1, NAME_BANDS, dtype=np.int64)
 
 
+@lru_cache(maxsize=20_000)
+def _hashed(gram: str) -> np.ndarray:
+    return (zlib.crc32(gram.encode()) * _A + _B) % ((1 << 61) - 1) % ((1 << 31) - 1)
+
+
 @lru_cache(maxsize=100_000)
 def name_bands(name: str) -> tuple[int, ...]:
     """MinHash of the 2-grams of the words of a name, one hash per band."""
     grams = {f" {w}"[i : i + 2] for w in name_words(name) for i in range(len(w))} or {""}
-    codes = np.array([zlib.crc32(g.encode()) for g in sorted(grams)], dtype=np.int64)
-    mixed = (codes[:, None] * _A[None, :] + _B[None, :]) % ((1 << 61) - 1) % ((1 << 31) - 1)
-    return tuple(int(x) for x in mixed.min(axis=0))
+    return tuple(np.minimum.reduce([_hashed(g) for g in grams]).tolist())
 
 
-def _agree(a: str, b: str) -> int:
-    return 0 if not a or not b else 1 if a == b else -1
+@lru_cache(maxsize=200_000)
+def _joined(name: str) -> str:
+    return "".join(name_words(name))
 
 
-def _part(role: str, a: str, b: str) -> int:
-    return 0 if not a or not b else 1 if swap(role, a, b) < APART else -1
+def _telling(name: str, chain: str, trades: tuple[str, ...]) -> int:
+    return compare(name, chain, trades)[0] if chain else 0
 
 
-@lru_cache(maxsize=200_000)
-def address_votes(p: Place, q: Place) -> tuple[int, ...]:
-    """address, street, direction, kind, unit."""
-    cost = address_cost(p, q)
-    street = swap("street", p.street.replace(" ", ""), q.street.replace(" ", ""))
-    return 1 if cost <= SAME else -1, 1 if street == 0 else 0 if street <= SAME else -1, _part("direction", p.direction, q.direction), _part("kind", p.kind, q.kind), _part("unit", p.unit, q.unit)
+def _hosted(name: str, site: str) -> int:
+    host = "".join(words(fold(site).split("//")[-1].removeprefix("www."))) if site else ""
+    ws = name_words(name)
+    return 0 if not host or not ws else 1 if ws[0][:5] in host else -1
 
 
-@lru_cache(maxsize=200_000)
-def name_votes(name_a: str, name_b: str, trades: tuple[str, ...]) -> tuple[int, ...]:
-    """core, trade, spelling, letters."""
-    core, trade = compare(name_a, name_b, trades)
-    sa, sb = "".join(name_words(name_a)), "".join(name_words(name_b))
-    wide = max(len(sa), len(sb), 1)
-    apart = distance(sa, sb, wide * 0.6) / wide
-    shared = letters(sa, sb)
-    return core, trade, 1 if apart <= 0.2 else -1 if apart > 0.5 else 0, 1 if shared >= 0.75 else -1 if shared < 0.5 else 0
-
-
-def vote(loc_a: str, name_a: str, zip_a: str, loc_b: str, name_b: str, zip_b: str, chain: str, site: str, category: str, trades: tuple[str, ...] = ()) -> tuple[int, ...]:
-    """The votes of all functions on one candidate."""
-    host = "".join(words(fold(site).split("//")[-1].removeprefix("www."))) if site else ""
-    ws = name_words(name_a)
-    label = "".join(words(fold(category))) if category else ""
-    rest = "".join(ws[1:])
-    return (
-        *name_votes(name_a, name_b, trades),
-        compare(name_a, chain, trades)[0] if chain else 0,
-        0 if not host or not ws else 1 if ws[0][:5] in host else -1,
-        0 if label not in trades or not rest else 1 if trades_agree(rest, label, trades) else -1,
-        *address_votes(_place(loc_a), _place(loc_b)),
-        _agree(zip_a, zip_b),
-    )
+def _labelled(name: str, category: str, trades: tuple[str, ...]) -> int:
+    label, rest = "".join(words(fold(category))) if category else "", "".join(name_words(name)[1:])
+    return 0 if label not in trades or not rest else 1 if trades_agree(rest, label, trades) else -1
+
+
+def name_votes(names: list[tuple[str, str]], trades: tuple[str, ...]) -> list[tuple[int, ...]]:
+    """core, trade, spelling, letters of pairs of names."""
+    pairs = [(_joined(a), _joined(b)) for a, b in names]
+    apart = distances(pairs) / np.array([max(len(a), len(b), 1) for a, b in pairs])
+    spelt = np.where(apart <= 0.2, 1, np.where(apart > 0.5, -1, 0)).tolist()
+    shared = [letters(a, b) for a, b in pairs]
+    return [(*compare(a, b, trades), v, 1 if s >= 0.75 else -1 if s < 0.5 else 0) for (a, b), v, s in zip(names, spelt, shared)]
+
+
+def _street_votes(streets: list[tuple[str, str]]) -> list[tuple[int, int]]:
+    """street, and whether the whole addresses may be the same: streets of one word must stand for each other."""
+    pairs = [(a.replace(" ", ""), b.replace(" ", "")) for a, b in streets]
+    out = []
+    for (a, b), (x, y), cost in zip(streets, pairs, distances(pairs).tolist()):
+        longer = max(len(x), len(y))
+        cost = 0.0 if x == y else cost * max(1.0, 6.0 / longer) if longer >= 4 and cost <= SAME else APART  # swap()
+        out.append((1 if cost == 0 else 0 if cost <= SAME else -1, int(cost < APART or " " in a or " " in b)))
+    return out
+
+
+class Records:
+    """The columns loc, name, zip5, chain, site and category of a frame, every value of a column told once."""
+
+    def __init__(self, f: pd.DataFrame):
+        self.loc, self.name, self.zip5, self.chain, self.site, self.category = (pd.factorize(f[c]) for c in ("loc", "name", "zip5", "chain", "site", "category"))
+        places = [_place(x) for x in self.loc[1]]
+        streets, self.streets = pd.factorize(np.array([p.street for p in places], dtype=object))
+        self.street = streets[self.loc[0]]
+        glued = [x.replace(" ", "") for x in self.streets]
+        self.length = np.array([len(x) for x in glued])
+        self.bags = bags(glued)
+        forms = ([DIRECTIONS.get(p.direction, p.direction) for p in places], [p.kind and f"{street_type(p.kind)}." for p in places], [p.unit for p in places])
+        self.number = self._numbers([p.number for p in places])[self.loc[0]]
+        # direction, kind, unit and postcode as numbers, 0 where they are not given
+        self.parts = [self._numbers(x)[self.loc[0]] for x in forms] + [self._numbers(self.zip5[1])[self.zip5[0]]]
+
+    @staticmethod
+    def _numbers(values) -> np.ndarray:
+        known = {"": 0}
+        return np.array([known.setdefault(v, len(known)) for v in values], dtype=np.int64)
+
+    def votes(self, i: np.ndarray, j: np.ndarray, trades: tuple[str, ...]) -> np.ndarray:
+        """The votes of all functions on the pairs of a store at i and a merchant at j."""
+        pairs = lambda tell: lambda x: [(tell(a, b),) for a, b in x]
+        name = [
+            _told(self.name, i, self.name, j, lambda x: name_votes(x, trades), 4),
+            _told(self.name, i, self.chain, j, pairs(lambda a, b: _telling(a, b, trades)), 1),
+            _told(self.name, i, self.site, j, pairs(_hosted), 1),
+            _told(self.name, i, self.category, j, pairs(lambda a, b: _labelled(a, b, trades)), 1),
+        ]
+        parts = [np.where((x[i] == 0) | (x[j] == 0), 0, np.where(x[i] == x[j], 1, -1)) for x in self.parts]
+        # street, and whether the address may be the same
+        street, address = np.full((2, len(i)), -1, dtype=np.int64)
+        # streets that differ by so many letters are far apart, however their words are aligned
+        more = self.bags[self.street[i]] - self.bags[self.street[j]]
+        ahead = np.maximum(more, 0).sum(axis=1)
+        near = np.maximum(ahead, ahead - more.sum(axis=1)) * 0.6 <= SAME + 1e-6
+        coded = (self.street, self.streets)
+        street[near], possible = _told(coded, i[near], coded, j[near], _street_votes, 2).T
+        near[near] = possible == 1
+        # parts left out or shortened cost less than SAME together
+        plain = near & (self.street[i] == self.street[j]) & (self.number[i] == self.number[j])
+        address[plain & (np.min(parts[:3], axis=0) >= 0)] = 1
+        near &= ~plain
+        address[near] = _told(self.loc, i[near], self.loc, j[near], lambda x: [(1 if aligned(_place(a), _place(b)) else -1,) for a, b in x], 1)[:, 0]
+        return np.column_stack([*name, address, street, *parts])
+
+
+def _told(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, tell, wide: int) -> np.ndarray:
+    """What `tell` says on the pairs of values of two coded columns, each pair asked once."""
+    if not len(i):
+        return np.zeros((0, wide), dtype=np.int64)
+    many = len(b[1])
+    asked, place = np.unique(a[0][i].astype(np.int64) * many + b[0][j], return_inverse=True)
+    said = tell([(a[1][x], b[1][y]) for x, y in zip((asked // many).tolist(), (asked % many).tolist())])
+    return np.array(said, dtype=np.int64).reshape(-1, wide)[place]
 
 
 class LabelModel:
@@ -226,13 +293,11 @@ def _plain_names(names: pd.Series, towns: frozenset[str]) -> list[str | None]:
 def _prepare(df: DataFrame, key: str, name: str, columns: tuple[str, str, str, str], entries, keep: tuple[str, ...] = ()) -> DataFrame:
     shortened = {k for e in entries for k in (e.name,)}
 
-    def plain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def plain(rows: pd.DataFrame) -> pd.DataFrame:
         towns = frozenset("".join(words(fold(t))) for t in shortened)
-        for f in frames:
-            yield f.assign(_keep0=_plain_names(f["_keep0"], towns))
+        return rows.assign(_keep0=_plain_names(rows["_keep0"], towns))
 
-    read = read_places(df, key, *columns, entries, keep=(name, *keep))
-    return cut(read.mapInPandas(plain, read.schema))
+    return cut(read_places(df, key, *columns, entries, keep=(name, *keep), tidy=plain))
 
 
 def link(
@@ -268,25 +333,56 @@ def link(
 
 
 def ballots(stores: DataFrame, merchants: DataFrame, cities: DataFrame, store_key: str, store_name: str, store_place: tuple, merchant_key: str, merchant_name: str, merchant_place: tuple, chain: str, website: str, category: str, updated: str) -> DataFrame:
-    """(store_key, merchant_key, votes) of every candidate."""
+    """(store_key, merchant_key, votes) of every candidate; its votes are one number (encoded())."""
     entries = gazetteer(cities)
     more = (chain, website, category)
     merchants = merchants.withColumns({c: F.lit(None).cast("string") for c in more if c not in merchants.columns})
     newest = merchants.groupBy(F.col(merchant_key).alias("_mk")).agg(F.max_by(F.struct(*[F.col(c) for c in dict.fromkeys((merchant_name, *merchant_place, *more))]), F.struct(F.coalesce(F.col(updated).cast("timestamp"), F.timestamp_micros(F.lit(0))), F.col(merchant_name))).alias("_m")).filter("_mk is not null").select("_mk", "_m.*")
     s = _prepare(stores, store_key, store_name, store_place, entries)
     m = _prepare(newest, "_mk", merchant_name, merchant_place, entries, keep=more)
-    by_zip = cut(zip_towns(s.select("zip5", "town").union(m.select("zip5", "town"))))
-    base = lambda x, *cols: with_towns(x, by_zip).filter("town <> '' and number <> '' and street <> '' and trim(_keep0) <> ''").select("_k", reading().alias("loc"), F.col("_keep0").alias("name"), "zip5", *cols)
-    s = cut(base(s).distinct())
-    m = cut(base(m, *[F.coalesce(f"_keep{i}", F.lit("")).alias(n) for i, n in enumerate(("chain", "site", "category"), 1)]))
+    by_zip = sized_broadcast(cut(zip_towns(s.select("zip5", "town").union(m.select("zip5", "town")))), ZIPS)
+    base = lambda x, *cols: with_towns(x, by_zip).filter("town <> '' and number <> '' and street <> '' and trim(_keep0) <> ''").select("_k", F.xxhash64("town", "number").alias("block"), reading().alias("loc"), F.col("_keep0").alias("name"), "zip5", *cols)
+    s = base(s)
+    m = base(m, *[F.coalesce(f"_keep{i}", F.lit("")).alias(n) for i, n in enumerate(("chain", "site", "category"), 1)])
     trades = common_trades(m)
-    near = candidates(s, m)
+    kinds = f"_sk {dict(s.dtypes)['_k']}, _mk {dict(m.dtypes)['_k']}, votes bigint"
+    named = lambda x: x.select(F.col("_sk").alias(store_key), F.col("_mk").alias(merchant_key), "votes")
+    heavy = heavy_blocks(s, m)
+    if heavy.isEmpty():
+        return named(_by_blocks(s, m).mapInPandas(_voting_on_blocks(trades), kinds))
+    heavy = sized_broadcast(heavy)
+    light = [x.join(heavy, "block", "left_anti") for x in (s, m)]
+    s, m = cut(s.join(heavy, "block", "left_semi").distinct()), cut(m.join(heavy, "block", "left_semi"))
     # postcode, chain and website belong to the records
     stores_in = s.select(F.col("loc").alias("la"), F.col("name").alias("na"), F.col("zip5").alias("za"), F.col("_k").alias("_sk"))
     merchants_in = m.select(F.col("loc").alias("lb"), F.col("name").alias("nb"), F.col("zip5").alias("zb"), "chain", "site", "category", F.col("_k").alias("_mk"))
-    wide = near.join(stores_in, ["la", "na"]).join(merchants_in, ["lb", "nb"])
-    voted = wide.mapInPandas(_voting(trades), f"_sk {dict(s.dtypes)['_k']}, _mk {dict(m.dtypes)['_k']}, votes array<tinyint>")
-    return voted.select(F.col("_sk").alias(store_key), F.col("_mk").alias(merchant_key), "votes")
+    wide = candidates(s, m).join(stores_in, ["la", "na"]).join(merchants_in, ["lb", "nb"])
+    return named(_by_blocks(*light).mapInPandas(_voting_on_blocks(trades), kinds).union(wide.mapInPandas(_voting(trades), kinds)))
+
+
+def heavy_blocks(s: DataFrame, m: DataFrame) -> DataFrame:
+    """(block) of the towns and numbers with more records, or pairs of them, than one worker compares."""
+    sides = s.select("block", F.lit(1).alias("a"), F.lit(0).alias("b")).union(m.select("block", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    counted = sides.groupBy("block").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return cut(counted.filter((F.col("a") * F.col("b") > BLOCK_PAIRS) | (F.col("a") + F.col("b") > BLOCK_ROWS)).select("block"))
+
+
+def _by_blocks(s: DataFrame, m: DataFrame) -> DataFrame:
+    """The records of both sides, those of a block one after the other, stores first."""
+    none = lambda x: F.lit(0 if isinstance(x.schema["_k"].dataType, T.NumericType) else None).cast(x.schema["_k"].dataType)  # noqa: E731  # a NULL would make floats of whole numbers
+    more = ("chain", "site", "category")
+    both = s.select("block", F.lit(0).alias("side"), F.col("_k").alias("_sk"), none(m).alias("_mk"), "loc", "name", "zip5", *[F.lit("").alias(c) for c in more])
+    both = both.unionByName(m.select("block", F.lit(1).alias("side"), none(s).alias("_sk"), F.col("_k").alias("_mk"), "loc", "name", "zip5", *more))
+    return both.repartition("block").sortWithinPartitions("block", "side")
+
+
+def encoded(votes: np.ndarray) -> np.ndarray:
+    """A pattern of votes as one number."""
+    return (votes + 1) @ 3 ** np.arange(len(VOTES), dtype=np.int64)
+
+
+def decoded(codes: np.ndarray) -> np.ndarray:
+    return codes[:, None] // 3 ** np.arange(len(VOTES), dtype=np.int64) % 3 - 1
 
 
 def beliefs(voted: DataFrame) -> DataFrame:
@@ -294,33 +390,94 @@ def beliefs(voted: DataFrame) -> DataFrame:
     counts = bounded_rows(voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), PATTERNS, "the vote patterns")
     belief = []
     if counts:
-        patterns = np.array([r.votes for r in counts], dtype=int)
+        codes = np.array([r.votes for r in counts], dtype=np.int64)
+        patterns = decoded(codes)
         posterior = LabelModel(FACETS).fit(patterns, np.array([r.n for r in counts])).posterior(patterns)
-        belief = [([int(v) for v in p], float(q)) for p, q in zip(patterns, posterior)]
-    return voted.sparkSession.createDataFrame(belief, "votes array<tinyint>, confidence double")
+        belief = [(int(c), float(q)) for c, q in zip(codes, posterior)]
+    return voted.sparkSession.createDataFrame(belief, "votes bigint, confidence double")
 
 
 def common_trades(merchants: DataFrame, share: float = 0.002) -> tuple[str, ...]:
     """The endings of one or two words that at least `share` of all names have: at most 2 / share."""
-    tails = F.pandas_udf(_tails, T.ArrayType(T.StringType()))
-    counts = merchants.select(F.explode(tails(F.coalesce("name", F.lit("")))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    rows = merchants.agg(F.count(F.lit(1)).alias("n")).scalar()
-    found = bounded_rows(counts.filter(F.col("n") >= rows * F.lit(share)).select("t"), int(2 / share) + 1, "the common endings of names")
+    counts = cut(merchants.select(F.coalesce("name", F.lit("")).alias("name")).mapInPandas(_tails, "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n")))
+    rows = counts.filter("t = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+    found = bounded_rows(counts.filter((F.col("n") >= rows * F.lit(share)) & (F.col("t") != "")).select("t"), int(2 / share) + 1, "the common endings of names")
     return tuple(sorted((r.t for r in found if len(r.t) >= 4), key=lambda t: (-len(t), t)))
 
 
-def _tails(names: pd.Series) -> pd.Series:
-    out = []
-    for name in names:
-        ws = name_words(name)
-        out.append([t for t in ("".join(ws[-1:]) if len(ws) > 1 else "", "".join(ws[-2:]) if len(ws) > 2 else "") if t])
-    return pd.Series(out)
+def _tails(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(t, n): the endings of names, counted within a batch, and as '' all names."""
+    for f in frames:
+        counted = Counter({"": len(f)})
+        for name in f["name"]:
+            ws = name_words(name)
+            counted.update(t for t in ("".join(ws[-1:]) if len(ws) > 1 else "", "".join(ws[-2:]) if len(ws) > 2 else "") if t)
+        yield pd.DataFrame({"t": list(counted), "n": np.array(list(counted.values()), dtype=np.int64)})
 
 
 def _voting(trades: tuple[str, ...]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            votes = [list(vote(*row, trades)) for row in zip(f["la"], f["na"], f["za"], f["lb"], f["nb"], f["zb"], f["chain"], f["site"], f["category"])]
-            yield pd.DataFrame({"_sk": f["_sk"], "_mk": f["_mk"], "votes": votes})
+            stores = f[["la", "na", "za"]].set_axis(["loc", "name", "zip5"], axis=1).assign(chain="", site="", category="")
+            merchants = f[["lb", "nb", "zb", "chain", "site", "category"]].set_axis(stores.columns, axis=1)
+            place = np.arange(len(f))
+            votes = Records(pd.concat([stores, merchants], ignore_index=True)).votes(place, place + len(f), trades)
+            yield pd.DataFrame({"_sk": f["_sk"], "_mk": f["_mk"], "votes": encoded(votes)})
+
+    return run
+
+
+def _whole_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of sorted batches, so that no block is parted."""
+    held: list[pd.DataFrame] = []
+    for f in frames:
+        if not len(f):
+            continue
+        blocks = f["block"].to_numpy()
+        last = int(np.flatnonzero(blocks != blocks[-1])[-1]) + 1 if blocks[0] != blocks[-1] else 0
+        if last or (held and held[-1]["block"].iloc[-1] != blocks[0]):
+            yield pd.concat([*held, f.iloc[:last]], ignore_index=True)
+            held = []
+        held.append(f.iloc[last:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _pairs(blocks: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of a store and a merchant of one block, some at a time. Rows are sorted by block and side."""
+    n = len(blocks)
+    starts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
+    ends = np.append(starts[1:], n)
+    middle = starts + np.add.reduceat((side == 0).astype(np.int64), starts)
+    of = np.repeat(np.arange(len(starts)), ends - starts)
+    stores = np.flatnonzero(side == 0)
+    first, many = middle[of[stores]], (ends - middle)[of[stores]]
+    stores, first, many = (x[many > 0] for x in (stores, first, many))
+    total = np.cumsum(many)
+    at = 0
+    while at < len(stores):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+        size = many[at:to]
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        yield np.repeat(stores[at:to], size), np.repeat(first[at:to], size) + within
+        at = to
+
+
+def _voting_on_blocks(trades: tuple[str, ...]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in _whole_blocks(frames):
+            f = f[(f["side"] == 1) | ~f.duplicated(["side", "_sk", "loc", "name", "zip5"])]  # repeated store rows
+            side, blocks = f["side"].to_numpy(), f["block"].to_numpy()
+            told = Records(f)
+            street_band, name_band = (np.array([of(x) for x in values], dtype=np.int32) for of, values in ((street_bands, told.streets), (name_bands, told.name[1])))
+            sk, mk = f["_sk"].to_numpy(), f["_mk"].to_numpy()
+            for i, j in _pairs(blocks, side):
+                near = np.abs(told.length[told.street[i]] - told.length[told.street[j]]) * 0.6 <= SAME
+                for of, band in ((told.street, street_band), (told.name[0], name_band)):
+                    i, j = i[near], j[near]
+                    near = (of[i] == of[j]) | (band[of[i]] == band[of[j]]).any(axis=1)
+                i, j = i[near], j[near]
+                votes = told.votes(i, j, trades)
+                yield pd.DataFrame({"_sk": pd.Series(sk[i], dtype=f["_sk"].dtype), "_mk": pd.Series(mk[j], dtype=f["_mk"].dtype), "votes": encoded(votes)})
 
     return run

@@ -41,6 +41,8 @@ UNITS = frozenset(("suite", "ste", "unit", "apt", "apartment", "spc", "space", "
 CENTERS = frozenset(("plaza", "commons", "crossing", "center", "centre", "mall", "square", "shopping"))
 BANDS = 32
 _TOKEN = re.compile(r"#?\s*[a-z0-9]+")
+_PARTING, _UNIT, _MARKED, _NUMBER, _LEADING = (re.compile(p) for p in (r"[,;()]|\s-+\s", r"#?[a-z]?\d+[a-z]?|#[a-z]", r"#?\d+[a-z]?", r"\d+[a-z]?", r"#\s*\d"))
+_ZIP = re.compile(r"\s*(\d{1,5})(?:\.0*)?(?:-\d+)?\s*$")
 _RNG = np.random.default_rng(20_130_101)
 _A = _RNG.integers(1, 2**31 - 1, BANDS, dtype=np.int64) | 1
 _B = _RNG.integers(0, 2**31 - 1, BANDS, dtype=np.int64)
@@ -62,7 +64,7 @@ class Place:
 
 def zip5(text: str | None) -> str:
     """The first five digits of a postcode; a lost leading zero is put back."""
-    m = re.match(r"\s*(\d{1,5})(?:\.0*)?(?:-\d+)?\s*$", text or "")
+    m = _ZIP.match(text or "")
     return m.group(1).zfill(5) if m and len(m.group(1)) >= 3 else ""
 
 
@@ -108,7 +110,7 @@ def town_key(city: str, state: str, towns: Towns) -> str:
 def read_place(address: str | None, city: str | None, state: str | None, postcode: str | None, towns: Towns) -> Place:
     state = (state or "").strip().lower()
     text = fold(address or "").replace("'", "")
-    segments = [[t.replace(" ", "") for t in _TOKEN.findall(part)] for part in re.split(r"[,;()]|\s-+\s", text)]
+    segments = [[t.replace(" ", "") for t in _TOKEN.findall(part)] for part in _PARTING.split(text)]
     segments = [s for s in segments if s]
     number = unit = ""
     spare = ""
@@ -121,11 +123,11 @@ def read_place(address: str | None, city: str | None, state: str | None, postcod
         while i < len(seg):
             t = seg[i]
             after = seg[i + 1] if i + 1 < len(seg) else ""
-            if t in UNITS and after and (after.lstrip("#").isdigit() or re.fullmatch(r"#?[a-z]?\d+[a-z]?|#[a-z]", after)):
+            if t in UNITS and after and (after.lstrip("#").isdigit() or _UNIT.fullmatch(after)):
                 unit = after.lstrip("#").lstrip("0")
                 i += 2
                 continue
-            if t in ("no", "num", "nr") and re.fullmatch(r"#?\d+[a-z]?", after):
+            if t in ("no", "num", "nr") and _MARKED.fullmatch(after):
                 if number:
                     unit = unit or after.lstrip("#0")
                 else:
@@ -134,7 +136,7 @@ def read_place(address: str | None, city: str | None, state: str | None, postcod
                 continue
             if t.startswith("#"):
                 spare, unit = (t[1:].lstrip("0"), unit) if unit else ("", t[1:].lstrip("0"))
-            elif re.fullmatch(r"\d+[a-z]?", t):
+            elif _NUMBER.fullmatch(t):
                 if not number and not (len(t) == 5 and kept and kept[-1] in towns.states and i == len(seg) - 1):
                     number = t.lstrip("0")
                 elif len(t) == 5 or kept:
@@ -149,7 +151,7 @@ def read_place(address: str | None, city: str | None, state: str | None, postcod
             rest.append(kept)
     if not number and unit and spare:
         number = spare
-    elif not number and unit and any(re.match(r"#\s*\d", p) for p in [text.strip()]):
+    elif not number and unit and _LEADING.match(text.strip()):
         number, unit = unit, ""
     direction = kind = ""
     street: list[str] = []
@@ -205,6 +207,11 @@ def read_place(address: str | None, city: str | None, state: str | None, postcod
     return Place(number, direction, " ".join(street), kind, unit, town, code)
 
 
+@lru_cache(maxsize=20_000)
+def _hashed(gram: str) -> np.ndarray:
+    return (zlib.crc32(gram.encode()) * _A + _B) % ((1 << 61) - 1) % ((1 << 31) - 1)
+
+
 @lru_cache(maxsize=100_000)
 def street_bands(street: str) -> tuple[int, ...]:
     """MinHash of the shingles of a street, one hash per band: its tokens, and of its letters run together the
@@ -214,9 +221,7 @@ def street_bands(street: str) -> tuple[int, ...]:
     whole = street.replace(" ", "")
     padded = f"^{whole}$"
     grams = {padded[i : i + 2] for i in range(len(padded) - 1)} | {f"{padded[i]}_{padded[i + 2]}" for i in range(len(padded) - 2)}
-    codes = np.array([zlib.crc32(s.encode()) for s in sorted({*street.split(), *grams, *whole})], dtype=np.int64)
-    mixed = (codes[:, None] * _A[None, :] + _B[None, :]) % ((1 << 61) - 1) % ((1 << 31) - 1)
-    return tuple(int(x) for x in mixed.min(axis=0))
+    return tuple(np.minimum.reduce([_hashed(s) for s in {*street.split(), *grams, *whole}]).tolist())
 
 
 #: Costs of the alignment of two addresses token by token: opening and lengthening a gap over parts that may
@@ -292,5 +297,16 @@ def address_cost(a: Place, b: Place) -> float:
     return alignment(tokens_of(a), tokens_of(b))
 
 
+def aligned(a: Place, b: Place) -> bool:
+    """Whether address_cost() is at most SAME; it is told without an alignment for equal streets of one number, as parts left
+    out or shortened cost less than that together, and for streets of one word that cannot stand for each other."""
+    if a.number == b.number and a.number:
+        if a.street == b.street:
+            return not any(x and y and swap(role, x, y) >= APART for role, x, y in (("unit", a.unit, b.unit), ("kind", a.kind, b.kind), ("direction", a.direction, b.direction)))
+        if a.street and b.street and " " not in a.street and " " not in b.street and swap("street", a.street, b.street) >= APART:
+            return False
+    return address_cost(a, b) <= SAME
+
+
 def same_location(a: Place, b: Place) -> bool:
-    return bool(a.town) and a.town == b.town and bool(a.number) and address_cost(a, b) <= SAME
+    return bool(a.town) and a.town == b.town and bool(a.number) and aligned(a, b)

@@ -161,3 +161,70 @@ def test_the_model_decides(spark, monkeypatch):
     with_model = links()
     monkeypatch.setattr(linkage.LabelModel, "posterior", lambda self, patterns: (patterns.mean(axis=1) > 0.2).astype(float))
     assert len(with_model) > 500 and links() != with_model
+
+
+def test_records_of_one_number_are_compared_without_joins_of_bands(spark, monkeypatch):
+    """Only towns and numbers of very many records are tables of bands; both ways give the same rows, also
+    where only some are, and repeated store rows count once."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.llm import linkage
+
+    folder = "/root/testdata/sf0.001"
+    stores, merchants, cities = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("store_numbers", "merchants", "city_ref"))
+    stores = stores.union(stores.limit(20)).withColumn("store_row", F.col("store_row") + (1 << 60))
+    links = lambda: {tuple(r) for r in linkage.link(stores, merchants, cities).collect()}
+    asked, by_bands = [], linkage.candidates
+    monkeypatch.setattr(linkage, "candidates", lambda *sides: asked.append(1) or by_bands(*sides))
+    together = links()
+    assert len(together) > 30 and not asked and min(r[0] for r in together) > 1 << 60
+    for most in (0, 1):
+        monkeypatch.setattr(linkage, "BLOCK_PAIRS", most)
+        assert links() == together and len(asked) == most + 1
+
+
+def test_pairs_of_blocks_whole():
+    from ledgerloom.llm import linkage
+
+    rows = [(b, s) for b, (n, m) in enumerate([(2, 3), (0, 4), (3, 0), (1, 1), (40, 30)]) for s in [0] * n + [1] * m]
+    blocks, side = (np.array(x) for x in zip(*rows))
+    want = {(i, j) for i, (b, s) in enumerate(rows) for j, (c, t) in enumerate(rows) if b == c and s < t}
+    got = [(int(i), int(j)) for x, y in linkage._pairs(blocks, side) for i, j in zip(x, y)]
+    assert set(got) == want and len(got) == len(want)
+    frame = linkage.pd.DataFrame({"block": blocks, "n": range(len(blocks))})
+    for size in (1, 3, 50):
+        whole = list(linkage._whole_blocks(iter([frame.iloc[k : k + size] for k in range(0, len(frame), size)])))
+        assert [n for f in whole for n in f["n"]] == list(range(len(rows)))
+        assert all(not set(f["block"]) & set(g["block"]) for f, g in itertools.combinations(whole, 2))
+
+
+def test_votes_of_many_pairs_are_those_of_each(spark):
+    from ledgerloom.llm import linkage, places
+    from ledgerloom.llm.addresses import _place, located_rows
+
+    stores, cities = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("store_numbers", "city_ref"))
+    told = [(r.loc, _place(r.loc)) for r in located_rows(stores, cities).limit(60).collect()]
+    told += [(f"t:1|5|{d}|{s}|{k}|{u}", _place(f"t:1|5|{d}|{s}|{k}|{u}")) for d, s, k, u in (("n", "wind stoot", "rd", ""), ("north", "windstoot", "road", "4"), ("s", "windstoot", "rd", ""), ("", "windstott", "ave", "5"), ("", "martin luther king", "", ""), ("", "martin king", "", "5"))]
+    frame = linkage.pd.DataFrame({"loc": [x for x, _ in told], "name": "a", "zip5": "", "chain": "", "site": "", "category": ""})
+    i, j = (x.ravel() for x in np.meshgrid(range(len(told)), range(len(told))))
+    got = linkage.Records(frame).votes(i, j, ())
+    for a, b, votes in zip(i, j, got.tolist()):
+        p, q = told[a][1], told[b][1]
+        part = lambda role: 0 if not getattr(p, role) or not getattr(q, role) else 1 if places.swap(role, getattr(p, role), getattr(q, role)) < places.APART else -1  # noqa: E731, B023
+        street = places.swap("street", p.street.replace(" ", ""), q.street.replace(" ", ""))
+        assert votes[7:12] == [1 if places.address_cost(p, q) <= places.SAME else -1, 1 if street == 0 else 0 if street <= places.SAME else -1, part("direction"), part("kind"), part("unit")]
+    assert (linkage.decoded(linkage.encoded(got)) == got).all()
+
+
+def test_distances_of_many_pairs_are_those_of_each():
+    from ledgerloom.llm.textkit import bags, distance, distances
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("aeo0l1is5bé"), size=n)) for n in rng.integers(0, 9, 400)]
+    pairs = list(zip(texts, texts[1:] + texts[:1])) + [(t, t[1:2] + t[:1] + t[2:]) for t in texts]
+    full, bag = distances(pairs), bags([t for p in pairs for t in p])
+    more = bag[::2] - bag[1::2]
+    assert (np.maximum(more, 0).sum(axis=1) * 0.6 <= full + 1e-9).all()
+    for most in (0.8, 2.0, 2.9, 99.0):
+        near = [distance(a, b, most) for a, b in pairs]
+        assert all(f == n if min(f, n) <= most else n > most for f, n in zip(full.tolist(), near))
