@@ -16,6 +16,7 @@ where they are given. Where none says anything the postcode itself stands for th
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,6 +37,12 @@ def gazetteer(cities: DataFrame, ident: str = "city_id", name: str = "canonical_
     return sorted((Entry(int(r.i), r.n, r.s) for r in rows), key=lambda e: e.ref_id)
 
 
+@lru_cache(maxsize=1)
+def _towns(entries: tuple[Entry, ...]) -> Towns:
+    """The dictionary of the gazetteer with the towns found so far, which a worker keeps from task to task."""
+    return Towns(list(entries))
+
+
 def read_places(df: DataFrame, key: str, address: str, city: str, state: str, postcode: str, entries: list[Entry], keep: tuple[str, ...] = (), tidy: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
     """(_k, number, direction, street, kind, unit, town, zip5, _keep0...) of every record. town is
     '' where only the postcode may tell it. `tidy` is applied to the rows in the same pass."""
@@ -46,7 +53,7 @@ def read_places(df: DataFrame, key: str, address: str, city: str, state: str, po
     schema = f"`_k` {kinds[key]}, " + ", ".join(f"{n} string" for n in names) + "".join(f", {n} {kinds[c]}" for n, c in zip(kept, keep))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        towns = Towns(entries)
+        towns = _towns(tuple(entries))
         for frame in frames:
             got = [read_place(a, c, s, z, towns) for a, c, s, z in zip(*(frame[x].where(frame[x].notna(), None) for x in ("_a", "_c", "_s", "_z")))]
             out = pd.DataFrame([(p.number, p.direction, p.street, p.kind, p.unit, p.town, p.zip5) for p in got], columns=names, index=frame.index)
@@ -60,7 +67,7 @@ def told_towns(df: DataFrame, city: str, state: str, postcode: str, entries: lis
     """(zip5, town) of the records of a further table that give both, read from their distinct values."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        towns = Towns(entries)
+        towns = _towns(tuple(entries))
         for f in frames:
             told = [(zip5(z), town_key(c, (s or "").strip().lower(), towns) if c else "", n) for c, s, z, n in zip(*(f[x].where(f[x].notna(), None) for x in ("_c", "_s", "_z")), f["_n"])]
             yield pd.DataFrame(told, columns=["zip5", "town", "n"])

@@ -291,10 +291,9 @@ def _plain_names(names: pd.Series, towns: frozenset[str]) -> list[str | None]:
 
 
 def _prepare(df: DataFrame, key: str, name: str, columns: tuple[str, str, str, str], entries, keep: tuple[str, ...] = ()) -> DataFrame:
-    shortened = {k for e in entries for k in (e.name,)}
+    towns = frozenset("".join(words(fold(e.name))) for e in entries)
 
     def plain(rows: pd.DataFrame) -> pd.DataFrame:
-        towns = frozenset("".join(words(fold(t))) for t in shortened)
         return rows.assign(_keep0=_plain_names(rows["_keep0"], towns))
 
     return cut(read_places(df, key, *columns, entries, keep=(name, *keep), tidy=plain))
