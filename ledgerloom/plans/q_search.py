@@ -1,6 +1,6 @@
 """Queries of search, enrichment, relinking and store merging. Search queries take every transaction
-whose id is divisible by 50 (store_match every store row likewise) against the whole directory; merging
-takes all store rows."""
+whose id is divisible by 50 (store_match every store row likewise) against the whole directory; enrichment
+takes all transactions and merging all store rows."""
 
 from __future__ import annotations
 
@@ -128,8 +128,8 @@ def locate_city(s, d):
 
 @query()
 def enriched_transactions(s, d):
-    t = table(s, d, LT).filter("transaction_id % 50 = 0").groupBy("transaction_id").agg(F.min("description_unmasked").alias("description"))
-    return enrich.find_merchants(t.filter("description is not null"), "transaction_id", "description", _directory(s, d), table(s, d, "city_ref"), least_gap=0.5)
+    t = table(s, d, LT).groupBy("transaction_id").agg(F.min("description_unmasked").alias("description"))
+    return enrich.find_merchants(t, "transaction_id", "description", _directory(s, d), table(s, d, "city_ref"), least_gap=0.5)
 
 
 def _assembled(s, d):

@@ -331,6 +331,13 @@ def test_shaped_output_searches_once(spark, sf):
     assert "parquet" not in plan and shaped.count() == shaped.select("transaction_id").distinct().count() > 0
 
 
+def test_debug_shape_has_every_transaction(spark, sf):
+    """One record for each transaction of the table, those without a description unlabelled."""
+    ids = [r.transaction_id for r in q_search.debug_shape(spark, sf).select("transaction_id").collect()]
+    table = spark.read.parquet(f"{sf}/labeled_transactions.parquet").select("transaction_id").distinct()
+    assert sorted(ids) == sorted(r.transaction_id for r in table.collect())
+
+
 def test_model_reaches_held_out_accuracy(spark):
     rows = spark.createDataFrame([(f"coffee shop {i}", "food") for i in range(60)] + [(f"airline ticket {i}", "travel") for i in range(60)] + [(None, "food"), ("x", None)], "t string, l string")
     model = models.fit(rows, "t", "l", features=1 << 10, rounds=5)
