@@ -22,8 +22,8 @@ OUTPUT = {"place_name": "merchant", "category_labels": "category_labels", "addre
 
 def search_text(description: Column) -> Column:
     """What is sought: cleaned, synonyms replaced, cleaned again; NULL where it is too short."""
-    clean = tx.clean_query(description)
-    return F.when(needs_search(clean), tx.clean_query(tx.replace_synonyms(clean)))
+    sought = lambda clean: F.when(needs_search(clean), tx.clean_query(tx.replace_synonyms(clean)))
+    return F.get(F.transform(F.array(tx.clean_query(description)), sought), 0)  # cleaned once
 
 
 def noise_free_text(description: Column) -> Column:
@@ -37,13 +37,28 @@ def clauses(queries: DataFrame, key: str, description: str, city: str | None = N
     one for the name where a good description is given."""
     asked = queries.select(key, F.col(description).alias("_d"), *dict.fromkeys(c for c in (city, state, good) if c))
     base = cut(asked.withColumn("_q", search_text(F.col("_d"))).filter("_q is not null"))  # read for every clause, twice
-    out = search.clause(base, key, "_q", boosts or BOOSTS)
+    return _clauses(base, key, "_q", city, state, good, boosts)
+
+
+def _clauses(base: DataFrame, key: str, text: str, city: str | None, state: str | None, good: str | None = None, boosts: dict[str, float] | None = None) -> DataFrame:
+    out = search.clause(base, key, text, boosts or BOOSTS)
     for column, field, boost in ((city, "locality", 1.0), (state, "region", 1.0), (good, "place_name", 2.0)):
         if column:
             out = out.unionByName(search.clause(base.filter(F.col(column).isNotNull()), key, column, {field: boost}))
     return out
 
 
+def _sought(rows: DataFrame, key: str, text: str, city: str, state: str, index: search.Index) -> DataFrame:
+    """(key, sought, words, city, state) of the rows that have a text: `words` are those of its words that any
+    document holds, `sought` is what tells queries apart. Texts that differ in other words only, as in
+    numbers of payments, are one query."""
+    known = sized_broadcast(index.docs.select(F.explode("cells.ts").alias("ts")).select(F.explode("ts").alias("term")).distinct())
+    held = rows.select(key, F.explode(F.array_distinct(search.terms(F.col(text)))).alias("term")).join(known, "term", "left_semi")
+    held = held.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("words"))
+    asked = rows.filter(F.col(text).isNotNull()).select(key, F.coalesce(city, F.lit("")).alias(city), F.coalesce(state, F.lit("")).alias(state)).join(held, key, "left")
+    return asked.withColumn("words", F.coalesce("words", F.lit(""))).withColumn("sought", F.concat_ws("\x1f", "words", city, state))
+
+
 def with_everything(docs: DataFrame, fields: list[str], out: str = "everything") -> DataFrame:
     """Adds one field that holds the text of all fields, for queries that name none."""
     return docs.withColumn(out, F.concat_ws(" ", *[F.col(f).cast("string") for f in fields]))
@@ -74,15 +89,18 @@ def find_merchants(transactions: DataFrame, key: str, description: str, merchant
     attributes. Rows that are too short to search, or have fewer than two hits, or whose best hit is
     a town, come out without a result."""
     places = locate(transactions, description, cities) if known_places is None else known_places
-    rows = cut(transactions.join(places.withColumnRenamed("city", "_city").withColumnRenamed("state", "_state"), description, "left"))
-    fields = list(BOOSTS)
-    hits = search.best_hits(clauses(rows, key, description, "_city", "_state"), search.index(merchants, merchant_key, fields), RESULT_SIZE, first=2)
-    facts, best = hits.gaps(), cut(hits.first(2))
+    located = transactions.join(places.withColumnRenamed("city", "_city").withColumnRenamed("state", "_state"), description, "left")
+    rows = cut(located.withColumn("_q", search_text(F.col(description))))
+    directory = search.index(merchants, merchant_key, list(BOOSTS))
+    asked = cut(_sought(rows, key, "_q", "_city", "_state", directory))
+    queries = cut(asked.drop(key).distinct())  # read for every clause, twice
+    hits = search.best_hits(_clauses(queries, "sought", "words", "_city", "_state"), directory, RESULT_SIZE, first=2)
+    best = cut(hits.first(2))
     two = search.top_two(best, merchants, merchant_key, ["place_name", "locality", "region"])
     top = best.filter("rank = 1").select("query", F.col("doc").alias(merchant_key)).join(merchants.select(merchant_key, *[f for f in OUTPUT], "longitude", "latitude"), merchant_key)
     names = sized_broadcast(cities.select(F.lower("canonical_city").alias("_town")).distinct())
-    joined = rows.join(facts.withColumnRenamed("query", key), key, "left").join(two.withColumnRenamed("query", key), key, "left").join(top.withColumnRenamed("query", key), key, "left")
-    joined = joined.join(names, F.lower("place_name_1") == F.col("_town"), "left")
+    facts = hits.gaps().join(two, "query", "left").join(top, "query", "left").join(names, F.lower("place_name_1") == F.col("_town"), "left")
+    joined = rows.join(asked.select(key, F.col("sought").alias("query")), key, "left").join(facts, "query", "left")
     found = (F.coalesce("n_hits", F.lit(0)) >= 2) & F.col("_town").isNull()
     match = found & search.accepted(F.col("gap"), F.col("top_score"), least_gap, least_score)
     blank = F.lit("")

@@ -1,8 +1,8 @@
 """City and state out of a description, without word boundaries to rely on.
 
 The text is squeezed to capitals without blanks and punctuation. Every place where a state's letters
-stand may end a location; what stands before it is looked up in the gazetteer, of which only so many
-characters as its longest town has need be tried. The rightmost state wins, then the longest town.
+stand may end a location; of what stands before it the lengths of those towns of the state that end in
+the same three letters are looked up in the gazetteer. The rightmost state wins, then the longest town.
 If none fits exactly, a state at the end of the text or before a token may follow a town whose last
 one to four letters were cut off, if eight letters of it are left.
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bare_upper, city_short_forms, token_starts
-from ..session import sized_broadcast
+from ..session import cut, sized_broadcast
 
 # The codes that count as states.
 STATES = tuple(
@@ -40,9 +40,16 @@ def gazetteer_keys(cities: DataFrame, city: str, state: str) -> DataFrame:
     return whole.unionByName(cut).groupBy("key", "kind").agg(F.min_by(F.struct("city", "st"), F.struct("n", "form", "city")).alias("v")).select("key", "kind", "v.city", F.col("v.st").alias("state"))
 
 
-def candidates(df: DataFrame, text: str, longest: int) -> DataFrame:
-    """(text, i, j, key, free, closed, begins) for every state position i and start j of a town."""
-    # a fixed number of partitions: what is exploded below is far more than what adaptive execution sees
+def endings(keys: DataFrame) -> DataFrame:
+    """(ending, lengths): the state and last letters of the gazetteer's keys, with the lengths of the towns
+    that end so."""
+    return keys.groupBy(F.concat(F.substring("key", 1, 2), F.substring("key", -LEAST_CITY, LEAST_CITY)).alias("ending")).agg(F.collect_set(F.length("key") - 2).alias("lengths"))
+
+
+def candidates(df: DataFrame, text: str, ends: DataFrame) -> DataFrame:
+    """(text, i, j, key, free, closed, begins) for every state position i and start j of a town that ends as
+    one of the gazetteer's."""
+    # a fixed number of partitions: what is exploded below is more than what adaptive execution sees
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = df.select(F.col(text).alias("text")).filter(F.col("text").isNotNull()).repartition(n, "text").distinct()
     plain = F.regexp_replace("text", "(?i) co id:", "")
@@ -53,17 +60,18 @@ def candidates(df: DataFrame, text: str, longest: int) -> DataFrame:
     word = F.expr("substring(t, i + 1, nxt - i)")
     rows = rows.withColumn("nxt", following).withColumn("free", ~F.array_contains("b", F.col("i") + 1) & ~F.coalesce(word.isin(*NOT_STATES), F.lit(False)))
     rows = rows.withColumn("closed", (F.col("i") == F.length("t") - 2) | F.array_contains("b", F.col("i") + 2)).filter((F.col("free") | F.col("closed")) & (F.col("i") >= LEAST_CITY))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.greatest(F.lit(0), F.col("i") - F.coalesce(longest, F.lit(0))), F.col("i") - LEAST_CITY)))
+    rows = rows.withColumn("ending", F.expr(f"concat(substring(t, i + 1, 2), substring(t, i - {LEAST_CITY - 1}, {LEAST_CITY}))")).join(ends, "ending")
+    rows = rows.withColumn("j", F.explode(F.transform("lengths", lambda n: F.col("i") - n))).filter("j >= 0")
     return rows.select("text", "i", "j", F.expr("concat(substring(t, i + 1, 2), substring(t, j + 1, i - j))").alias("key"), "free", "closed", F.array_contains("b", F.col("j")).alias("begins"))
 
 
 def locate(df: DataFrame, text: str, cities: DataFrame, city: str = "canonical_city", state: str = "state") -> DataFrame:
     """(text, city, state), one row per distinct text that names a town. NULL and short texts name none."""
-    keys = gazetteer_keys(cities, city, state)
-    longest = keys.agg(F.max(F.length("key") - 2)).scalar()
+    keys = cut(gazetteer_keys(cities, city, state))  # read five times
+    ends = sized_broadcast(endings(keys))
     keys = sized_broadcast(keys)
     exact = keys.filter("kind = 1").select(F.col("key").alias("alt"), F.struct("city", "state").alias("alt_place"))
-    hits = candidates(df, text, longest).join(keys, "key").filter(((F.col("kind") == 1) & F.col("free")) | ((F.col("kind") == 2) & F.col("closed") & (F.length("key") >= LEAST_CUT + 2)))
+    hits = candidates(df, text, ends).join(keys, "key").filter(((F.col("kind") == 1) & F.col("free")) | ((F.col("kind") == 2) & F.col("closed") & (F.length("key") >= LEAST_CUT + 2)))
     # a first letter that is a direction but no word of its own may belong to the word before
     stray = F.substring("key", 3, 1).isin("E", "W", "S", "N") & ~F.col("begins") & (F.col("kind") == 1)
     hits = hits.withColumn("alt", F.when(stray, F.concat(F.substring("key", 1, 2), F.substr("key", F.lit(4)))))

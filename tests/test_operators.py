@@ -338,6 +338,23 @@ def test_debug_shape_has_every_transaction(spark, sf):
     assert sorted(ids) == sorted(r.transaction_id for r in table.collect())
 
 
+def test_output_shape_has_every_transaction(spark, sf):
+    """One record for each transaction of the table, with a merchant for some whose id is not divisible by 50."""
+    rows = q_search.output_shape(spark, sf).select("transaction_id", F.get_json_object("json", "$.match_found").alias("m")).collect()
+    table = spark.read.parquet(f"{sf}/labeled_transactions.parquet").select("transaction_id").distinct()
+    assert sorted(r.transaction_id for r in rows) == sorted(r.transaction_id for r in table.collect())
+    assert any(r.m == "true" and r.transaction_id % 50 for r in rows)
+
+
+def test_texts_of_the_same_known_words_are_one_query(spark):
+    """Words count that any document holds, also documents with NULL fields; others tell no queries apart."""
+    docs = spark.createDataFrame([("f1", "Blue Lodge", None), ("f2", "Red Diner", "Tellby")], "factual_id string, place_name string, locality string")
+    rows = spark.createDataFrame([(1, "blue lodge 555", None, None), (2, "lodge blue 666", None, None), (3, "blue lodge", "Tellby", "OR"), (4, "777", None, None), (5, None, None, None)], "id int, q string, city string, state string")
+    got = {r.id: (r.sought, r.words, r.city) for r in enrich._sought(rows, "id", "q", "city", "state", search.index(docs, "factual_id", ["place_name", "locality"])).collect()}
+    assert got[1] == got[2] and got[1][1:] == ("blue lodge", "") and got[3][1:] == ("blue lodge", "Tellby")
+    assert len({got[i][0] for i in (1, 3, 4)}) == 3 and got[4][1] == "" and 5 not in got
+
+
 def test_model_reaches_held_out_accuracy(spark):
     rows = spark.createDataFrame([(f"coffee shop {i}", "food") for i in range(60)] + [(f"airline ticket {i}", "travel") for i in range(60)] + [(None, "food"), ("x", None)], "t string, l string")
     model = models.fit(rows, "t", "l", features=1 << 10, rounds=5)
